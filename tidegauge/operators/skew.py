@@ -210,29 +210,30 @@ def resettable_cusum(df, keys, order, by, increment, out="cusum", limit=None, pl
 
 
 def ranked_values(df, keys, value, limit=None):
-    """Distinct values per key with count ``n`` and count up to and with it ``upto``.
+    """Distinct values per key: count ``n``, count up to and with it ``upto``, total ``total``.
 
     Copies of a value are counted map-side before the shuffle, so one hot value
     is one row.
     """
+    keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n")
     )
-    return running_sum(counted, keys, [value], F.col(value), {"upto": F.col("n")}, limit)
+    plan = plan_split(counted, keys, F.col(value), limit)
+    ranked = running_sum(counted, keys, [value], F.col(value), {"upto": F.col("n")}, plan=plan)
+    if not plan.split:
+        return ranked.withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
+    return ranked.join(totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))
 
 
 def pick_ranks(ranked, keys, value, ranks):
-    """Order statistics: ``{out: 0-based rank Column of the total _n}`` per key."""
-    totals = ranked.groupBy(*keys).agg(F.sum("n").alias("_n"))
-    if keys:
-        rows = ranked.join(totals, list(keys))
-    else:
-        rows = ranked.crossJoin(F.broadcast(totals))
+    """Order statistics: ``{out: 0-based rank Column of the total}`` per key."""
     picked = [
-        F.min(F.when(F.col("upto") > r(F.col("_n")), F.col(value))).alias(o)
+        F.min(F.when(F.col("upto") > r(F.col("total")), F.col(value))).alias(o)
         for o, r in ranks.items()
     ]
-    return rows.groupBy(*keys).agg(F.max("_n").alias("_n"), *picked)
+    return ranked.groupBy(*keys).agg(F.max("total").alias("_n"), *picked)
 
 
 def exact_quantiles(df, keys, value, probs, limit=None):

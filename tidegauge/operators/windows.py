@@ -37,23 +37,27 @@ def dense_grid(cells, run, feature, period, value="value"):
     )
 
 
-def dense_activity(points, period):
-    """Zero-filled event count and summed value per (run, window index, feature)."""
+def dense_activity(points, period, features):
+    """Zero-filled event count and summed value per (run, window index, feature).
+
+    ``features`` is the declared feature list. Values are summed as whole cents,
+    so the result does not hang on the order of the sum.
+    """
+    end = window_end(F.col("t"), period)
     cents = F.round(F.col("value") * 100).cast("bigint")
-    cells = points.groupBy(
-        "run", "feature", window_end(F.col("t"), period).alias("window_end")
-    ).agg(F.count(F.lit(1)).alias("n"), F.sum(cents).alias("cents"))
-    span = cells.agg(F.min("window_end").alias("_lo"), F.max("window_end").alias("_hi"))
-    indexed = cells.crossJoin(F.broadcast(span)).select(
-        "run", "feature", F.expr(f"(window_end - _lo) div {period}").alias("i"), "n", "cents"
+    span = points.agg(F.min(end).alias("_lo"), F.max(end).alias("_hi"))
+    cells = points.groupBy("run", "feature", end.alias("window_end")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(cents).alias("cents")
     )
     steps = span.select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_hi - _lo) div {period}"))).alias("i")
-    )
-    grid = cells.select("run").distinct().crossJoin(steps).crossJoin(
-        cells.select("feature").distinct()
-    )
-    return grid.join(indexed, ["run", "feature", "i"], "left").select(
+        F.explode(F.sequence(F.col("_lo"), F.col("_hi"), F.lit(period))).alias("window_end"),
+        "_lo",
+    ).select("window_end", F.expr(f"(window_end - _lo) div {period}").alias("i"))
+    names = F.explode(F.array(*[F.lit(f) for f in features])).alias("feature")
+    grid = (
+        points.select("run").distinct().select("run", names).crossJoin(steps)
+    )
+    return grid.join(cells, ["run", "feature", "window_end"], "left").select(
         "run", "i", "feature",
         F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
         (F.coalesce("cents", F.lit(0)).cast("double") / 100).alias("value"),

@@ -7,7 +7,7 @@ QUERIES = {}
 SQL = {}
 
 MODULES = (
-    "windows",
+    "windows", "predicates", "frames",
 )
 
 

@@ -8,8 +8,9 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
-from tidegauge.functions.clock import micros_of
+from tidegauge.functions.clock import micros_of, window_end
 from tidegauge.operators import skew, windows
+from tidegauge.session import materialize
 
 DAY = 86_400_000_000_000
 
@@ -55,7 +56,27 @@ class Tables:
     @cached_property
     def activity(self):
         """Dense (run, day index, feature) with zero-filled count and summed value."""
-        return windows.dense_activity(self.points, DAY)
+        return windows.dense_activity(self.points, DAY, FEATURES)
+
+    @cached_property
+    def activity_table(self):
+        """The activity grid, written once for jobs that read it several times."""
+        return materialize(self.activity)
+
+    @cached_property
+    def scores(self):
+        """Summed activity per (run, day): an exact score for the alert rules."""
+        cents = F.round(F.col("value") * 100).cast("bigint")
+        end = window_end(F.col("t"), DAY)
+        span = self.points.agg(F.min(end).alias("_lo"), F.max(end).alias("_hi"))
+        cells = self.points.groupBy("run", end.alias("window_end")).agg(F.sum(cents).alias("c"))
+        steps = span.select(
+            F.explode(F.sequence(F.col("_lo"), F.col("_hi"), F.lit(DAY))).alias("window_end"), "_lo"
+        ).select("window_end", F.expr(f"(window_end - _lo) div {DAY}").alias("i"))
+        grid = self.points.select("run").distinct().crossJoin(steps)
+        return grid.join(cells, ["run", "window_end"], "left").select(
+            "run", "i", (F.coalesce("c", F.lit(0)).cast("double") / 100).alias("score")
+        )
 
     @cached_property
     def wide(self):
@@ -151,3 +172,13 @@ TOTALS = """daily AS (
 totals AS (
   SELECT run, t, CAST(sum(c) OVER w AS BIGINT) AS hist_count, sum(q) OVER w AS hist_sum
   FROM daily WINDOW w AS (PARTITION BY run ORDER BY t ROWS UNBOUNDED PRECEDING))"""
+
+SCORES = PTS + f""", ends AS (
+  SELECT run, {WE} AS we, CAST(round(value * 100) AS BIGINT) AS cents FROM pts),
+span AS (SELECT min(we) AS lo, max(we) AS hi FROM ends),
+agg AS (SELECT run, (we - lo) // {DAY} AS i, sum(cents) AS cents FROM ends, span GROUP BY ALL),
+scores AS (
+  SELECT r.run, d.i, CAST(coalesce(a.cents, 0) AS DOUBLE) / 100 AS score
+  FROM (SELECT DISTINCT run FROM ends) r
+  CROSS JOIN (SELECT unnest(range(0, (hi - lo) // {DAY} + 1)) AS i FROM span) d
+  LEFT JOIN agg a ON a.run = r.run AND a.i = d.i)"""

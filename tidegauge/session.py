@@ -1,6 +1,11 @@
 """Session settings shared by tests, bench and tools."""
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -21,11 +26,34 @@ def local_session(cpus="8", app="tidegauge"):
     return spark
 
 
-def checkpoint_dir(spark, fallback=None):
-    """The cluster's shared checkpoint folder; `fallback` only where none is set."""
+def shared_folder(spark):
+    """Folder every executor can read: the cluster's ``spark.checkpoint.dir``.
+
+    Only where that is unset and the session is local, a temporary folder stands in.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set")
-    return fallback
+    if not spark.sparkContext.master.startswith("local"):
+        return None
+    return _local_folder()
+
+
+@lru_cache(maxsize=1)
+def _local_folder():
+    folder = tempfile.mkdtemp(prefix="tidegauge-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
+def materialize(df):
+    """Write a table that a job reads several times, and read it back.
+
+    Without a shared folder the frame stays lazy and is recomputed.
+    """
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder}/tidegauge/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
