@@ -210,30 +210,30 @@ def resettable_cusum(df, keys, order, by, increment, out="cusum", limit=None, pl
 
 
 def ranked_values(df, keys, value, limit=None):
-    """Distinct values per key: count ``n``, count up to and with it ``upto``, total ``total``.
+    """Distinct values per key: count ``_cnt``, count up to and with it ``_upto``, ``_total``.
 
     Copies of a value are counted map-side before the shuffle, so one hot value
     is one row.
     """
     keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("n")
+        F.count(F.lit(1)).alias("_cnt")
     )
     plan = plan_split(counted, keys, F.col(value), limit)
-    ranked = running_sum(counted, keys, [value], F.col(value), {"upto": F.col("n")}, plan=plan)
+    ranked = running_sum(counted, keys, [value], F.col(value), {"_upto": F.col("_cnt")}, plan=plan)
     if not plan.split:
-        return ranked.withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-    totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
+        return ranked.withColumn("_total", F.sum("_cnt").over(Window.partitionBy(*keys)))
+    totals = counted.groupBy(*keys).agg(F.sum("_cnt").alias("_total"))
     return ranked.join(totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))
 
 
 def pick_ranks(ranked, keys, value, ranks):
     """Order statistics: ``{out: 0-based rank Column of the total}`` per key."""
     picked = [
-        F.min(F.when(F.col("upto") > r(F.col("total")), F.col(value))).alias(o)
+        F.min(F.when(F.col("_upto") > r(F.col("_total")), F.col(value))).alias(o)
         for o, r in ranks.items()
     ]
-    return ranked.groupBy(*keys).agg(F.max("total").alias("_n"), *picked)
+    return ranked.groupBy(*keys).agg(F.max("_total").alias("_n"), *picked)
 
 
 def exact_quantiles(df, keys, value, probs, limit=None):
@@ -270,3 +270,24 @@ def previous_known(df, keys, order, by, cols, limit=None, plan=None):
         combine={o: F.coalesce(F.col(f"_l_{o}"), F.col(f"_c_{o}")) for o in cols},
         limit=limit, plan=plan,
     )
+
+
+def following(df, keys, order, by, cols, limit=None, plan=None):
+    """Values of the row after, ``{out: Column}`` per key (NULL for the last)."""
+    plan = plan or plan_split(df, keys, by, limit)
+    packed = F.struct(*[x.alias(o) for o, x in cols.items()])
+    if not plan.split:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({o: F.lead(x).over(w) for o, x in cols.items()})
+    rows = with_slots(df, keys, by, plan)
+    w = Window.partitionBy(*keys, SLOT).orderBy(*order)
+    rows = rows.withColumn("_ln", F.lead(packed).over(w))
+    first = rows.groupBy(*keys, SLOT).agg(F.min_by(packed, F.struct(*order)).alias("_first"))
+    later = Window.partitionBy(*keys).orderBy(SLOT)
+    first = first.withColumn("_cn", F.lead("_first").over(later)).select(*keys, SLOT, "_cn")
+    rows = rows.join(first, [*keys, SLOT], "left")
+    picked = {
+        o: F.when(F.col("_ln").isNotNull(), F.col("_ln")[o]).otherwise(F.col("_cn")[o])
+        for o in cols
+    }
+    return rows.withColumns(picked).drop("_ln", "_cn", SLOT)

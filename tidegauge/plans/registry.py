@@ -7,7 +7,7 @@ QUERIES = {}
 SQL = {}
 
 MODULES = (
-    "windows", "predicates", "frames",
+    "windows", "predicates", "frames", "sequences", "calibration",
 )
 
 
