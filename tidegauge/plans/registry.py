@@ -7,7 +7,7 @@ QUERIES = {}
 SQL = {}
 
 MODULES = (
-    "windows", "predicates", "frames", "sequences", "calibration", "ranking", "baselines",
+    "windows", "predicates", "frames", "sequences", "calibration", "ranking", "baselines", "aggregates",
 )
 
 
