@@ -36,7 +36,7 @@ def random_hit_at_k(features, affected, k):
     """Chance that k random features hold an affected one: 1 - C(u,k)/C(n,k)."""
     unaffected = features - affected
     miss = F.aggregate(
-        F.sequence(F.lit(0), k - 1),
+        F.sequence(F.lit(0), F.lit(k - 1)),
         F.lit(1.0),
         lambda acc, j: acc * F.greatest(unaffected - j, F.lit(0)) / (features - j),
     )

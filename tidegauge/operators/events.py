@@ -52,7 +52,6 @@ def transform_features(features, templates, column, fit):
 def fit_vocabulary(templates, column="template", limit=None):
     """Ids from 1 by sorted order of the distinct templates; 0 stays for unknown."""
     distinct = templates.select(column).distinct()
-    lead = F.conv(F.substring(F.hex(F.encode(F.col(column), "UTF-8")), 1, 12), 16, 10)
     width = F.rpad(F.substring(F.hex(F.encode(F.col(column), "UTF-8")), 1, 12), 12, "0")
     by = F.conv(width, 16, 10).cast("bigint")
     return skew.running_count(distinct, [], [column], by, "template_id", limit)

@@ -251,7 +251,6 @@ def identity_guard(t):
     rows = t.conversations.select(
         F.col("conv_id").alias("run"), "role", (F.length("text") > 100).alias("build")
     )
-    # Distinct small identity values per run: min and max differ when there is more than one.
     return rows.groupBy("run").agg(
         F.count_distinct("role").alias("roles"), F.count_distinct("build").alias("builds")
     ).where("roles > 1 OR builds > 1")

@@ -25,7 +25,9 @@ class Tables:
     def __getattr__(self, name):
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        self.__dict__[name] = table
+        return table
 
     @cached_property
     def points(self):

@@ -46,7 +46,7 @@ def _local_folder():
     return folder
 
 
-def materialize(df):
+def materialize(df, partition_by=()):
     """Write a table that a job reads several times, and read it back.
 
     Without a shared folder the frame stays lazy and is recomputed.
@@ -55,5 +55,5 @@ def materialize(df):
     if folder is None:
         return df
     path = f"{folder}/tidegauge/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
