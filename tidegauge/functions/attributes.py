@@ -15,30 +15,54 @@ def exactly_one(columns):
     return reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in columns]) == 1
 
 
+def attribute_problem(entries):
+    """Reason why an attribute list cannot be read, NULL when it can."""
+    keys = F.transform(entries, lambda e: e["key"])
+    bad = F.exists(
+        entries, lambda e: ~F.coalesce(exactly_one([e["value"][f] for f in VALUE_FIELDS]), F.lit(False))
+    )
+    unread = F.exists(
+        entries,
+        lambda e: e["value"]["intValue"].isNotNull()
+        & e["value"]["intValue"].try_cast("bigint").isNull(),
+    )
+    return (
+        F.when(F.size(F.array_distinct(keys)) < F.size(keys), "duplicate attribute key")
+        .when(bad, "attribute value must have exactly one field")
+        .when(unread, "attribute value is not a whole number")
+    )
+
+
 def attribute_map(entries):
     """Array of ``{key, value: {...}}`` to a key-sorted map of JSON texts.
 
-    A repeated key raises; a value with other than one field set is rejected.
+    Numbers are bare, texts quoted, lists and nested maps kept as JSON. A list with
+    a problem gives NULL; ``attribute_problem`` says why.
     """
     def text(v):
-        one = exactly_one([v[f] for f in VALUE_FIELDS])
         quoted = F.to_json(F.array(F.coalesce(v["stringValue"], v["bytesValue"])))
-        body = F.coalesce(
+        return F.coalesce(
             F.when(
                 v["stringValue"].isNotNull() | v["bytesValue"].isNotNull(),
-                F.regexp_extract(quoted, r"(?s)^\[(.*)\]$", 1),
+                F.substring(quoted, F.lit(2), F.length(quoted) - 2),
             ),
             v["boolValue"].cast("string"),
             v["intValue"].try_cast("bigint").cast("string"),
             v["doubleValue"].cast("string"),
             v["arrayValue"], v["kvlistValue"],
         )
-        return F.when(one, body).otherwise(
-            F.raise_error(F.lit("an attribute value must have exactly one field"))
-        )
 
     pairs = F.transform(entries, lambda e: F.struct(e["key"], text(e["value"])))
-    return F.coalesce(F.map_from_entries(F.array_sort(pairs)), F.create_map().cast("map<string,string>"))
+    empty = F.create_map().cast("map<string,string>")
+    built = F.when(attribute_problem(entries).isNull(), F.map_from_entries(F.array_sort(pairs)))
+    return F.when(entries.isNull(), empty).otherwise(built)
+
+
+def text_attribute(attributes, key, default=""):
+    """Plain text of a string attribute of a JSON-text map."""
+    raw = F.element_at(attributes, key)
+    plain = F.get(F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>"), 0)
+    return F.coalesce(plain, F.lit(default))
 
 
 def number_fields(point):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidegauge.operators import skew
+from tidegauge.session import materialize
 
 
 def upper_p_values(scored, score, is_reference, out="p_value", keys=()):
@@ -15,11 +16,12 @@ def upper_p_values(scored, score, is_reference, out="p_value", keys=()):
     counted = scored.groupBy(*keys, score).agg(
         F.sum(F.when(is_reference, 1).otherwise(0)).cast("bigint").alias("_ref")
     )
+    counted = materialize(counted)
     down = -F.col(score)
     ranked = skew.running_sum(
         counted, keys, [F.col(score).desc()], down, {"_above": F.col("_ref")}
     )
-    totals = scored.where(is_reference).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    totals = counted.groupBy(*keys).agg(F.sum("_ref").alias("_n"))
     ranked = ranked.join(totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))
     p = (1.0 + F.col("_above")) / (F.col("_n") + 1.0)
     return scored.join(ranked.select(*keys, score, p.alias(out)), [*keys, score])

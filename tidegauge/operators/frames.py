@@ -3,6 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from tidegauge.operators import skew
+from tidegauge.session import materialize
 
 MAD_TO_SIGMA = 1.4826
 EPS = 1e-12
@@ -80,24 +81,30 @@ def encode_actions(steps, actions, keys):
 
 
 def robust_scale(df, keys, value):
-    """Median and 1.4826 MAD per key; falls back to population std, then to 1."""
-    center = skew.exact_quantiles(df, keys, value, {"location": 0.5})
-    joined = (
-        df.join(F.broadcast(center), list(keys)) if keys else df.crossJoin(F.broadcast(center))
-    )
-    off = joined.withColumn("_dev", F.abs(F.col(value) - F.col("location")))
-    mad = skew.exact_quantiles(off, keys, "_dev", {"_mad": 0.5})
-    spread = df.groupBy(*keys).agg(F.stddev_pop(value).alias("_sd"))
+    """Median and 1.4826 MAD per key; falls back to population std, then to 1.
+
+    The input is read once, into a written table of value counts; median, absolute
+    deviations and std come from that table.
+    """
+    keys = list(keys)
+    counts = materialize(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w")))
+
+    def beside(left, right):
+        return left.join(F.broadcast(right), keys) if keys else left.crossJoin(F.broadcast(right))
+
+    center = skew.exact_quantiles(counts, keys, value, {"location": 0.5}, weight="_w")
+    center = materialize(center)
+    off = beside(counts, center).withColumn("_dev", F.abs(F.col(value) - F.col("location")))
+    mad = skew.exact_quantiles(off, keys, "_dev", {"_mad": 0.5}, weight="_w")
+    mean = counts.groupBy(*keys).agg((F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias("_m"))
+    sq = (F.col(value) - F.col("_m")) * (F.col(value) - F.col("_m")) * F.col("_w")
+    spread = beside(counts, mean).groupBy(*keys).agg(F.sqrt(F.sum(sq) / F.sum("_w")).alias("_sd"))
     scale = (
         F.when(MAD_TO_SIGMA * F.col("_mad") > EPS, MAD_TO_SIGMA * F.col("_mad"))
         .when(F.col("_sd") > EPS, F.col("_sd"))
         .otherwise(1.0)
     )
-    if keys:
-        fit = center.join(mad, list(keys)).join(spread, list(keys))
-    else:
-        fit = center.crossJoin(mad).crossJoin(spread)
-    return fit.select(*keys, "location", scale.alias("scale"))
+    return beside(beside(center, mad), spread).select(*keys, "location", scale.alias("scale"))
 
 
 def standard_scale(df, keys, value):

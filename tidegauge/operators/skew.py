@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window, functions as F
 
+from tidegauge.session import materialize
+
 DEFAULT_MAX_GROUP_ROWS = 20_000
 SLOT = "_slot"
 
@@ -209,16 +211,20 @@ def resettable_cusum(df, keys, order, by, increment, out="cusum", limit=None, pl
     )
 
 
-def ranked_values(df, keys, value, limit=None):
+def ranked_values(df, keys, value, limit=None, weight=None):
     """Distinct values per key: count ``_cnt``, count up to and with it ``_upto``, ``_total``.
 
     Copies of a value are counted map-side before the shuffle, so one hot value
-    is one row.
+    is one row. The counts are written once: the split plan, the ranks and the
+    totals read them instead of running the input again. With ``weight`` the input
+    is such a table of counts already.
     """
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_cnt")
-    )
+    rows = df.where(F.col(value).isNotNull()).groupBy(*keys, value)
+    if weight:
+        counted = rows.agg(F.sum(weight).alias("_cnt"))
+    else:
+        counted = materialize(rows.agg(F.count(F.lit(1)).alias("_cnt")))
     plan = plan_split(counted, keys, F.col(value), limit)
     ranked = running_sum(counted, keys, [value], F.col(value), {"_upto": F.col("_cnt")}, plan=plan)
     if not plan.split:
@@ -236,7 +242,7 @@ def pick_ranks(ranked, keys, value, ranks):
     return ranked.groupBy(*keys).agg(F.max("_total").alias("_n"), *picked)
 
 
-def exact_quantiles(df, keys, value, probs, limit=None):
+def exact_quantiles(df, keys, value, probs, limit=None, weight=None):
     """Exact linear-interpolation quantiles ``{out: q}`` per key.
 
     Same numbers as the built-in ``percentile``, without holding the distinct
@@ -246,7 +252,7 @@ def exact_quantiles(df, keys, value, probs, limit=None):
     for o, q in probs.items():
         ranks[f"_lo_{o}"] = lambda n, q=q: F.floor((n - 1) * F.lit(float(q)))
         ranks[f"_hi_{o}"] = lambda n, q=q: F.ceil((n - 1) * F.lit(float(q)))
-    picked = pick_ranks(ranked_values(df, keys, value, limit), keys, value, ranks)
+    picked = pick_ranks(ranked_values(df, keys, value, limit, weight), keys, value, ranks)
     out = []
     for o, q in probs.items():
         at = (F.col("_n") - 1) * F.lit(float(q))

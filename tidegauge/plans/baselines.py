@@ -42,7 +42,7 @@ def persistence(t):
 WITH {ACT}, {ROBUST} SELECT run, i, R4(max(abs((value - location) / scale))) AS score
 FROM act JOIN rob USING (feature) WHERE i >= 6 GROUP BY ALL""")
 def robust(t):
-    rows = t.activity_table
+    rows = t.activity
     fit = frames.robust_scale(rows, ["feature"], "value")
     z = frames.apply_scale(rows, F.broadcast(fit), ["feature"], "value")
     f = detectors.vector_frames(detectors.vector_steps(z), LOOKBACK)

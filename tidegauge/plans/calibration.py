@@ -14,8 +14,8 @@ from tidegauge.plans.views import SCORES
 WITH {SCORES}, q AS (SELECT quantile_cont(score, 0.95) AS threshold FROM scores WHERE run % 5 <> 0)
 SELECT run, i, R4(threshold) AS threshold, score > threshold AS alert FROM scores, q""")
 def quantile_alerts(t):
-    fit = skew.exact_quantiles(t.scores.where("run % 5 <> 0"), [], "score", {"threshold": 0.95})
-    return calibration.quantile_alerts(t.scores, fit, "score").select(
+    fit = skew.exact_quantiles(t.scores_table.where("run % 5 <> 0"), [], "score", {"threshold": 0.95})
+    return calibration.quantile_alerts(t.scores_table, fit, "score").select(
         "run", "i", fixed("threshold", 4).alias("threshold"), "alert"
     )
 
@@ -67,7 +67,7 @@ r AS (SELECT s.run, max(onset) AS onset, bool_or(score > pt.thr) AS any_point,
 
 def conformal_sequential(t, alpha=0.01):
     """Point and accumulated alarms per evaluation run."""
-    rows = t.scores.withColumn("pair", F.expr("run div 2"))
+    rows = t.scores_table.withColumn("pair", F.expr("run div 2"))
     is_ref = (F.col("run") % 2 == 0) & (F.col("pair") % 2 == 0)
     scored = alerts.upper_p_values(rows, "score", is_ref)
     ev = scored.withColumn("ev", fixed(alerts.clipped_evidence(F.col("p_value")), 9))
@@ -135,7 +135,7 @@ r AS (SELECT run, min(i) FILTER (act) AS onset, max(i) FILTER (act) AS stop,
 
 def run_aware(t, alpha=0.1):
     """Roles, p-values, resettable evidence, conformal run threshold, rows per run."""
-    rows = t.scores.withColumn("pair", F.expr("run div 2"))
+    rows = t.scores_table.withColumn("pair", F.expr("run div 2"))
     pairs = rows.select("pair").distinct().select(
         "pair", (F.col("pair") % 3).alias("kind"), (F.col("pair") % 2).alias("topology")
     )

@@ -112,7 +112,7 @@ rob AS (SELECT feature, any_value(location) AS location,
 @query("W5_robust_scaling_fit", f"""
 WITH {ACT}, {ROBUST} SELECT feature, R6(location) AS location, R6(scale) AS scale FROM rob""")
 def robust_fit(t):
-    fit = frames.robust_scale(t.activity_table, ["feature"], "value")
+    fit = frames.robust_scale(t.activity, ["feature"], "value")
     return fit.select("feature", fixed("location").alias("location"), fixed("scale").alias("scale"))
 
 
@@ -139,8 +139,8 @@ def magnitude_scale(t):
 WITH {ACT}, {ROBUST} SELECT run, feature, i, R6((value - location) / scale) AS z,
   R4(value) AS restored FROM act JOIN rob USING (feature)""")
 def apply_invert(t):
-    fit = frames.robust_scale(t.activity_table, ["feature"], "value")
-    z = frames.apply_scale(t.activity_table, F.broadcast(fit), ["feature"], "value")
+    fit = frames.robust_scale(t.activity, ["feature"], "value")
+    z = frames.apply_scale(t.activity, F.broadcast(fit), ["feature"], "value")
     back = frames.invert_scale(z, F.broadcast(fit), ["feature"], "z", "restored")
     return back.select(*SERIES, "i", fixed("z").alias("z"), fixed("restored", 4).alias("restored"))
 
@@ -179,7 +179,7 @@ fit AS (SELECT fold, feature, any_value(location) AS location,
 SELECT run, feature, i, R4((value - location) / scale) AS z FROM act
 JOIN fit USING (feature) WHERE fold = run % 3""")
 def folds(t):
-    rows = t.activity_table.withColumn("group", (F.col("run") % 3).cast("int"))
+    rows = t.activity.withColumn("group", (F.col("run") % 3).cast("int"))
     fit = frames.robust_scale(
         frames.held_out_folds(rows, "group", [0, 1, 2]), ["fold", "feature"], "value"
     )
