@@ -128,17 +128,22 @@ def _over_bank(queries, bank, probe, schema):
     )
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("bigint"))
     q = queries.withColumn("qb", block(nq)).withColumn("bb", spread(nb))
-    b = bank.select("id", "label", "vector").withColumn("bb", block(nb)).withColumn("qb", spread(nq))
+    b = bank.select(
+        block(nb).alias("bank_block"), spread(nq).alias("query_block"), F.col("id").alias("bank_id"),
+        F.col("label").alias("bank_label"), F.col("vector").alias("bank_vector"),
+    )
 
     def meet(left, right):
         if left.empty or right.empty:
             return pd.DataFrame()
         return probe(
-            left, right["id"].to_numpy(dtype=np.int64), right["label"].to_numpy(),
-            np.stack(right["vector"].to_numpy()),
+            left, right["bank_id"].to_numpy(dtype=np.int64), right["bank_label"].to_numpy(),
+            np.stack(right["bank_vector"].to_numpy()),
         )
 
-    return q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(meet, schema)
+    return q.groupBy("qb", "bb").cogroup(b.groupBy("query_block", "bank_block")).applyInPandas(
+        meet, schema
+    )
 
 
 def rank_candidates(found):

@@ -247,3 +247,12 @@ def views(t):
         at("ahead", 4, 0, "future_patch_0"), at("ahead", 4, 1, "future_patch_1"),
         fixed(mean("future", 1), 4).alias("coarse_0"), fixed(mean("future", 6), 4).alias("coarse_1"),
     )
+
+
+@query("U3_grouped_two_pass_mad", """
+WITH m AS (SELECT event_type, median(value) AS c FROM events GROUP BY 1)
+SELECT event_type, R6(any_value(c)) AS median, R6(1.4826 * median(abs(value - c))) AS mad FROM events JOIN m USING (event_type) GROUP BY 1""")
+def two_pass_mad(t):
+    """A grouped aggregate with no single-pass form, from one table of value counts."""
+    fit = frames.robust_scale(t.events, ["event_type"], "value")
+    return fit.select("event_type", fixed("location").alias("median"), fixed("scale").alias("mad"))

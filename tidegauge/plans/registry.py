@@ -7,7 +7,7 @@ QUERIES = {}
 SQL = {}
 
 MODULES = (
-    "windows", "predicates", "frames", "sequences", "calibration", "ranking", "baselines", "aggregates", "graph_joins", "design", "scalars", "jobs", "sources_plans",
+    "windows", "predicates", "frames", "sequences", "calibration", "ranking", "baselines", "aggregates", "graph_joins", "design", "scalars", "jobs", "sources_plans", "streams",
 )
 
 
