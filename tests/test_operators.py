@@ -92,7 +92,10 @@ def test_log_windows_by_index_and_time(spark):
     rows = windows.assign_index(df, "w", 3).collect()
     assert [r.window for r in rows] == [0, 2, None, None, None]
     assert [r.violation for r in rows] == [False, False, True, True, True]
-    b = spark.createDataFrame([(1, 0, [200, 400, 600], 700)], "run int, run_start bigint, ends array<bigint>, drain_end bigint")
+    b = spark.createDataFrame(
+        [(1, 0, "start"), (1, 200, "window"), (1, 400, "window"), (1, 600, "window"), (1, 700, "drain")],
+        "run int, t bigint, role string",
+    )
     t = spark.createDataFrame([(1, x) for x in (-1, 0, 200, 201, 400, 600, 601, 700, 701)], "run int, t bigint")
     got = {r.t: (r.status, r.window) for r in windows.place_by_boundaries(t, b).collect()}
     assert got == {
@@ -216,7 +219,7 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, blocks):
         top.setdefault(r.query_id, []).append(r.bank_id)
     order = {i: sorted(range(90), key=lambda j: (-round(sims[i, j], 12), j))[:89] for i in range(90)}
     assert all(top[i] == order[i][:3] for i in range(90))
-    for r in retrieval.class_margin(ranked).collect():
+    for r in retrieval.class_margin(retrieval.candidates(df, df, 1)).collect():
         best = order[r.query_id][0]
         other = max(sims[r.query_id, j] for j in order[r.query_id] if labels[j] != labels[best])
         assert r.margin == pytest.approx(sims[r.query_id, best] - other)

@@ -100,7 +100,7 @@ def alarm_metrics(rows, name, keys=()):
     """False alarm, detection and pre-onset rates, median and worst delay."""
     treated = F.col("is_treatment")
     delay = F.col(f"post_onset_{name}") - F.col("onset")
-    share = lambda hit, of: F.count_if(hit & of) / F.count_if(of)
+    share = lambda hit, of: F.try_divide(F.count_if(hit & of), F.count_if(of))
     base = rows.withColumn("_delay", delay)
     rates = base.groupBy(*keys).agg(
         F.count_if(~treated).alias("controls"),

@@ -90,7 +90,7 @@ def robust_scale(df, keys, value):
     counts = materialize(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w")))
 
     def beside(left, right):
-        return left.join(F.broadcast(right), keys) if keys else left.crossJoin(F.broadcast(right))
+        return left.join(right, keys) if keys else left.crossJoin(F.broadcast(right))
 
     center = skew.exact_quantiles(counts, keys, value, {"location": 0.5}, weight="_w")
     center = materialize(center)

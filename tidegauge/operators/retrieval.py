@@ -152,18 +152,20 @@ def rank_candidates(found):
     return found.withColumn("rank", F.row_number().over(w))
 
 
-def class_margin(ranked):
-    """Top similarity minus the best of another class, per query."""
-    top = F.max(F.when(F.col("rank") == 1, F.struct("sim", "bank_label")))
-    rows = ranked.groupBy("query_id").agg(
-        top.alias("t"), F.collect_list(F.struct("bank_label", "sim")).alias("c")
+def class_margin(found):
+    """Top similarity minus the best of another class, per query.
+
+    The best row of each class comes first, so a query's window holds one row per
+    class.
+    """
+    best = found.groupBy("query_id", "bank_label").agg(
+        F.max(F.struct("sim", (-F.col("bank_id")).alias("n"))).alias("b")
     )
-    other = F.array_max(F.transform(
-        F.filter("c", lambda x: x["bank_label"] != F.col("t.bank_label")), lambda x: x["sim"]
-    ))
-    return rows.select(
-        "query_id", F.col("t.bank_label").alias("top_label"), F.col("t.sim").alias("top_sim"),
-        F.coalesce(F.col("t.sim") - other, F.lit(0.0)).alias("margin"),
+    w = Window.partitionBy("query_id").orderBy(F.col("b").desc())
+    rows = best.withColumn("_rn", F.row_number().over(w)).withColumn("_next", F.lead("b.sim").over(w))
+    return rows.where("_rn = 1").select(
+        "query_id", F.col("bank_label").alias("top_label"), F.col("b.sim").alias("top_sim"),
+        F.coalesce(F.col("b.sim") - F.col("_next"), F.lit(0.0)).alias("margin"),
     )
 
 

@@ -1,6 +1,6 @@
 """Event sequences per run: gaps, related deltas and a bigram surprise model."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from tidegauge.operators import skew
 
@@ -25,18 +25,24 @@ def related_deltas(records):
     ).drop("_rel", "_prev")
 
 
-def span_gaps(spans, trace, keep):
-    """Gaps inside an ordered trace; the first ``keep`` spans stay.
+def span_gaps(spans, trace, keep=None):
+    """Gaps inside an ordered trace, in ms and never negative.
 
-    A trace is a bounded group, so this is a plain window. Gaps are in ms, >= 0.
+    ``keep``: only the first so many spans of a trace stay. Needs whole-number
+    ``span``, ``start`` and ``end``. Spans without a trace id may pile up under one
+    key, so the order is scanned split-safe.
     """
-    w = Window.partitionBy(trace).orderBy("start", "span")
-    rows = spans.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep)
+    keys, order, by = [trace], ["start", "span"], F.col("start")
+    plan = skew.plan_split(spans, keys, by)
+    rows = skew.running_count(spans, keys, order, by, "position", plan=plan)
+    if keep is not None:
+        rows = rows.where(F.col("position") <= keep)
+    rows = skew.previous(rows, keys, order, by, {"_before": F.col("end")}, plan=plan)
+    rows = skew.following(rows, keys, order, by, {"_after": F.col("start")}, plan=plan)
     ms = F.lit(1e6)
-    before = F.coalesce(F.lag("end").over(w), F.col("start"))
-    after = F.coalesce(F.lead("start").over(w), F.col("end"))
+    before, after = F.coalesce("_before", "start"), F.coalesce("_after", "end")
     return rows.select(
-        *spans.columns, F.col("_rn").alias("position"),
+        *spans.columns, "position",
         F.greatest(F.lit(0.0), (F.col("start") - before) / ms).alias("gap_from_previous_ms"),
         F.greatest(F.lit(0.0), (after - F.col("end")) / ms).alias("time_to_next_ms"),
     )

@@ -3,6 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from tidegauge.functions.clock import window_end
+from tidegauge.operators import skew
 
 NO_RECORDED_VALUE = 1
 
@@ -100,50 +101,51 @@ def assign_index(records, raw, window_count):
     )
 
 
-def place_by_boundaries(records, boundaries, t="t"):
-    """Place records into measured windows ``(prev_end, end]`` of their run.
-
-    ``boundaries`` has one row per run: ``run, run_start, ends`` (sorted array)
-    and ``drain_end`` (NULL: none). Adds ``window`` and ``status``: placed, drain
-    or outside. The array is searched by halves, so a row costs log2(windows)
-    steps, and the join moves one row per run.
-    """
-    joined = records.join(boundaries, "run", "left")
-    last = F.element_at("ends", -1)
-    limit = F.coalesce(F.col("drain_end"), last)
-    inside = (F.col(t) >= F.col("run_start")) & (F.col(t) <= limit)
-    search = f"""aggregate(
-        sequence(1, CAST(ceil(log2(size(ends) + 1)) AS INT) + 1),
-        named_struct('lo', 0, 'hi', size(ends)),
-        (s, x) -> CASE WHEN s.lo >= s.hi THEN s
-          WHEN element_at(ends, CAST((s.lo + s.hi) div 2 + 1 AS INT)) < {t}
-            THEN named_struct('lo', CAST((s.lo + s.hi) div 2 + 1 AS INT), 'hi', s.hi)
-          ELSE named_struct('lo', s.lo, 'hi', CAST((s.lo + s.hi) div 2 AS INT)) END,
-        s -> s.lo)"""
-    status = (
-        F.when(~F.coalesce(inside, F.lit(False)), "outside")
-        .when(F.col(t) > last, "drain")
-        .otherwise("placed")
-    )
-    placed = joined.withColumn("status", status)
-    return placed.withColumn(
-        "window", F.when(F.col("status") == "placed", F.expr(search).cast("bigint"))
-    ).drop("run_start", "ends", "drain_end")
-
-
-def boundaries_of(metric_times):
-    """Per-run boundaries from rows ``run, t, role`` with role start, window or drain.
-
-    One role per metric time and at most one drain; other runs are listed by
-    ``boundary_violations``.
-    """
+def boundary_spans(metric_times):
+    """Start, last window end and drain end of each run."""
+    t = F.col("t")
     return metric_times.groupBy("run").agg(
-        F.min(F.when(F.col("role") == "start", F.col("t"))).alias("run_start"),
-        F.array_sort(F.collect_set(F.when(F.col("role") == "window", F.col("t")))).alias("ends"),
-        F.max(F.when(F.col("role") == "drain", F.col("t"))).alias("drain_end"),
+        F.min(F.when(F.col("role") == "start", t)).alias("run_start"),
+        F.max(F.when(F.col("role") == "window", t)).alias("last_end"),
+        F.max(F.when(F.col("role") == "drain", t)).alias("drain_end"),
+    )
+
+
+def window_boundaries(metric_times):
+    """One row per measured window ``(prev_end, end]`` of a run, numbered from 0."""
+    ends = metric_times.where("role IN ('start', 'window')").select("run", "t").distinct()
+    keys, order, by = ["run"], ["t"], F.col("t")
+    plan = skew.plan_split(ends, keys, by)
+    rows = skew.previous(ends, keys, order, by, {"prev_end": F.col("t")}, plan=plan)
+    rows = skew.running_count(rows, keys, order, by, "_rn", plan=plan)
+    return rows.where("prev_end IS NOT NULL").select(
+        "run", (F.col("_rn") - 2).alias("i"), F.col("t").alias("end"), "prev_end"
     )
 
 
+def place_by_boundaries(records, metric_times):
+    """Place records into the measured, irregular windows ``(prev_end, end]`` of their run.
+
+    ``metric_times``: run, t, role (start, window or drain). Adds ``window`` and
+    ``status``: placed, drain or outside. A record's window is the number of ends
+    before it: records and ends are merged in time order and counted in one
+    split-safe scan, with no range join and no array of ends per run.
+    """
+    ends = metric_times.where("role = 'window'").select("run", "t", F.lit(1).alias("_end"))
+    merged = records.withColumn("_end", F.lit(0)).unionByName(ends, allowMissingColumns=True)
+    counted = skew.running_sum(
+        merged, ["run"], ["t", "_end"], F.col("t"), {"_before": F.col("_end").cast("bigint")}
+    ).where("_end = 0")
+    joined = counted.join(boundary_spans(metric_times), "run", "left")
+    t = F.col("t")
+    limit = F.coalesce("drain_end", "last_end")
+    inside = F.coalesce((t >= F.col("run_start")) & (t <= limit), F.lit(False))
+    status = F.when(~inside, "outside").when(t > F.col("last_end"), "drain").otherwise("placed")
+    return joined.withColumn("status", status).withColumn(
+        "window", F.when(F.col("status") == "placed", F.col("_before").cast("bigint"))
+    ).select(*records.columns, "window", "status")
+
+
 def boundary_violations(metric_times):
     per_time = metric_times.groupBy("run", "t").agg(
         F.count_distinct("role").alias("roles"),

@@ -97,7 +97,7 @@ SELECT trace // 10 AS "window", name AS entity, R6(ln(1 + count(*))) AS log_coun
   R6(avg(ln(1 + ("end" - start) / 1e6))) AS mean_log_duration, R6(stddev_pop(ln(1 + ("end" - start) / 1e6))) AS std_log_duration,
   R6(avg(ln(1 + gap))) AS mean_log_gap FROM g GROUP BY ALL""")
 def trace_bins(t):
-    s = sequences.span_gaps(spans_of(t), "trace", 1 << 30)
+    s = sequences.span_gaps(spans_of(t), "trace")
     duration = F.log1p((F.col("end") - F.col("start")) / F.lit(1e6))
     return s.groupBy(F.expr("trace div 10").alias("window"), F.col("name").alias("entity")).agg(
         fixed(F.log1p(F.count(F.lit(1)))).alias("log_count"), fixed(F.avg("status")).alias("mean_outcome"),

@@ -36,7 +36,7 @@ def higher(t):
 
 @query("C3_split_conformal_threshold", f"""
 WITH {SCORES}, {MAXIMA}, r AS (SELECT top, row_number() OVER (ORDER BY top) AS rn, count(*) OVER () AS n FROM mx)
-SELECT max(top) FILTER (rn = CAST(ceil((n + 1) * (1::DOUBLE - 0.05::DOUBLE)) AS BIGINT)) AS threshold FROM r""")
+SELECT coalesce(max(top) FILTER (rn = CAST(ceil((n + 1) * (1::DOUBLE - 0.05::DOUBLE)) AS BIGINT)), 'infinity'::DOUBLE) AS threshold FROM r""")
 def conformal(t):
     return alerts.conformal_threshold(control_maxima(t), "top", 0.05)
 
@@ -105,7 +105,7 @@ SELECT R6(avg(any_point::INT) FILTER (onset IS NULL)) AS control_point_rate,
   R6(avg((post_seq IS NOT NULL)::INT) FILTER (onset IS NOT NULL)) AS sequential_detection_rate FROM r""")
 def conformal_report(t):
     rows = conformal_sequential(t)
-    rate = lambda hit, of: fixed(F.count_if(hit & of) / F.count_if(of))
+    rate = lambda hit, of: fixed(F.try_divide(F.count_if(hit & of), F.count_if(of)))
     tr = F.col("is_treatment")
     return rows.agg(
         rate(F.col("any_point"), ~tr).alias("control_point_rate"),
@@ -169,7 +169,7 @@ def run_aware_rows(t):
 @query("C5_run_aware_alert_summary", C5_SQL + """, g AS (
 SELECT count(*) FILTER (onset IS NULL) AS controls,
   count(*) FILTER (onset IS NULL AND first_alert IS NOT NULL) AS false_alarms,
-  R6(count(*) FILTER (first_alert > onset) / count(*) FILTER (onset IS NOT NULL)) AS detection_rate,
+  R6(count(*) FILTER (first_alert > onset) / nullif(count(*) FILTER (onset IS NOT NULL), 0)) AS detection_rate,
   R6(median(first_alert - onset) FILTER (first_alert > onset)) AS median_delay FROM r)
 SELECT *, R9((SELECT sum(exp(lgamma(controls + 1) - lgamma(j + 1) - lgamma(controls - j + 1)
    + j * ln(0.15) + (controls - j) * ln(0.85))) FROM range(0, controls + 1) x(j) WHERE j <= false_alarms))
@@ -180,7 +180,7 @@ def run_aware_summary(t):
     g = rows.agg(
         F.count_if(~tr).alias("controls"),
         F.count_if(~tr & F.col("first_alert").isNotNull()).alias("false_alarms"),
-        fixed(F.count_if(F.col("detected")) / F.count_if(tr)).alias("detection_rate"),
+        fixed(F.try_divide(F.count_if(F.col("detected")), F.count_if(tr))).alias("detection_rate"),
         fixed(F.percentile("delay", 0.5)).alias("median_delay"),
     )
     tail = binomial_lower_tail(F.col("false_alarms"), F.col("controls").cast("double"), F.lit(0.15))

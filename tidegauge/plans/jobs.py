@@ -86,7 +86,7 @@ def event_feature_job(t):
         [("error", "backend"), ("purchase", "backend"), ("click", "frontend"),
          ("signup", "frontend"), ("view", "frontend")], "template string, entity string"
     )
-    coded = events.encode(rows, F.broadcast(vocabulary)).join(F.broadcast(owners), "template")
+    coded = events.encode(rows, vocabulary).join(F.broadcast(owners), "template")
     dense = coded.where("template_id > 0").groupBy("run", "entity", "i").agg(
         F.log1p(F.sum("n")).alias("value")
     )

@@ -42,8 +42,7 @@ def neighbours(t):
 
 def margins(t):
     v = vectors(t)
-    ranked = retrieval.rank_candidates(retrieval.candidates(v, v, 3))
-    return retrieval.class_margin(ranked).join(
+    return retrieval.class_margin(retrieval.candidates(v, v, 1)).join(
         v.select(F.col("id").alias("query_id"), F.col("label").alias("query_label")), "query_id"
     )
 

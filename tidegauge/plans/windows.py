@@ -138,9 +138,8 @@ SELECT r.run, r.seq, CASE WHEN NOT coalesce(r.t BETWEEN l.a AND l.z, false) THEN
 FROM r LEFT JOIN lim l USING (run)
 LEFT JOIN b ON b.run = r.run AND r.t > b.p AND r.t <= b.e AND b.rn > 1 AND b.rn < b.n""")
 def measured(t):
-    bounds = windows.boundaries_of(_view_times(t))
     errors = t.points.where("feature = 'error'").select("run", "seq", "t")
-    return windows.place_by_boundaries(errors, bounds).select("run", "seq", "status", "window")
+    return windows.place_by_boundaries(errors, _view_times(t)).select("run", "seq", "status", "window")
 
 
 @query("T9_declared_index_placement", """
@@ -204,12 +203,7 @@ def log_totals(t):
 WITH {PTS}, {BOUNDS} SELECT run, rn - 2 AS i, t AS "end",
   lag(t) OVER (PARTITION BY run ORDER BY t) AS prev_end FROM views QUALIFY rn > 1 AND rn < n""")
 def boundaries(t):
-    b = windows.boundaries_of(_view_times(t))
-    return b.select("run", "run_start", F.posexplode("ends").alias("i", "end"), "ends").select(
-        "run", F.col("i").cast("bigint").alias("i"), "end",
-        F.when(F.col("i") == 0, F.col("run_start"))
-        .otherwise(F.get("ends", F.col("i") - 1)).alias("prev_end"),
-    )
+    return windows.window_boundaries(_view_times(t))
 
 
 @query("T11_boundary_violations", f"""
