@@ -21,20 +21,30 @@ def last_in_window(points, keys, period, value="value"):
     )
 
 
-def dense_grid(cells, run, feature, period, value="value"):
-    """Every window from a run's first to its last end, for every feature."""
+def dense_grid(cells, run, feature, period, features, value="value"):
+    """Every window from a run's first to its last end, for every declared feature."""
+    ends = F.explode(F.sequence("_lo", "_hi", F.lit(period))).alias("window_end")
     spans = cells.groupBy(run).agg(
         F.min("window_end").alias("_lo"), F.max("window_end").alias("_hi")
     )
-    ends = spans.select(
-        run, F.explode(F.sequence("_lo", "_hi", F.lit(period))).alias("window_end")
-    )
-    features = cells.select(feature).distinct()
+    grid = spans.select(run, ends).select(run, "window_end", _names(features).alias(feature))
     keys = [run, feature, "window_end"]
-    return (
-        ends.crossJoin(features)
-        .join(cells.select(*keys, value), keys, "left")
-        .withColumn("observed", F.col(value).isNotNull())
+    return grid.join(cells.select(*keys, value), keys, "left").withColumn(
+        "observed", F.col(value).isNotNull()
+    )
+
+
+def _names(features):
+    return F.explode(F.array(*[F.lit(f) for f in features]))
+
+
+def run_steps(points, end, period):
+    """Every run with every window of the whole table: ``run, window_end, i``."""
+    span = points.agg(F.min(end).alias("_lo"), F.max(end).alias("_hi"))
+    ends = F.explode(F.sequence("_lo", "_hi", F.lit(period))).alias("window_end")
+    runs = points.select("run").distinct().crossJoin(F.broadcast(span))
+    return runs.select("run", "_lo", ends).select(
+        "run", "window_end", F.expr(f"(window_end - _lo) div {period}").alias("i")
     )
 
 
@@ -46,18 +56,10 @@ def dense_activity(points, period, features):
     """
     end = window_end(F.col("t"), period)
     cents = F.round(F.col("value") * 100).cast("bigint")
-    span = points.agg(F.min(end).alias("_lo"), F.max(end).alias("_hi"))
     cells = points.groupBy("run", "feature", end.alias("window_end")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(cents).alias("cents")
     )
-    steps = span.select(
-        F.explode(F.sequence(F.col("_lo"), F.col("_hi"), F.lit(period))).alias("window_end"),
-        "_lo",
-    ).select("window_end", F.expr(f"(window_end - _lo) div {period}").alias("i"))
-    names = F.explode(F.array(*[F.lit(f) for f in features])).alias("feature")
-    grid = (
-        points.select("run").distinct().select("run", names).crossJoin(steps)
-    )
+    grid = run_steps(points, end, period).select("*", _names(features).alias("feature"))
     return grid.join(cells, ["run", "feature", "window_end"], "left").select(
         "run", "i", "feature",
         F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),

@@ -328,7 +328,7 @@ f AS (SELECT family, avg(d) AS d, R6(count(*) FILTER (d < 0) / count(*)) AS win_
 @query("B10_multi_seed_confirmation", f"""
 WITH {SCORES}, {B10}, k AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS j FROM f), n AS (SELECT count(*) AS n, sum(d) AS obs FROM f),
 p AS (SELECT x.id, sum(CASE WHEN (x.id >> j) & 1 = 1 THEN -d ELSE d END) AS s FROM range(0, 64) x(id), k GROUP BY x.id)
-SELECT family, R6(d) AS mean_difference, win_fraction, d = max(d) OVER () AS is_worst,
+SELECT family, R5(d) AS mean_difference, win_fraction, d = max(d) OVER () AS is_worst,
   (SELECT R9(count(*) FILTER (s <= obs + 1e-9) / count(*)) FROM p, n) AS p_value FROM f""")
 def multi_seed(t):
     """Family means over seeds, share of seeds won, worst family, exact randomisation p-value."""
@@ -343,7 +343,7 @@ def multi_seed(t):
     p = calibration.exact_sign_flip(f, "d").select(fixed("p_value", 9).alias("p_value"))
     worst = f.agg(F.max("d").alias("_w"))
     return f.crossJoin(F.broadcast(worst)).crossJoin(F.broadcast(p)).select(
-        "family", fixed("d").alias("mean_difference"), "win_fraction",
+        "family", fixed("d", 5).alias("mean_difference"), "win_fraction",
         (F.col("d") == F.col("_w")).alias("is_worst"), "p_value",
     )
 

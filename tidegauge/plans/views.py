@@ -55,7 +55,7 @@ class Tables:
     @cached_property
     def grid(self):
         """Dense day grid per run with missing cells left NULL."""
-        return windows.dense_grid(self.cells, "run", "feature", DAY)
+        return windows.dense_grid(self.cells, "run", "feature", DAY, FEATURES)
 
     @cached_property
     def activity(self):
@@ -72,12 +72,8 @@ class Tables:
         """Summed activity per (run, day): an exact score for the alert rules."""
         cents = F.round(F.col("value") * 100).cast("bigint")
         end = window_end(F.col("t"), DAY)
-        span = self.points.agg(F.min(end).alias("_lo"), F.max(end).alias("_hi"))
         cells = self.points.groupBy("run", end.alias("window_end")).agg(F.sum(cents).alias("c"))
-        steps = span.select(
-            F.explode(F.sequence(F.col("_lo"), F.col("_hi"), F.lit(DAY))).alias("window_end"), "_lo"
-        ).select("window_end", F.expr(f"(window_end - _lo) div {DAY}").alias("i"))
-        grid = self.points.select("run").distinct().crossJoin(steps)
+        grid = windows.run_steps(self.points, end, DAY)
         return grid.join(cells, ["run", "window_end"], "left").select(
             "run", "i", (F.coalesce("c", F.lit(0)).cast("double") / 100).alias("score")
         )
