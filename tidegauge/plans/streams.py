@@ -20,8 +20,8 @@ def as_stream(t, df, name, files=4):
     with as many files as one micro-batch takes.
     """
     path = folder_for(t, name)
-    width = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
     df = materialize(df)
+    width = max(1, df.rdd.getNumPartitions())
     cuts = df.approxQuantile("t", [j / files for j in range(1, files)], 0.001)
     edges = [None, *[int(c) for c in cuts], None]
     for low, high in zip(edges, edges[1:]):
