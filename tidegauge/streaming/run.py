@@ -1,6 +1,7 @@
 """Run a stream over the files that are there, and read what it wrote."""
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -8,6 +9,22 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tidegauge.session import shared_folder
 
 
+@contextmanager
+def state_partitions(spark):
+    """State partitions of a new stream: as configured, but at most twice the cores.
+
+    A state store opens and commits files per partition and batch, so partitions
+    beyond the cores cost time and bring none back. A query fixes its number at start.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drain(stream, mode="append", keys=None):
     """Process all available input and give the written rows as a frame.
 
@@ -28,7 +45,8 @@ def drain(stream, mode="append", keys=None):
             batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
         writer = writer.foreachBatch(save)
-    query = writer.trigger(availableNow=True).start()
+    with state_partitions(spark):
+        query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(f"{path}/out"), query
