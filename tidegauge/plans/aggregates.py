@@ -8,7 +8,7 @@ from tidegauge.operators import events, sequences, skew
 from tidegauge.plans.frames import ACTIONS, actions_of
 from tidegauge.plans.registry import query
 from tidegauge.plans.sequences import ONSET, STOP, SPANS, active, spans_of
-from tidegauge.plans.views import ACT, DAY, FEATURES, PTS, SCORES, WE, WIDE
+from tidegauge.plans.views import ACT, DAY, PTS, SCORES, WE, WIDE
 
 TEMPLATES = ["click", "error", "view"]
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tidegauge.functions.clock import micros_of
 from tidegauge.functions.numbers import binomial_lower_tail, fixed
 from tidegauge.operators import alerts, calibration, skew
 from tidegauge.plans.registry import query

@@ -7,8 +7,8 @@ from tidegauge.functions.numbers import fixed
 from tidegauge.operators import design, events, graph, traces, windows
 from tidegauge.plans.frames import ACTIONS, actions_of
 from tidegauge.plans.registry import query
-from tidegauge.plans.sequences import ONSET, STOP, SPANS, active, spans_of
-from tidegauge.plans.views import ACT, CELLS, DAY, PTS, SCORES, WE
+from tidegauge.plans.sequences import SPANS, spans_of
+from tidegauge.plans.views import ACT, CELLS, DAY, PTS, WE
 
 
 @query("J1_entity_resolution", """

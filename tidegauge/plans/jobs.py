@@ -2,24 +2,20 @@
 
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Window, functions as F
 
 from tidegauge.functions.hashing import identity
 from tidegauge.functions.numbers import fixed
 from tidegauge.operators import (
-    alerts, calibration, design, detectors, dynamics, events, features, frames, graph, linear, skew,
-    traces, windows,
+    calibration, design, detectors, dynamics, events, features, frames, graph, linear, skew, traces, windows,
 )
 from tidegauge.plans import baselines
-from tidegauge.plans.aggregates import CASES, case_rows
-from tidegauge.plans.calibration import ALARM, EVID, METRICS, alarm_metrics
 from tidegauge.plans.frames import ACTIONS, ROBUST, SERIES, actions_of
 from tidegauge.plans.graph_joins import CASE, PATH, wave_cases
 from tidegauge.plans.predicates import log_counts
 from tidegauge.plans.registry import query
-from tidegauge.plans.sequences import ONSET, STOP, active, spans_of
-from tidegauge.plans.views import ACT, DAY, FEATURES, GRID, PTS, SCORES, WE, WIDE
+from tidegauge.plans.sequences import ONSET, STOP, spans_of
+from tidegauge.plans.views import ACT, DAY, FEATURES, GRID, SCORES, WIDE
 from tidegauge.session import materialize
 
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import Window, functions as F
 
-from tidegauge.functions.clock import micros_of
 from tidegauge.functions.numbers import fixed
 from tidegauge.operators import retrieval, skew
 from tidegauge.plans.registry import query

@@ -4,11 +4,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidegauge.functions.clock import micros_of, window_end
-from tidegauge.functions.numbers import fixed
-from tidegauge.operators import skew, windows
 from tidegauge.plans.registry import query
-from tidegauge.plans.views import DAY, GRID, PTS
+from tidegauge.plans.views import GRID, PTS
 from tidegauge.session import shared_folder
 from tidegauge.sources import otlp, snapshots
 
@@ -156,12 +153,13 @@ def multi_run(t):
     return otlp.join_manifests(cases, manifests).join(counts, "case_id", "left")
 
 
-EXTRACTORS = {
-    "orders": ("n bigint, levels array<string>", {
-        "run_count": F.col("j.n") * 2, "levels": F.array_sort("j.levels")}),
-    "customers": ("count bigint, segments array<string>", {
-        "run_count": F.col("j.count"), "levels": F.array_sort("j.segments")}),
-}
+def extractors():
+    return {
+        "orders": ("n bigint, levels array<string>", {
+            "run_count": F.col("j.n") * 2, "levels": F.array_sort("j.levels")}),
+        "customers": ("count bigint, segments array<string>", {
+            "run_count": F.col("j.count"), "levels": F.array_sort("j.segments")}),
+    }
 
 
 @query("S8_catalog_inventory", """
@@ -185,7 +183,7 @@ def catalog_inventory(t):
         F.regexp_extract(F.col("_metadata.file_path"), r"path=([0-9a-f]+)", 1).alias("path"),
         F.col("value").alias("content"), F.sha2("value", 256).alias("sha256"),
     )
-    found = snapshots.inventory(rows.select("corpus", "extractor", "path"), files, EXTRACTORS)
+    found = snapshots.inventory(rows.select("corpus", "extractor", "path"), files, extractors())
     return found.select("corpus", "run_count", F.array_join("levels", ",").alias("levels"))
 
 
