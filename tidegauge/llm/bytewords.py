@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from tidegauge.llm.shared import kept_by_worker
+
 BLOCK_BYTES = 4 << 20
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -45,15 +47,16 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 
 _CODES = stream(11, 256)
-_powers: dict[int, np.ndarray] = {}
 
 
 def _powers_of(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
+    """Powers of a base; kept outside the module, as its globals travel with each task's function."""
+    powers = kept_by_worker("powers", dict)
+    have = powers.get(base)
     if have is None or len(have) < n:
         have = np.full(max(n, BLOCK_BYTES + 1), base & _MASK, dtype=np.uint64)
         have[0] = 1
-        have = _powers[base] = np.cumprod(have)
+        have = powers[base] = np.cumprod(have)
     return have[:n]
 
 
