@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import decontaminate
+from tidegauge.llm import bpe_merge, decontaminate, piece_counts
 from tidegauge.llm.shared import documents
 
 QUERIES = {}
@@ -51,3 +51,15 @@ def op1_decontaminate(spark, folder):
     """Benchmark windows of ten words found in whole documents."""
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
     return decontaminate.contamination_report(documents(spark, folder), bench)
+
+
+@query("op4_bpe_round_trip")
+def op4_bpe_round_trip(spark, folder):
+    """Whole texts to ids and back."""
+    return bpe_merge.round_trip_digests(documents(spark, folder))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark, folder):
+    """Tokens of whole texts, counted without ids."""
+    return piece_counts.count_tokens(documents(spark, folder))
