@@ -125,12 +125,22 @@ class Encoder:
     def __init__(self, table: MergeTable, max_known: int = MAX_KNOWN):
         self.table, self.max_known = table, max_known
         self.known: dict[str, tuple[int, ...]] = {}
+        self.named: dict[str, tuple[str, str]] = {}
+
+    def names(self, chunk: str) -> tuple[str, str]:
+        """A known chunk's ids as text, and what they decode to."""
+        found = self.named.get(chunk)
+        if found is None:
+            ids = self.known[chunk]
+            found = self.named[chunk] = (" ".join(map(str, ids)), self.decode(ids))
+        return found
 
     def learn(self, wanted: set[str]) -> None:
         """Encode the chunks not known yet."""
         table, found = self.table, wanted - self.known.keys()
         if len(self.known) + len(found) > self.max_known:
             self.known.clear()
+            self.named.clear()
             found = wanted
         plans, words = [], {}
         for chunk in found:
@@ -224,10 +234,9 @@ def round_trip_digests(docs: DataFrame, path: str = "word_bpe_49k.json") -> Data
         for batch in batches:
             for low, texts in _text_blocks(batch.column(1)):
                 split = _encoded(texts, encoder)
-                named = {c: (" ".join(map(str, encoder.known[c])), encoder.decode(encoder.known[c])) for c in set(chain.from_iterable(split)) if encoder.known[c]}
                 counts, digests, back = [], [], []
                 for words in split:
-                    pairs = [named[c] for c in words if c in named]
+                    pairs = [p for p in map(encoder.names, words) if p[0]]
                     ids = " ".join([p[0] for p in pairs])
                     counts.append(ids.count(" ") + 1 if ids else 0)
                     digests.append(hashlib.sha256(ids.encode()).hexdigest())
