@@ -82,15 +82,19 @@ def row_blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES):
 
 
 class Words:
-    """Words of some texts: byte positions, the text of each, and their hashes."""
+    """Words of some texts: byte positions, the text of each, and their hashes.
+
+    ``kind`` tells the bytes of words; with several numbered kinds a word has bytes of one kind.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray):
         self.offsets = offsets - offsets[0]
         self.lower = LOWER[data]
-        inside = kind[self.lower]
+        group = kind[self.lower].view(np.uint8)
+        inside = group != 0
         starts, stops = inside.copy(), inside.copy()
-        starts[1:] &= ~inside[:-1]
-        stops[:-1] &= ~inside[1:]
+        starts[1:] &= group[1:] != group[:-1]
+        stops[:-1] &= group[1:] != group[:-1]
         heads = self.offsets[:-1][self.offsets[:-1] < self.offsets[1:]]
         starts[heads] = inside[heads]
         tails = self.offsets[1:][self.offsets[:-1] < self.offsets[1:]] - 1

@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import bpe_merge, decontaminate, piece_counts
+from tidegauge.llm import (
+    bpe_merge,
+    decontaminate,
+    hilbert_shards,
+    license_scan,
+    line_chunks,
+    minhash,
+    piece_counts,
+    quality_model,
+    quality_rules,
+    token_files,
+)
 from tidegauge.llm.shared import documents
 
 QUERIES = {}
@@ -63,3 +74,118 @@ def op4_bpe_round_trip(spark, folder):
 def op10_token_counts(spark, folder):
     """Tokens of whole texts, counted without ids."""
     return piece_counts.count_tokens(documents(spark, folder))
+
+
+@query("op2_token_files")
+def op2_token_files(spark, folder):
+    """Token files of whole texts, written in id order and read back."""
+    return token_files.file_digests(documents(spark, folder))
+
+
+@query("op3_hilbert_shards")
+def op3_hilbert_shards(spark, folder):
+    """Eight shards along a Hilbert curve over language, source, size and id."""
+    return hilbert_shards.shard_documents(documents(spark, folder))
+
+
+@query(
+    "op5_line_chunks",
+    r"""
+    WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+    each AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM lines),
+    hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50 AS long FROM each),
+    rolled AS (SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % 2147483629 AS r FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    ended AS (
+      SELECT *, lead(i) OVER w IS NULL OR long OR coalesce(lead(long) OVER w, false)
+        OR coalesce(r < lag(r) OVER w AND r < lead(r) OVER w, false) AS stop
+      FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    numbered AS (
+      SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+      FROM ended),
+    chunks AS (
+      SELECT doc_id, c, count(*) AS n, bool_or(long) AS long, string_agg(line, chr(10) ORDER BY i) AS body
+      FROM numbered GROUP BY doc_id, c),
+    marked AS (SELECT *, (n > 1 OR long) AND regexp_matches(body, '[^\x20\x09-\x0D]') AS fit FROM chunks),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY body, fit ORDER BY doc_id, c) AS k FROM marked),
+    result AS (SELECT *, fit AND k > 1 AS gone FROM ranked)
+    SELECT d.doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_lines, CAST(count(c) AS BIGINT) AS n_chunks,
+      CAST(coalesce(sum(CAST(gone AS INT)), 0) AS BIGINT) AS n_removed_chunks,
+      CAST(coalesce(sum(CASE WHEN gone THEN n ELSE 0 END), 0) AS BIGINT) AS n_removed_lines,
+      CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(body, chr(10) ORDER BY c) FILTER (NOT gone), '') END AS text
+    FROM documents d LEFT JOIN result USING (doc_id) GROUP BY d.doc_id
+    """,
+)
+def op5_line_chunks(spark, folder):
+    """Whole texts without chunks of lines that stand elsewhere."""
+    return line_chunks.line_report(documents(spark, folder))
+
+
+@query("op6_quality_model")
+def op6_quality_model(spark, folder):
+    """Quality scores of whole texts by a model of labelled rows."""
+    return quality_model.quality_scores(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+_SHRUNK = " OR ".join(
+    f"({r} + m_{r} * greatest(m_{r} * (1 - m_{r}) / greatest(v_{r}, 1e-6) - 1, 1e-3)) / (n + greatest(m_{r} * (1 - m_{r}) / greatest(v_{r}, 1e-6) - 1, 1e-3)) > 0.5"
+    for r in quality_rules.RULES
+)
+
+
+@query(
+    "op7_quality_rules",
+    rf"""
+    WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+    runs AS (SELECT doc_id, k, w[k : k + 2] AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM w WHERE len(w) > 2)),
+    again AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS c FROM runs) WHERE c > 1),
+    covered AS (SELECT doc_id, count(*) AS c FROM (SELECT DISTINCT doc_id, unnest(range(k, k + 3)) AS p FROM again) GROUP BY doc_id),
+    counted AS (
+      SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l, CAST(coalesce(c, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN covered USING (doc_id)),
+    judged AS (
+      SELECT *, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, n_words < 50 AS few_words, 100 * n_repeat_words > 50 * n_words AS repeats,
+        10 * n_symbols > n_words AS symbols, 10 * (len(l) - len(list_distinct(l))) > 3 * len(l) AS dup_lines
+      FROM counted),
+    hosts AS (SELECT source, count(*) AS n, {", ".join(f"sum(CAST({r} AS INT)) AS {r}" for r in quality_rules.RULES)} FROM judged WHERE source IS NOT NULL GROUP BY source),
+    moments AS (SELECT {", ".join(f"avg({r} / n) AS m_{r}, coalesce(var_pop({r} / n), 0) AS v_{r}" for r in quality_rules.RULES)} FROM hosts),
+    bad AS (SELECT source, true AS rejected FROM hosts, moments WHERE {_SHRUNK})
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words OR repeats AS base_failed,
+      NOT (few_words OR repeats) AND rejected IS NULL AS kept
+    FROM judged LEFT JOIN bad USING (source)
+    """,
+)
+def op7_quality_rules(spark, folder):
+    """Counts of whole texts, base rules, and verdicts of hosts."""
+    return quality_rules.judge_documents(documents(spark, folder))
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark, folder):
+    """Licence phrases and signatures in whole texts."""
+    return license_scan.license_report(documents(spark, folder))
+
+
+@query(
+    "op9_minhash",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+      FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, w[k : k + least(5, len(w)) - 1] AS sh
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (
+      SELECT u, v FROM shared JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 75 * (a.n + b.n - c)),
+    reach(a, b) AS (SELECT u, v FROM links UNION SELECT reach.a, links.v FROM reach JOIN links ON reach.b = links.u)
+    SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+      least(doc_id, coalesce(low, doc_id)) = doc_id AS kept
+    FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) USING (doc_id)
+    """,
+)
+def op9_minhash(spark, folder):
+    """Near-duplicate groups of whole texts."""
+    return minhash.near_duplicates(documents(spark, folder))
