@@ -1,4 +1,4 @@
-"""Connected components of a link table by alternating star contractions."""
+"""Roots of forests by pointer jumping, and components of link tables by alternating stars."""
 
 from __future__ import annotations
 
@@ -19,6 +19,19 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct()
 
 
+def tops(parents: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, parent) without cycles.
+
+    Each round doubles the way that a pointer goes; it ends when no root has a parent.
+    """
+    roots = parents.select("node", F.col("parent").alias("root"))
+    while True:
+        above = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        if roots.join(above, "root", "left_semi").isEmpty():
+            return roots
+        roots = written(roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (u, v) but the roots; a root is its group's smallest node.
 

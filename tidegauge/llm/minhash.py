@@ -3,13 +3,15 @@
 A document has two small collections of ``m`` tuples of ``k`` minhashes. A table key is a pair
 (tuple i of the first, tuple j of the second): ``m * m`` tables of ``2k`` hashes from ``2mk``
 minhash functions. A pair of Jaccard similarity J shares a table with probability
-``(1 - (1 - J^k)^m)^2``: 0.9999 at J = 0.75 for m = 12, k = 2.
+``(1 - (1 - J^k)^m)^2``: 0.9999 at J = 0.75 for m = 18, k = 3.
 
 Documents with equal sets form one class, and only classes are compared. Tuples that no other class
 has are dropped before pairs of tuples are formed. In each bucket every class meets the bucket's
-smallest class; each class is verified with the pivot that it shares most tables with, and the
-links are contracted to components. Then all pairs of classes in a bucket that still lie in
-different components are verified too, so no candidate pair between components is left out.
+pivot, the class with the most tables; each class is verified with the pivot that it shares most
+tables with, and these links are followed to their roots. Then the pairs of classes that share a
+table and still have different roots are verified too, so no candidate pair between components is
+left out. Before that, a parity bitmap of 1024 bits bounds a pair's symmetric difference from below,
+so that join gives only pairs that can be links.
 
 Defined results: null texts, and texts without words, have no shingles and are linked with nothing;
 texts of fewer than five words have one shingle. Repeated rows get equal rows. Rows that share a
@@ -25,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.bytewords import NON_SPACE, Words, mix, row_blocks, run_hashes, run_starts, stream, text_bytes
-from tidegauge.llm.components import components
+from tidegauge.llm.components import components, tops
 from tidegauge.llm.shared import written
 
 SHINGLE = 5
-TUPLES, WIDTH = 12, 2
+TUPLES, WIDTH = 18, 3
+MARKS = 16
 PERCENT = 75
 
 
@@ -71,27 +74,35 @@ def _signature_rows(data, offsets, m: int, k: int):
             for j in range(band * k, band * k + k):
                 key = mix(key + np.minimum.reduceat((found ^ salt[j]) * odd[j], cuts))
             bands[full, band] = (key & ~np.uint64(1)) | np.uint64(band >= m)
-    return sizes, digest, bands
+    return sizes, digest, bands, _parities(at, found, n_texts)
+
+
+def _parities(at: np.ndarray, found: np.ndarray, n_texts: int) -> np.ndarray:
+    """Bitmaps in which each shingle flips one bit: those of two sets differ in no more bits than the sets in shingles."""
+    width = 64 * MARKS
+    odd = np.bincount(at * width + (found % np.uint64(width)).astype(np.int64), minlength=n_texts * width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64).reshape(n_texts, MARKS)
 
 
 def signatures(docs: DataFrame, m: int = TUPLES, k: int = WIDTH) -> DataFrame:
-    """doc_id, text key, set size, two digests of the set, and 2m band keys (the last bit tells the collection)."""
+    """doc_id, text key, set size, two digests of the set, 2m band keys (the last bit tells the collection) and the parity bitmap."""
 
     def sign(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             for low, high in row_blocks(offsets):
-                sizes, (d1, d2), bands = _signature_rows(data[offsets[low] : offsets[high]], offsets[low : high + 1], m, k)
+                sizes, (d1, d2), bands, marks = _signature_rows(data[offsets[low] : offsets[high]], offsets[low : high + 1], m, k)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * 2 * m), pa.array(bands.reshape(-1).view(np.int64)))
+                marked = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * MARKS), pa.array(marks.reshape(-1)))
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists],
-                    ["doc_id", "text_key", "n", "d1", "d2", "bands"],
+                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, marked],
+                    ["doc_id", "text_key", "n", "d1", "d2", "bands", "marks"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        sign, f"doc_id {id_type}, text_key long, n long, d1 long, d2 long, bands array<long>"
+        sign, f"doc_id {id_type}, text_key long, n long, d1 long, d2 long, bands array<long>, marks array<long>"
     )
 
 
@@ -110,6 +121,30 @@ def _shared_counts(a: pa.Array, b: pa.Array) -> list[np.ndarray]:
     return [np.bincount(sets[0][0], minlength=n), np.bincount(sets[1][0], minlength=n), np.bincount(at[1:][same], minlength=n)]
 
 
+def _may_link(percent: int):
+    """Whether sizes and bitmaps of a pair leave the needed similarity possible."""
+    apart = sum((F.bit_count(F.col(f"mark{i}").bitwiseXOR(F.col(f"mark{i}_v"))) for i in range(MARKS)), F.lit(0))
+    return _close("n", "n_v", percent) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_v")))
+
+
+def _open_pairs(nodes: DataFrame, percent: int, m: int) -> DataFrame:
+    """Pairs of nodes of different roots that share a table and can be links, each pair once.
+
+    Nodes meet in each tuple of the first collection that they share; the pair comes from the first
+    such tuple, and shares a table if it shares a tuple of the second collection too.
+    """
+    flat = nodes.select(
+        "node", "root", "n", F.slice("bands", 1, m).alias("first"), F.slice("bands", m + 1, m).alias("second"),
+        *[F.col("marks")[i].alias(f"mark{i}") for i in range(MARKS)],
+    )
+    rows = flat.select("*", F.posexplode("first").alias("i", "band"))
+    other = rows.select("band", *[F.col(c).alias(f"{c}_v") for c in flat.columns])
+    # Tuples hold their number, so equal ones stand at equal places.
+    before = F.arrays_overlap(F.slice("first", 1, F.col("i")), F.slice("first_v", 1, F.col("i")))
+    keep = (F.col("node") < F.col("node_v")) & (F.col("root") != F.col("root_v")) & _may_link(percent) & ~before & F.arrays_overlap("second", "second_v")
+    return rows.join(other, "band").where(keep).select(F.col("node").alias("u"), F.col("node_v").alias("v"), F.col("root").alias("root_u"), F.col("root_v"))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (u, v) whose whole sets are similar enough."""
 
@@ -130,13 +165,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
 
 
 def _table_keys(classes: DataFrame) -> DataFrame:
-    """(table, node, n): pairs of one tuple of each collection that other classes have as well."""
+    """(node, n, held, table): pairs of one tuple of each collection that other classes have as well; held counts a node's."""
     single = classes.where("n > 0").select("node", "n", F.explode("bands").alias("band"))
     shared = single.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     held = single.join(shared, "band", "left_semi").groupBy("node", "n").agg(F.collect_list("band").alias("bands"))
-    first, second = (F.filter("bands", lambda x, side=side: x.bitwiseAND(F.lit(1)) == side) for side in (0, 1))
+    first = F.filter("bands", lambda x: x.bitwiseAND(F.lit(1)) == 0)
+    second = F.filter("bands", lambda x: x.bitwiseAND(F.lit(1)) == 1)
     tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x, y))))
-    return held.select("node", "n", F.explode(tables).alias("table"))
+    return held.select("node", "n", tables.alias("tables")).select("node", "n", F.size("tables").alias("held"), F.explode("tables").alias("table"))
 
 
 def _close(n: str, m: str, percent: int):
@@ -148,32 +184,29 @@ def grouped(docs: DataFrame, percent: int = PERCENT, m: int = TUPLES, k: int = W
     """doc_id, text_key, n_shingles, component_id and kept of every document."""
     signed = written(signatures(docs, m, k))
     classes = written(
-        signed.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "text_key", "bands")).alias("r"))
-        .select("d1", "d2", "n", "r.*").withColumn("node", F.monotonically_increasing_id())
-    )
-    tables = written(_table_keys(classes).repartition("table"))
-    buckets = tables.groupBy("table").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("p")).where("c > 1")
-    meets = (
-        tables.join(buckets.select("table", "p"), "table")
-        .where((F.col("node") > F.col("p.node")) & _close("n", "p.n", percent))
-        .groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("c"))
+        signed.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("low_id"), F.min(F.struct("doc_id", "text_key", "bands", "marks")).alias("r"))
+        .select("d1", "d2", "n", "low_id", "r.*").withColumn("node", F.monotonically_increasing_id())
     )
+    tables = _table_keys(classes)
+    buckets = tables.groupBy("table").agg(F.count("*").alias("c"), F.min(F.struct((-F.col("held")).alias("held"), "node", "n")).alias("p")).where("c > 1").select("table", "p")
+    members = written(tables.join(buckets, "table").select("table", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")))
+    # A pivot has more tables than the node, or as many and a smaller id, so these pairs make a forest.
+    meets = members.where((F.col("node") != F.col("pivot")) & _close("n", "pivot_n", percent)).groupBy("node", "pivot").agg(F.count("*").alias("c"))
     first = written(meets.groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("best")).select(F.col("best.pivot").alias("u"), F.col("node").alias("v")))
-    crowd = tables.join(buckets.select("table"), "table", "left_semi").select("node").distinct()
-    texts = written(_texts(docs, classes.join(crowd, "node", "left_semi")))
+    texts = written(_texts(docs, classes.join(members.select("node").distinct(), "node", "left_semi")))
     links = written(confirmed(first, texts, percent))
-    roots = components(links)
-    placed = tables.join(roots, "node", "left").select("table", "node", "n", F.coalesce("root", "node").alias("root"))
+    roots = tops(links.select(F.col("v").alias("node"), F.col("u").alias("parent")))
+    placed = members.join(roots, "node", "left").select("table", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("table").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("table")
-    open_rows = written(placed.join(mixed, "table", "left_semi"))
-    other = open_rows.select("table", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"))
-    rest = (
-        open_rows.join(other, "table").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("root_v")) & _close("n", "n_v", percent))
-        .select(F.col("node").alias("u"), "v").distinct().join(first, ["u", "v"], "left_anti")
-    )
-    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(confirmed(rest, texts, percent)))
-    whole = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    open_nodes = placed.join(mixed, "table", "left_semi").select("node", "root").distinct().join(classes.select("node", "n", "bands", "marks"), "node")
+    rest = written(_open_pairs(written(open_nodes), percent, m))
+    more = confirmed(rest.select("u", "v"), texts, percent).join(rest, ["u", "v"]).select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+    merged = components(more)
+    placed = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # A root stands in no link as the lower end, so only the merged table can have it.
+    named = placed.union(merged.join(roots, "node", "left_anti"))
+    whole = classes.join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = whole.groupBy("root").agg(F.min("low_id").alias("component_id"))
     named = whole.join(smallest, "root").select("d1", "d2", "n", "node", "component_id")
     return signed.select("doc_id", "text_key", "n", "d1", "d2").join(named, ["d1", "d2", "n"]).select(
         "doc_id", "text_key",
@@ -185,10 +218,10 @@ def grouped(docs: DataFrame, percent: int = PERCENT, m: int = TUPLES, k: int = W
 
 def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """One text of each of the classes."""
-    wanted = classes.select("node", F.col("doc_id").alias("wanted_id"), F.col("text_key").alias("wanted_key"))
-    held = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    found = held.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_key") == F.col("wanted_key")))
-    return found.select("node", "text").dropDuplicates(["node"])
+    wanted = classes.select("node", F.xxhash64("doc_id", "text_key").alias("key"), F.col("doc_id").alias("wanted_id"), F.col("text_key").alias("wanted_key"))
+    held = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).withColumn("key", F.xxhash64("doc_id", "text_key"))
+    found = held.join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_key") == F.col("wanted_key")))
+    return found.select("key", "node", "text").dropDuplicates(["key", "node"]).select("node", "text")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
