@@ -162,7 +162,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         if identifier:
             made.append((label, "spdx", rf"spdx license identifier {identifier}", 0, 1.0))
         made.append((label, gate, rf"(?:licensed|distributed|available|redistribute[d]?|covered) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name}(?: license)?", 1, 0.95))
-        made.append((label, gate, rf"(?:the )?{name} license", 2, 0.8))
+        made.append((label, gate, rf"(?:the )?{name}(?: license)?" if "license" in name else rf"(?:the )?{name} license", 2, 0.8))
         made.append((label, gate, rf"(?:released|published|provided|shared|offered) under (?:the |an? )?{name}", 2, 0.75))
     return made + PHRASES
 
