@@ -18,22 +18,19 @@ def one(df):
 
 def test_normalized_body(spark):
     bodies = [
-        "User 17 opened 123e4567-e89b-12d3-a456-426614174000 at 0xDEADBEEF in  2.5 seconds",
-        "user 4 opened 00000000-0000-4000-8000-000000000000 at deadbeef01 in\t9 seconds ",
+        "Volume 8 attached to 0f8fad5b-d9cb-469f-a165-70867728950e via 0xCAFE01 after  12.25 ms",
+        "volume 31 attached to 7c9e6679-7425-40de-944b-e07fc1f90ae7 via beefcafe77 after\t3 ms ",
     ]
     df = spark.createDataFrame([(b,) for b in bodies], "b string")
     got = {r[0] for r in df.select(text.normalize_body(F.col("b"))).collect()}
-    assert got == {"user <num> opened <uuid> at <hex> in <num> seconds"}
+    assert got == {"volume <num> attached to <uuid> via <hex> after <num> ms"}
 
 
 def test_template_masks_and_counts(spark):
-    df = spark.createDataFrame(
-        [("checkout accepted 123",), ("checkout accepted 456",), ("worker completed",), ("from 10.0.0.1 x9",)], "b string"
-    )
+    lines = ["node joined after 12 tries", "node joined after 7 tries", "cache warmed", "peer 10.2.0.9 gone7"]
+    df = spark.createDataFrame([(x,) for x in lines], "b string")
     got = {r.template: (r.n, r.payload_bytes) for r in events.log_templates(df, "b").collect()}
-    assert got == {
-        "checkout accepted <*>": (2, 29), "worker completed": (1, 24), "from <*> x9": (1, 19),
-    }
+    assert got == {"node joined after <*> tries": (2, 35), "cache warmed": (1, 20), "peer <*> gone7": (1, 22)}
 
 
 @pytest.mark.parametrize("limit", [3, 1000])
@@ -73,17 +70,15 @@ def test_schedule_period(spark):
 
 
 def test_counter_window_worked_example(spark):
+    """A fifth of a second with six workers; then all counters fall back."""
     zero = {n: 0 for n in features.COUNTERS}
-    after = zero | {
-        "api_requests": 10, "api_latency_us": 40_000, "api_errors": 1, "api_busy_us": 150_000,
-        "worker_busy_us": 48_000, "database_rows": 7,
-    }
+    after = zero | {"api_requests": 24, "api_latency_us": 60_000, "api_errors": 3, "api_busy_us": 300_000, "worker_busy_us": 240_000, "database_rows": 9}
     rows = [(1, 0, *zero.values()), (1, 1, *[after[n] for n in features.COUNTERS]), (1, 2, *zero.values())]
     df = spark.createDataFrame(rows, "run int, t int, " + ", ".join(f"{n} bigint" for n in features.COUNTERS))
-    a, b = features.counter_window(df, "run", "t", 0.1, 4).orderBy("t").collect()
-    assert a.request_rate == pytest.approx(100) and a.request_latency_ms == pytest.approx(4.0)
-    assert a.error_rate == pytest.approx(0.1) and a.api_concurrency_mean == pytest.approx(1.5)
-    assert a.worker_busy_fraction == pytest.approx(0.12) and a.db_write_rate == pytest.approx(70)
+    a, b = features.counter_window(df, "run", "t", 0.2, 6).orderBy("t").collect()
+    assert a.request_rate == pytest.approx(120) and a.request_latency_ms == pytest.approx(2.5)
+    assert a.error_rate == pytest.approx(0.125) and a.api_concurrency_mean == pytest.approx(1.5)
+    assert a.worker_busy_fraction == pytest.approx(0.2) and a.db_write_rate == pytest.approx(45)
     assert a.monotonic and not b.monotonic and a.redis_enqueue_latency_ms == 0.0
 
 
@@ -142,7 +137,11 @@ def test_span_trees(spark):
     assert s == {1: (3, 0, 0, True), 2: (2, 0, 1, False), 3: (2, 1, 0, False), 4: (14, 0, 0, True)}
     d = {(r.trace, r.span): r.depth for r in traces.depths(spans.where("trace <> 3")).collect()}
     assert [d[1, x] for x in "abc"] == [0, 1, 2] and (d[2, "x"], d[2, "y"]) == (0, 1)
-    assert [d[4, f"s{i:02d}"] for i in range(14)] == [min(i, 8) for i in range(14)]
+    assert [d[4, f"s{i:02d}"] for i in range(14)] == list(range(14))
+    deep = [(5, f"d{i}", f"d{i - 1}" if i else None) for i in range(70)] + [(6, "p", "q"), (6, "q", "p"), (6, "r", "q"), (6, "top", None)]
+    got = {(r.trace, r.span): r.depth for r in traces.depths(spark.createDataFrame(deep, "trace int, span string, parent string")).collect()}
+    assert [got[5, f"d{i}"] for i in range(70)] == list(range(70))
+    assert [got[6, x] for x in ("p", "q", "r", "top")] == [None, None, None, 0]
 
 
 def test_exact_paths(spark):
@@ -172,8 +171,43 @@ def test_exact_sign_flip_against_enumeration(spark):
     r = calibration.exact_sign_flip(df, "d").first()
     sums = [sum(s * x for s, x in zip(signs, d)) for signs in itertools.product((1, -1), repeat=5)]
     assert (r.patterns, r.as_extreme) == (32, sum(s <= sum(d) + 1e-9 for s in sums))
-    with pytest.raises(ValueError):
-        calibration.exact_sign_flip(spark.range(40).select(F.col("id").cast("double").alias("d")), "d")
+    with pytest.raises(ValueError, match="no pair"):
+        calibration.exact_sign_flip(df.limit(0), "d")
+
+
+def test_sign_flip_beyond_enumeration(spark):
+    """Thirty pairs of one size: the number of negative signs is binomial."""
+    from math import comb
+
+    df = spark.createDataFrame([(-0.5,)] * 19 + [(0.5,)] * 11, "d double")
+    r = calibration.exact_sign_flip(df, "d").first()
+    want = sum(comb(30, j) for j in range(19, 31))
+    assert (r.patterns, r.as_extreme) == (1 << 30, want) and r.p_value == pytest.approx(want / (1 << 30), rel=1e-12)
+
+
+def test_gaps_of_a_long_trace(spark):
+    from tidegauge.operators import sequences
+
+    spans = spark.createDataFrame([(1, i, i * 10_000_000, i * 10_000_000 + 4_000_000) for i in range(50)], "trace int, span int, start bigint, `end` bigint")
+    rows = sorted(sequences.span_gaps(spans, "trace").collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(1, 51))
+    assert [r.gap_from_previous_ms for r in rows] == [0.0] + [6.0] * 49
+    assert [r.time_to_next_ms for r in rows] == [6.0] * 49 + [0.0]
+
+
+def test_binomial_tail_of_many_trials(spark):
+    cases = [(200_000, 1e6, 0.2), (199_000, 1e6, 0.2), (201_500, 1e6, 0.2), (1000, 5000.0, 0.2), (5000, 5000.0, 0.2), (0, 5000.0, 0.2), (7, 40.0, 0.2)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, k bigint, n double, p double")
+    got = [r[0] for r in df.orderBy("i").select(numbers.binomial_lower_tail(F.col("k"), F.col("n"), F.col("p"))).collect()]
+
+    def exact(k, n, p):
+        import math
+
+        j = np.arange(0, k + 1)
+        terms = [math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(p) + (n - x) * math.log(1 - p) for x in j[-60_000:]]
+        return math.fsum(map(math.exp, terms))
+
+    assert np.allclose(got, [exact(*c) for c in cases], rtol=1e-7, atol=1e-12)
 
 
 def test_binomial_tail_and_hit(spark):

@@ -67,7 +67,7 @@ def test_exact_quantiles(rows, limit):
 
 def test_cusum_worked_example(spark):
     df = spark.createDataFrame(
-        [(i, x) for i, x in enumerate([2.0, -3.0, -3.0, 1.0, 1.0])], "i int, x double"
+        [(i, x) for i, x in enumerate([4.0, -1.5, -7.0, 0.5, 2.0, -1.0])], "i int, x double"
     )
     out = skew.resettable_cusum(df, [], ["i"], F.col("i"), F.col("x"), limit=2).orderBy("i")
-    assert [r.cusum for r in out.collect()] == [2, 0, 0, 1, 2]
+    assert [r.cusum for r in out.collect()] == [4, 2.5, 0, 0.5, 2.5, 1.5]

@@ -4,6 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
+from tidegauge.session import materialize
+
 # The calibration grid of slopes and intercepts.
 SLOPES = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0]
 INTERCEPTS = [-4.0 + 0.25 * i for i in range(33)]
@@ -102,23 +104,32 @@ def mixture_moments(components):
     return components.agg(m.alias("mean"), (second - m * m).alias("var"))
 
 
-def exact_sign_flip(pairs, difference, max_pairs=20):
-    """Exact paired sign-flip p-value over all 2^n sign patterns.
+def exact_sign_flip(pairs, difference, unit=1e-9, rounds_per_table=12):
+    """Exact paired sign-flip p-value over all 2^n sign patterns, for any n.
 
-    ``pairs`` is a short table of one difference per pair; its size is checked.
+    Differences are taken in whole ``unit``s. The distribution of the signed sum is a
+    table of (sum, patterns); each pair convolves it once, so it holds distinct sums
+    only, and every so many pairs it is written. Sums within one unit per pair of the
+    observed one count as equal. Shares are kept instead of counts, as 2^n outgrows
+    every number type; ``as_extreme`` is NULL past 62 pairs.
     """
     spark = pairs.sparkSession
-    values = [r[0] for r in pairs.select(difference).orderBy(difference).limit(max_pairs + 1).collect()]
-    if not 0 < len(values) <= max_pairs:
-        raise ValueError(f"exact enumeration takes 1 to {max_pairs} pairs")
-    array = F.array(*[F.lit(float(v)) for v in values])
-    sign = lambda j: 1 - 2 * F.shiftright(F.col("id"), j).bitwiseAND(1)
-    flipped = sum((sign(j) * array[j] for j in range(1, len(values))), sign(0) * array[0])
-    observed = sum(values)
-    hit = flipped <= F.lit(observed + 1e-9)
-    return spark.range(1 << len(values)).agg(
-        F.count(F.lit(1)).alias("patterns"), F.count_if(hit).alias("as_extreme")
-    ).withColumn("p_value", F.col("as_extreme") / F.col("patterns"))
+    values = [int(round(r[0] / unit)) for r in pairs.select(difference).where(F.col(difference).isNotNull()).toLocalIterator()]
+    if not values:
+        raise ValueError("no pair to flip")
+    sums = spark.createDataFrame([(0, 1.0)], "s bigint, share double")
+    for number, value in enumerate(values, 1):
+        both = F.explode(F.array(F.col("s") + F.lit(value), F.col("s") - F.lit(value)))
+        sums = sums.select(both.alias("s"), (F.col("share") / 2).alias("share")).groupBy("s").agg(F.sum("share").alias("share"))
+        if number % rounds_per_table == 0:
+            sums = materialize(sums)
+    n, observed = len(values), sum(values)
+    extreme = F.coalesce(F.sum(F.when(F.col("s") <= observed + n, F.col("share"))), F.lit(0.0))
+    exact = F.lit(n <= 62)
+    return sums.agg(extreme.alias("p_value")).select(
+        F.when(exact, F.lit(1 << min(n, 62))).alias("patterns"),
+        F.when(exact, F.round(F.col("p_value") * float(1 << min(n, 62))).cast("bigint")).alias("as_extreme"), "p_value",
+    )
 
 
 def monte_carlo_sign_flip(pairs, pair, difference, draws, seed):

@@ -45,7 +45,7 @@ def incoming_sources(edges, nodes):
     return pair("edge", "source").unionByName(pair("target", "edge")).unionByName(itself).distinct()
 
 
-def reachable(edges, max_rounds=20):
+def reachable(edges):
     """All (source, target) pairs joined by a directed path, cycles included.
 
     Each round joins the found pairs with themselves, so path length doubles and
@@ -54,7 +54,7 @@ def reachable(edges, max_rounds=20):
     """
     found = materialize(edges.select("source", "target").distinct())
     size = found.count()
-    for _ in range(max_rounds):
+    while True:
         hop = found.select(F.col("source").alias("target"), F.col("target").alias("_far"))
         longer = found.join(hop, "target").select("source", F.col("_far").alias("target"))
         found = materialize(found.unionByName(longer).distinct())
@@ -62,7 +62,6 @@ def reachable(edges, max_rounds=20):
         if grown == size:
             return found
         size = grown
-    raise ValueError("reachability did not settle")
 
 
 def resolve_entity(events, by_service_event, by_event, by_service):

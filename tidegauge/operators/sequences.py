@@ -25,18 +25,15 @@ def related_deltas(records):
     ).drop("_rel", "_prev")
 
 
-def span_gaps(spans, trace, keep=None):
+def span_gaps(spans, trace):
     """Gaps inside an ordered trace, in ms and never negative.
 
-    ``keep``: only the first so many spans of a trace stay. Needs whole-number
-    ``span``, ``start`` and ``end``. Spans without a trace id may pile up under one
+    Needs whole-number ``span``, ``start`` and ``end``. Spans without a trace id may pile up under one
     key, so the order is scanned split-safe.
     """
     keys, order, by = [trace], ["start", "span"], F.col("start")
     plan = skew.plan_split(spans, keys, by)
     rows = skew.running_count(spans, keys, order, by, "position", plan=plan)
-    if keep is not None:
-        rows = rows.where(F.col("position") <= keep)
     rows = skew.previous(rows, keys, order, by, {"_before": F.col("end")}, plan=plan)
     rows = skew.following(rows, keys, order, by, {"_after": F.col("start")}, plan=plan)
     ms = F.lit(1e6)

@@ -2,8 +2,7 @@
 
 from pyspark.sql import functions as F
 
-
-MAX_DEPTH = 8
+from tidegauge.session import materialize
 
 
 def structure(spans):
@@ -17,25 +16,27 @@ def structure(spans):
     ).withColumn("valid", (F.col("repeated") == 0) & (F.col("missing_parents") == 0))
 
 
-def depths(spans, cap=MAX_DEPTH):
-    """Depth of each span, counted up the parent links and capped.
+def depths(spans):
+    """Depth of each span, counted up the parent links; NULL on and below a cycle.
 
-    A fixed number of joins (log2 of the cap): each one doubles the jump.
+    Each round doubles the jump, so rounds grow with the logarithm of the depth. A
+    jump past the number of spans means a cycle, and what still climbs is on or
+    below one. Rounds are written, which keeps the plan short.
     """
-    rows = spans.select("trace", "span", F.col("parent").alias("up"))
-    ids = spans.select("trace", "span")
-    rows = rows.join(
-        ids.withColumnRenamed("span", "up").withColumn("_known", F.lit(1)), ["trace", "up"], "left"
-    ).select("trace", "span", F.when(F.col("_known") == 1, F.col("up")).alias("up"))
-    rows = rows.withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0))
-    jump = 1
-    while jump < cap:
+    known = spans.select("trace", F.col("span").alias("up")).distinct().withColumn("_known", F.lit(True))
+    rows = materialize(
+        spans.select("trace", "span", F.col("parent").alias("up")).join(known, ["trace", "up"], "left")
+        .select("trace", "span", F.when(F.col("_known"), F.col("up")).alias("up"))
+        .withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0))
+    )
+    jump, total = 1, rows.count()
+    while jump <= total and not rows.where(F.col("up").isNotNull()).isEmpty():
         far = rows.select("trace", F.col("span").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
-        rows = rows.join(far, ["trace", "up"], "left").select(
+        rows = materialize(rows.join(far, ["trace", "up"], "left").select(
             "trace", "span", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")
-        )
+        ))
         jump *= 2
-    return rows.select("trace", "span", F.least("depth", F.lit(cap)).alias("depth"))
+    return rows.select("trace", "span", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
 def exact_path(spans, names):

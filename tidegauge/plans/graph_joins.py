@@ -193,7 +193,7 @@ def span_tree(t):
 
 
 @query("J10_span_depth", f"""
-WITH {SPANS} SELECT trace, span, least(span, 8) AS depth FROM spans""")
+WITH {SPANS} SELECT trace, span, span AS depth FROM spans""")
 def span_depth(t):
     return traces.depths(spans_of(t)).withColumn("depth", F.col("depth").cast("bigint"))
 
@@ -230,7 +230,7 @@ def deranged(t):
     return design.derangement(rows, ["stratum"], "run")
 
 
-RECON = """e AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'O' END AS status, 4 AS lines FROM orders WHERE o_totalprice > 20000),
+RECON = """e AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'O' END AS status, 4 AS lines FROM orders WHERE o_orderpriority <> '5-LOW'),
 o AS (SELECT l_orderkey AS k, max(l_linestatus) AS status, count(*) AS lines FROM lineitem GROUP BY 1)"""
 
 
@@ -238,7 +238,7 @@ o AS (SELECT l_orderkey AS k, max(l_linestatus) AS status, count(*) AS lines FRO
 WITH {RECON} SELECT k, CASE WHEN o.lines IS NULL THEN 'missing' WHEN e.lines IS NULL THEN 'unexpected'
   WHEN e.status <> o.status THEN 'status' WHEN e.lines <> o.lines THEN 'lines' END AS mismatch FROM e FULL JOIN o USING (k)""")
 def plan_reconciliation(t):
-    e = t.orders.where("o_totalprice > 20000").select(
+    e = t.orders.where("o_orderpriority <> '5-LOW'").select(
         F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", "F").otherwise("O").alias("status"),
         F.lit(4).cast("bigint").alias("lines"),
     )

@@ -191,13 +191,13 @@ def collection_gates(t):
 
 
 @query("B6_plan_manifest_attestation", """
-WITH p AS (SELECT c_custkey AS id, c_nationkey AS n FROM customer), m AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice > 1000),
+WITH p AS (SELECT c_custkey AS id, c_nationkey AS n FROM customer), m AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus <> 'P'),
 a AS (SELECT o_custkey AS id, max(o_totalprice) > 490000 AS late FROM orders GROUP BY 1)
 SELECT coalesce(p.id, m.id, a.id) AS id, p.id IS NOT NULL AS planned, m.id IS NOT NULL AS captured, a.id IS NOT NULL AS attested,
   sha256('{"id":' || coalesce(p.id, m.id, a.id) || ',"n":' || n || '}') AS binding FROM p FULL JOIN m ON m.id = p.id FULL JOIN a ON a.id = coalesce(p.id, m.id)""")
 def three_way(t):
     p = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n"), F.lit(True).alias("_p"))
-    m = t.orders.where("o_totalprice > 1000").select(F.col("o_custkey").alias("id")).distinct().withColumn("_m", F.lit(True))
+    m = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("id")).distinct().withColumn("_m", F.lit(True))
     a = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("_a"))
     both = p.join(m, "id", "full_outer").join(a, "id", "full_outer")
     return both.select(

@@ -154,14 +154,13 @@ SPANS = """spans AS (SELECT conv_id AS trace, turn AS span, CASE WHEN turn > 0 T
 
 
 @query("F7_inter_event_gaps", f"""
-WITH {SPANS}, r AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY start, span) AS rn FROM spans
-  QUALIFY rn <= 4)
+WITH {SPANS}, r AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY start, span) AS rn FROM spans)
 SELECT trace, span, CAST(rn AS BIGINT) AS position,
   R4(greatest(0, (start - coalesce(lag("end") OVER w, start)) / 1e6)) AS gap_from_previous_ms,
   R4(greatest(0, (coalesce(lead(start) OVER w, "end") - "end") / 1e6)) AS time_to_next_ms
 FROM r WINDOW w AS (PARTITION BY trace ORDER BY start, span)""")
 def gaps(t):
-    out = sequences.span_gaps(spans_of(t), "trace", 4)
+    out = sequences.span_gaps(spans_of(t), "trace")
     return out.select(
         "trace", "span", F.col("position").cast("bigint").alias("position"),
         fixed("gap_from_previous_ms", 4).alias("gap_from_previous_ms"),

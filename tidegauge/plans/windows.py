@@ -29,7 +29,7 @@ WITH {PTS} SELECT feature, ((t + {HOUR} - 1) // {HOUR}) * {HOUR} AS window_end,
   CAST(count(*) AS BIGINT) AS points
 FROM pts WHERE flags = 0 AND isfinite(value) GROUP BY ALL""")
 def gauge_last(t):
-    p = windows.recorded(t.points).where(~F.isnan("value"))
+    p = windows.recorded(t.points).where(F.abs("value") < float("inf"))
     return p.groupBy("feature", window_end(F.col("t"), HOUR).alias("window_end")).agg(
         F.max_by("value", F.struct("t", "seq")).alias("value"),
         F.count(F.lit(1)).alias("points"),
@@ -208,7 +208,7 @@ def boundaries(t):
 
 @query("T11_boundary_violations", f"""
 WITH {PTS}, m AS (SELECT run, t, CASE WHEN feature = 'view' THEN 'drain' ELSE 'window' END AS role
-  FROM pts WHERE k < 40)
+  FROM pts)
 SELECT run, CAST(count(*) FILTER (roles > 1) AS BIGINT) AS ambiguous_times,
   CAST(sum(drains) AS BIGINT) AS drains FROM (
   SELECT run, t, count(DISTINCT role) AS roles, count(*) FILTER (role = 'drain') AS drains
@@ -216,7 +216,7 @@ SELECT run, CAST(count(*) FILTER (roles > 1) AS BIGINT) AS ambiguous_times,
 def boundary_errors(t):
     role = F.when(F.col("feature") == "view", "drain").otherwise("window")
     return windows.boundary_violations(
-        t.points.where("k < 40").select("run", "t", role.alias("role"))
+        t.points.select("run", "t", role.alias("role"))
     )
 
 

@@ -3,7 +3,6 @@
 import atexit
 import os
 import shutil
-import tempfile
 import uuid
 from functools import lru_cache
 
@@ -27,33 +26,28 @@ def local_session(cpus="8", app="tidegauge"):
 
 
 def shared_folder(spark):
-    """Folder every executor can read: the cluster's ``spark.checkpoint.dir``.
+    """Folder every executor can read: ``spark.checkpoint.dir``, or the checkpoint folder set on the context.
 
-    Only where that is unset and the session is local, a temporary folder stands in.
+    Where neither is set, a local session works in a folder of its own beside the
+    warehouse, removed at the end; a cluster session is refused.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
-        return None
-    return _local_folder()
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder(spark.conf.get("spark.sql.warehouse.dir"))
 
 
 @lru_cache(maxsize=1)
-def _local_folder():
-    folder = tempfile.mkdtemp(prefix="tidegauge-")
+def _local_folder(warehouse):
+    folder = f"{warehouse.removeprefix('file:')}/work-{uuid.uuid4().hex}"
     atexit.register(shutil.rmtree, folder, True)
     return folder
 
 
 def materialize(df, partition_by=()):
-    """Write a table that a job reads several times, and read it back.
-
-    Without a shared folder the frame stays lazy and is recomputed.
-    """
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder}/tidegauge/{uuid.uuid4().hex}"
+    """Write a table that a job reads several times, and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/tidegauge/{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
