@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from tidegauge.functions.hashing import derived_integer
 from tidegauge.session import materialize
 
 # The calibration grid of slopes and intercepts.
@@ -133,16 +134,17 @@ def exact_sign_flip(pairs, difference, unit=1e-9, rounds_per_table=12):
 
 
 def monte_carlo_sign_flip(pairs, pair, difference, draws, seed):
-    """One-sided p-value ``(1 + hits) / (draws + 1)`` with hash-derived signs.
+    """One-sided p-value ``(1 + hits) / (draws + 1)`` with signs drawn from ``seed:draw:pair``.
 
     Signs hang on (seed, draw, pair) only, so a rerun draws the same. Pairs are
     not collected: each pair adds one signed term to every draw.
     """
-    sign = F.when(F.xxhash64(F.lit(seed), "draw", pair).bitwiseAND(1) == 0, 1.0).otherwise(-1.0)
+    drawn = derived_integer(seed, F.concat_ws(":", "draw", F.col(pair).cast("string")))
+    sign = F.when(drawn % 2 == 0, 1.0).otherwise(-1.0)
     total = pairs.agg(F.sum(difference).alias("_obs"))
     rows = pairs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     sums = rows.groupBy("draw").agg(F.sum(sign * F.col(difference)).alias("_s"))
-    hit = F.col("_s") <= F.col("_obs") + 1e-12
+    hit = F.col("_s") <= F.col("_obs") + 1e-9
     return sums.crossJoin(F.broadcast(total)).agg(
         ((1 + F.count_if(hit)) / F.lit(draws + 1.0)).alias("p_value")
     )

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from tidegauge.functions.hashing import derived_integer
+
 
 def buckets(df, key, width, depth, seed):
-    """One row per (input row, sketch row) with its bucket."""
+    """One row per (input row, sketch row) with its bucket, drawn from ``seed:row:key``."""
     return df.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))).withColumn(
-        "bucket", F.pmod(F.xxhash64(F.lit(seed), "row", key), F.lit(width))
+        "bucket", (derived_integer(seed, F.concat_ws(":", "row", F.col(key).cast("string"))) % F.lit(width)).cast("bigint")
     )
 
 

@@ -372,9 +372,13 @@ def sign_flip(t):
     return out.withColumn("p_value", fixed("p_value", 9))
 
 
-@query("C14_monte_carlo_sign_flip")
+@query("C14_monte_carlo_sign_flip", f"""
+WITH {DIFF}, s AS (SELECT draw, sum(CASE WHEN ('0x' || substr(sha256('7:' || draw || ':' || month), 16, 1))::INT % 2 = 0 THEN d ELSE -d END) AS s
+  FROM d, range(1, 10000) x(draw) GROUP BY draw)
+SELECT R9((1 + count(*) FILTER (s <= (SELECT sum(d) FROM d) + 1e-9)) / 10000.0) AS p_value FROM s""")
 def sign_flip_mc(t):
-    return calibration.monte_carlo_sign_flip(monthly_differences(t), "month", "d", 9_999, 7)
+    out = calibration.monte_carlo_sign_flip(monthly_differences(t), "month", "d", 9_999, 7)
+    return out.select(fixed("p_value", 9).alias("p_value"))
 
 
 @query("C17_rollout_stability", f"""

@@ -90,7 +90,9 @@ def streaming_templates(t):
     return rows
 
 
-@query("R5_streaming_sketch_cells")
+@query("R5_streaming_sketch_cells", f"""
+WITH {PTS}, b AS (SELECT r AS row, ('0x' || substr(sha256('5:' || r || ':' || run), 1, 16))::UBIGINT % 256 AS bucket, value FROM pts, range(4) x(r))
+SELECT CAST(row AS INT) AS row, CAST(bucket AS BIGINT) AS bucket, R4(sum(value)) AS total FROM b GROUP BY ALL""")
 def streaming_sketch(t):
     rows = t.points.select("t", "run", "value")
     out, _ = drain(windows.sketch_counts(as_stream(t, rows, "weights"), "run", "value", 256, 4, 5), "update", ["row", "bucket"])
