@@ -1,6 +1,6 @@
 """Event-time windows: right-closed, last value wins, missing stays NULL."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from tidegauge.functions.clock import window_end
 from tidegauge.operators import skew
@@ -71,21 +71,18 @@ def forward_fill(grid, keys, max_gap, reset=None):
     """Bounded forward fill on a dense grid that never crosses a reset.
 
     Adds ``filled``, ``imputed`` and ``violation`` (missing, and no value within
-    ``max_gap`` windows since the last reset).
+    ``max_gap`` windows since the last reset). A long series is filled in slots.
     """
-    w = Window.partitionBy(*keys).orderBy("window_end")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.col(reset).cast("int") if reset else F.lit(0)
-    seg = Window.partitionBy(*keys, "_seg").orderBy("window_end").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    placed = grid.withColumn("_i", F.row_number().over(w)).withColumn(
-        "_seg", F.sum(hit).over(upto)
-    )
-    found = placed.withColumn("_last", F.last("value", True).over(seg)).withColumn(
-        "_at", F.last(F.when(F.col("observed"), F.col("_i")), True).over(seg)
-    )
+    order, by = ["window_end"], F.col("window_end")
+    plan = skew.plan_split(grid, keys, by)
+    placed = skew.running_count(grid, keys, order, by, "_i", plan=plan)
+    known = {"_last": F.when(F.col("observed"), F.col("value")), "_at": F.when(F.col("observed"), F.col("_i"))}
+    if reset:
+        known["_reset"] = F.when(F.col(reset), F.col("_i"))
+    found = skew.last_known(placed, keys, order, by, known, plan=plan)
     near = F.coalesce(F.col("_i") - F.col("_at") <= max_gap, F.lit(False))
+    if reset:
+        near = near & (F.col("_reset").isNull() | (F.col("_at") >= F.col("_reset")))
     return found.select(
         *grid.columns,
         F.when(F.col("observed") | near, F.col("_last")).alias("filled"),
