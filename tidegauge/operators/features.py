@@ -59,65 +59,56 @@ def remap_affected(df, feature, renames):
     )
 
 
-def _at_least_one(c):
-    return F.greatest(c, F.lit(1.0))
+# Log features as (name, counts added, counts taken off, divisor). A
+# divisor that is a count is at least one; ``request_demand`` divides as it is.
+LOG_RATIOS = [
+    ("checkout_completion_ratio", ["checkout_completed_count"], [], "checkout_accepted_count"),
+    ("checkout_backlog_delta_ratio", ["checkout_accepted_count"], ["checkout_completed_count"], "request_demand"),
+    ("checkout_rejection_rate", ["checkout_rejected_count"], [], "request_demand"),
+    ("application_error_event_rate", ["error_event_count"], [], "request_demand"),
+]
+RICH_LOG_RATIOS = [
+    ("queue_backlog_low_transition_rate", ["queue_backlog_low_transition_count"], [], "request_demand"),
+    ("queue_backlog_elevated_transition_rate", ["queue_backlog_elevated_transition_count"], [], "request_demand"),
+    ("queue_backlog_high_transition_rate", ["queue_backlog_high_transition_count"], [], "request_demand"),
+    ("database_latency_fast_ratio", ["database_latency_fast_count"], [], "checkout_completed_count"),
+    ("database_latency_normal_ratio", ["database_latency_normal_count"], [], "checkout_completed_count"),
+    ("database_latency_slow_ratio", ["database_latency_slow_count"], [], "checkout_completed_count"),
+    ("worker_busy_transition_rate", ["worker_busy_transition_count"], [], "request_demand"),
+    ("worker_idle_transition_rate", ["worker_idle_transition_count"], [], "request_demand"),
+]
+PRESSURE_RATIOS = [
+    ("checkout_completion_ratio", ["checkout_completed_count"], [], "checkout_accepted_count"),
+    ("checkout_backlog_delta_ratio", ["checkout_accepted_count"], ["checkout_completed_count"], "request_demand"),
+    ("checkout_rejection_rate", ["checkout_rejected_count"], [], "request_demand"),
+    ("queue_pressure_transition_rate", ["queue_backlog_elevated_transition_count", "queue_backlog_high_transition_count"], [], "request_demand"),
+    ("queue_high_transition_rate", ["queue_backlog_high_transition_count"], [], "request_demand"),
+    ("postgresql_latency_pressure_ratio", ["postgresql_latency_elevated_count", "postgresql_latency_slow_count"], [], "checkout_completed_count"),
+    ("postgresql_slow_or_error_ratio", ["postgresql_latency_slow_count", "postgresql_operation_error_count"], [], "checkout_completed_count"),
+    ("worker_activation_rate", ["worker_busy_transition_count"], [], "request_demand"),
+    ("redis_latency_pressure_rate", ["redis_latency_elevated_count", "redis_latency_slow_count"], [], "request_demand"),
+    ("redis_slow_or_error_rate", ["redis_latency_slow_count", "redis_operation_error_count"], [], "request_demand"),
+    ("checkout_queue_wait_pressure_ratio", ["checkout_queue_wait_elevated_count", "checkout_queue_wait_slow_count"], [], "checkout_completed_count"),
+    ("checkout_queue_wait_slow_ratio", ["checkout_queue_wait_slow_count"], [], "checkout_completed_count"),
+]
+
+
+def _ratio(added, taken, divisor):
+    """Column of one row of a table of log ratios."""
+    count = lambda name: snap_counts(F.col(name).cast("double"))
+    top = reduce(lambda a, b: a + b, map(count, added))
+    top = reduce(lambda a, b: a - b, map(count, taken), top)
+    return top / (F.col(divisor) if divisor == "request_demand" else F.greatest(count(divisor), F.lit(1.0)))
 
 
 def log_residuals(df, rich=False):
     """Demand-residual log features from counts and ``request_demand``."""
-    c = {n: snap_counts(F.col(n).cast("double")) for n in df.columns if n.endswith("_count")}
-    demand = F.col("request_demand")
-    accepted, completed = c["checkout_accepted_count"], c["checkout_completed_count"]
-    out = {
-        "checkout_completion_ratio": completed / _at_least_one(accepted),
-        "checkout_backlog_delta_ratio": (accepted - completed) / demand,
-        "checkout_rejection_rate": c["checkout_rejected_count"] / demand,
-        "application_error_event_rate": c["error_event_count"] / demand,
-    }
-    if rich:
-        for level in ("low", "elevated", "high"):
-            name = f"queue_backlog_{level}_transition"
-            out[f"{name}_rate"] = c[f"{name}_count"] / demand
-        for level in ("fast", "normal", "slow"):
-            name = f"database_latency_{level}"
-            out[f"{name}_ratio"] = c[f"{name}_count"] / _at_least_one(completed)
-        for level in ("busy", "idle"):
-            name = f"worker_{level}_transition"
-            out[f"{name}_rate"] = c[f"{name}_count"] / demand
-    return out
+    return {name: _ratio(*parts) for name, *parts in LOG_RATIOS + (RICH_LOG_RATIOS if rich else [])}
 
 
 def dependency_pressure(df):
     """Dependency-pressure log features from counts and ``request_demand``."""
-    c = {n: snap_counts(F.col(n).cast("double")) for n in df.columns if n.endswith("_count")}
-    demand = F.col("request_demand")
-    accepted, completed = c["checkout_accepted_count"], c["checkout_completed_count"]
-    done = _at_least_one(completed)
-
-    def total(*names):
-        return reduce(lambda a, b: a + b, [c[f"{n}_count"] for n in names])
-
-    high = "queue_backlog_high_transition"
-    return {
-        "checkout_completion_ratio": completed / _at_least_one(accepted),
-        "checkout_backlog_delta_ratio": (accepted - completed) / demand,
-        "checkout_rejection_rate": c["checkout_rejected_count"] / demand,
-        "queue_pressure_transition_rate":
-            total("queue_backlog_elevated_transition", high) / demand,
-        "queue_high_transition_rate": total(high) / demand,
-        "postgresql_latency_pressure_ratio":
-            total("postgresql_latency_elevated", "postgresql_latency_slow") / done,
-        "postgresql_slow_or_error_ratio":
-            total("postgresql_latency_slow", "postgresql_operation_error") / done,
-        "worker_activation_rate": total("worker_busy_transition") / demand,
-        "redis_latency_pressure_rate":
-            total("redis_latency_elevated", "redis_latency_slow") / demand,
-        "redis_slow_or_error_rate":
-            total("redis_latency_slow", "redis_operation_error") / demand,
-        "checkout_queue_wait_pressure_ratio":
-            total("checkout_queue_wait_elevated", "checkout_queue_wait_slow") / done,
-        "checkout_queue_wait_slow_ratio": total("checkout_queue_wait_slow") / done,
-    }
+    return {name: _ratio(*parts) for name, *parts in PRESSURE_RATIOS}
 
 
 def operational_state(df, keys):
