@@ -34,6 +34,12 @@ def dense_grid(cells, run, feature, period, features, value="value"):
     )
 
 
+def undeclared(points, features):
+    """Per declared list: points, and points whose feature no grid of that list holds."""
+    outside = ~F.coalesce(F.col("feature").isin(*features), F.lit(False))
+    return points.agg(F.count(F.lit(1)).alias("points"), F.count_if(outside).alias("undeclared"))
+
+
 def _names(features):
     return F.explode(F.array(*[F.lit(f) for f in features]))
 

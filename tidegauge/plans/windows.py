@@ -17,6 +17,13 @@ def right_closed(t):
     return t.cells
 
 
+@query("T2_undeclared_features", f"""
+WITH {PTS} SELECT count(*) AS points, count(*) FILTER (feature NOT IN ('click', 'error')) AS undeclared FROM pts""")
+def undeclared_features(t):
+    """Points that a grid of two declared features would leave out."""
+    return windows.undeclared(t.points, ["click", "error"])
+
+
 @query("T2_dense_window_grid", f"""
 WITH {GRID} SELECT run, feature, window_end, value, observed FROM grid""")
 def dense(t):
