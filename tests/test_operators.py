@@ -237,7 +237,6 @@ def test_gram_equals_numpy(spark):
 @pytest.mark.parametrize("blocks", [False, True])
 def test_neighbours_equal_brute_force(spark, monkeypatch, blocks):
     if blocks:
-        monkeypatch.setattr(retrieval, "MAX_BROADCAST_ROWS", 10)
         monkeypatch.setattr(retrieval, "BLOCK_ROWS", 30)
     rng = np.random.default_rng(8)
     x = rng.normal(size=(90, 6))

@@ -4,7 +4,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Window, functions as F
 
-MAX_BROADCAST_ROWS = 50_000
 BLOCK_ROWS = 8_192
 
 
@@ -101,28 +100,13 @@ def first_relevant_rank(queries, bank):
 def _over_bank(queries, bank, probe, schema):
     """Run ``probe(query rows, bank ids, labels, matrix)`` so that every query meets every bank row.
 
-    A bank of checked small size goes to every task and queries do not move. A
-    larger bank meets the queries block by block: each (query block, bank block)
-    pair is one task of bounded size that returns a bounded part per query.
+    Both sides are cut into blocks: each (query block, bank block) pair is one task
+    of bounded size that returns a bounded part per query. Nothing passes the driver,
+    and every size runs the same way.
     """
-    bank_rows = bank.count()
-    if bank_rows <= MAX_BROADCAST_ROWS:
-        local = bank.select("id", "label", "vector").toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast((
-            local["id"].to_numpy(dtype=np.int64), local["label"].to_numpy(),
-            np.stack(local["vector"].to_numpy()),
-        ))
-
-        def stream(batches):
-            ids, labels, matrix = shared.value
-            step = max(1, 4_000_000 // max(1, len(ids)))
-            for pdf in batches:
-                for start in range(0, len(pdf), step):
-                    yield probe(pdf.iloc[start : start + step], ids, labels, matrix)
-
-        return queries.repartition("id").mapInPandas(stream, schema)
-    nq = max(1, -(-queries.count() // BLOCK_ROWS))
-    nb = max(1, -(-bank_rows // BLOCK_ROWS))
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nq = max(parts, -(-queries.count() // BLOCK_ROWS))
+    nb = max(1, -(-bank.count() // BLOCK_ROWS))
     spread = lambda n: F.explode(
         F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
     )
