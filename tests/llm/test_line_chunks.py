@@ -67,6 +67,12 @@ def test_deduplicated_keeps_columns_and_drops_emptied_documents(spark):
     assert sorted((str(r.doc_id), r.text, str(r.chunk)) for r in out.collect()) == [("1", "a b\nc d", "again"), ("1", "a b\nc d", "x"), ("3", None, "None"), ("4", "", "z")]
 
 
+def test_rows_without_an_id_lose_only_their_own_chunks(spark):
+    rows = [(1, "a b\nc d", "", "", 0), (None, "a b\nc d", "", "", 0), (None, "e f\ng h", "", "", 0), (1, "i j\nk l", "", "", 0)]
+    out = op.line_report(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in out) == [("1", "a b\nc d"), ("1", "i j\nk l"), ("None", ""), ("None", "e f\ng h")]
+
+
 def test_empty_table_and_only_null_ids(spark):
     frame = spark.createDataFrame([(None, "a b\nc d", "n", "s", 7), (None, "a b\nc d\nnew", "n", "s", 7)], SCHEMA)
     assert all(r.n_removed_lines == 0 for r in op.line_report(frame).collect())

@@ -10,8 +10,9 @@ The bytes are compared by grouping on the chunk's text; a place is matched with
 64-bit hashes and the length. Groups that only those could not tell apart are left alone.
 
 Defined results: a null text stays null and has no lines; an empty text has one empty line; chunks
-without a word are never removed; rows that share a doc_id count as one document; rows with a null
-id are no one's first place, and if only they hold a chunk it stays. A text whose lines all go is
+without a word are never removed; rows that share a doc_id count as one document when the first place
+is chosen, and each loses chunks by its own text; rows with a null id are no one's first place, and if
+only they hold a chunk it stays. A text whose lines all go is
 empty. The input's columns stay in one struct ``row``, so no name can clash.
 """
 
@@ -64,10 +65,10 @@ def chunk_lines(text: Column) -> Column:
 
 
 def _chunks(docs: DataFrame, text: str) -> DataFrame:
-    """One row per removable chunk, with its place, its text, and whether it is the document's first such."""
-    rows = docs.select("doc_id", F.posexplode(chunk_lines(F.col(text))).alias("pos", "chunk"))
+    """One row per removable chunk, with its place and its text."""
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.posexplode(chunk_lines(F.col(text))).alias("pos", "chunk"))
     body = F.array_join("chunk.lines", "\n")
-    kept = rows.where((F.size("chunk.lines") > 1) | F.col("chunk.long")).select("doc_id", "pos", F.size("chunk.lines").alias("n_lines"), body.alias("body"))
+    kept = rows.where((F.size("chunk.lines") > 1) | F.col("chunk.long")).select("doc_id", "text_key", "pos", body.alias("body"))
     return kept.where(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -89,23 +90,23 @@ def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def removals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and the positions, in order, of its chunks to remove."""
+    """doc_id, hash of the text, and the positions, in order, of its chunks to remove."""
     repeated = repeated_chunks(docs, text)
     places = _keyed(_chunks(docs, text)).drop("body")
     # A document's places of one chunk meet before the join: only its first can stay.
-    found = places.join(repeated, list(_KEY)).groupBy("doc_id", *_KEY).agg(
+    found = places.join(repeated, list(_KEY)).groupBy("doc_id", "text_key", *_KEY).agg(
         F.min("first_id").alias("first_id"), F.sort_array(F.collect_set("pos")).alias("at")
     )
     stays = F.col("first_id").isNull() | F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(False))
-    gone = found.select("doc_id", F.when(stays, F.slice("at", 2, F.size("at"))).otherwise(F.col("at")).alias("at")).where(F.size("at") > 0)
-    return gone.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
+    gone = found.select("doc_id", "text_key", F.when(stays, F.slice("at", 2, F.size("at"))).otherwise(F.col("at")).alias("at")).where(F.size("at") > 0)
+    return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
 
 
 def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``row`` (the input row), clean_text, n_lines, n_chunks and what was removed, for every document."""
-    gone = removals(docs.select("doc_id", text), text).select(F.col("doc_id").alias("gone_id"), "at")
-    frame = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"), F.col(text).alias("body"))
-    joined = frame.join(gone, F.col("key").eqNullSafe(F.col("gone_id")), "left")
+    gone = removals(docs.select("doc_id", text), text).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "at")
+    frame = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("body"))
+    joined = frame.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
 
     def result(chunks: Column, at: Column) -> Column:
         kept = F.filter(chunks, lambda x, i: ~F.array_contains(at, i))
