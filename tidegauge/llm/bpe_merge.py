@@ -3,7 +3,7 @@
 The symbols of many distinct words lie in one flat array. Each round forms the pair of every two
 neighbours, finds its rank by binary search over the sorted pair keys, takes the lowest rank of
 each word and merges all its places, from the left. Words without a pair leave the batch. A worker
-keeps the words it has met, up to a bound; a full memory starts anew, so results never depend on it.
+keeps the words it has met, up to a bound; results never depend on it.
 
 The vocabulary is a byte-level BPE file with an end-of-word suffix: NFC, white space runs as one
 space, lower case by character, words by pattern, special strings cut out first.
@@ -24,9 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidegauge.llm.shared import kept_by_worker, vocabulary
+from tidegauge.llm.shared import Memory, kept_by_worker, vocabulary
 
-MAX_KNOWN = 400_000
+MAX_KNOWN = 300_000
 #: The word pattern of the vocabulary file, and what splits words in every text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -120,28 +120,29 @@ def lowered(text: str) -> str:
 
 
 class Encoder:
-    """Token ids of chunks, remembered as text; encodes the unknown ones of a batch together."""
+    """Token ids of chunks as 32-bit words; encodes the unknown ones of a batch together."""
 
     def __init__(self, table: MergeTable, max_known: int = MAX_KNOWN):
-        self.table, self.max_known = table, max_known
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.table, self.memory = table, Memory(max_known)
         self.named: dict[str, tuple[str, str]] = {}
 
+    @property
+    def known(self) -> dict[str, bytes]:
+        return self.memory.now
+
     def names(self, chunk: str) -> tuple[str, str]:
         """A known chunk's ids as text, and what they decode to."""
         found = self.named.get(chunk)
         if found is None:
-            ids = self.known[chunk]
+            ids = np.frombuffer(self.known[chunk], dtype="<u4").tolist()
             found = self.named[chunk] = (" ".join(map(str, ids)), self.decode(ids))
         return found
 
     def learn(self, wanted: set[str]) -> None:
         """Encode the chunks not known yet."""
-        table, found = self.table, wanted - self.known.keys()
-        if len(self.known) + len(found) > self.max_known:
-            self.known.clear()
+        table, found = self.table, self.memory.missing(wanted)
+        if len(self.named) > self.memory.limit:
             self.named.clear()
-            found = wanted
         plans, words = [], {}
         for chunk in found:
             parts = []
@@ -153,12 +154,10 @@ class Encoder:
                         parts.append(words.setdefault(word, len(words)))
             plans.append((chunk, parts))
         ids, first = table.encode([w.encode() for w in words])
-        ids, first = ids.tolist(), first.tolist()
+        data, first = ids.astype("<u4").tobytes(), (4 * first).tolist()
+        known = self.memory.now
         for chunk, parts in plans:
-            out = []
-            for part in parts:
-                out.extend(ids[first[part] : first[part + 1]] if part >= 0 else (-part - 1,))
-            self.known[chunk] = tuple(out)
+            known[chunk] = b"".join([data[first[p] : first[p + 1]] if p >= 0 else (-p - 1).to_bytes(4, "little") for p in parts])
 
     def _cut(self, chunk: str):
         at = 0
@@ -206,8 +205,10 @@ def encode_documents(docs: DataFrame, path: str = "word_bpe_49k.json") -> DataFr
         encoder = _encoder(path)
         for batch in batches:
             for low, texts in _text_blocks(batch.column(1)):
-                ids = [list(chain.from_iterable(map(encoder.known.__getitem__, words))) for words in _encoded(texts, encoder)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(texts)), pa.array(ids, pa.list_(pa.int32()))], ["row", "ids"])
+                found = [b"".join(map(encoder.known.__getitem__, words)) for words in _encoded(texts, encoder)]
+                cuts = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(texts)), ids], ["row", "ids"])
 
     frame = docs.select(F.struct("*").alias("row"), "text")
     return frame.mapInArrow(run, f"{frame.select('row')._jdf.schema().toDDL()}, ids array<int>")

@@ -50,6 +50,27 @@ def kept_by_worker(name: str, make):
     return getattr(holder, name)
 
 
+class Memory:
+    """Values by key in two generations of at most half ``limit`` keys before one batch's own.
+
+    A full generation becomes the old one, from which keys met again are taken over.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old = limit, {}, {}
+
+    def missing(self, wanted: set, turn: bool = True) -> set:
+        """The wanted keys without a value; all others are in ``now`` until the next turn."""
+        if turn and 2 * len(self.now) > self.limit:
+            self.old, self.now = self.now, {}
+        missing = wanted.difference(self.now)
+        if self.old:
+            again = missing.intersection(self.old)
+            self.now.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            missing -= again
+        return missing
+
+
 def vocabulary(path: str) -> str:
     """Place of a vocabulary file: a path, or the name of a public one."""
     if os.path.exists(path):
