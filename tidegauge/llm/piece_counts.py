@@ -5,7 +5,7 @@ the best-ranked, then leftmost pair is popped and joined until none is left. The
 initial symbols less the merges, where a character outside the vocabulary counts its bytes.
 
 Pieces hold the space mark only in front, so a text is cut before each run of spaces and equal
-chunks are counted once per worker, in a memory with a bound that starts anew when full.
+chunks are counted once per worker, in a memory with a bound.
 
 Defined results: null and empty texts have no tokens; repeated rows get equal rows; other columns
 are not read.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import kept_by_worker, vocabulary
+from tidegauge.llm.shared import Memory, kept_by_worker, vocabulary
 
 MAX_KNOWN = 1_000_000
 MARK = "▁"
@@ -38,8 +38,7 @@ class PieceCounter:
         self.rank = {model.id_to_piece(i): -model.get_score(i) for i in range(model.get_piece_size()) if not any(kind(i) for kind in kinds)}
         if any(MARK in piece.lstrip(MARK) for piece in self.rank):
             raise ValueError("a piece holds the space mark behind other characters")
-        self.max_known = max_known
-        self.known: dict[str, int] = {}
+        self.memory = Memory(max_known)
 
     def count(self, chunk: str) -> int:
         rank = self.rank
@@ -76,14 +75,11 @@ class PieceCounter:
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
         split = [chunks(t) for t in texts]
-        wanted = set(chain.from_iterable(split))
-        found = wanted - self.known.keys()
-        if len(self.known) + len(found) > self.max_known:
-            self.known.clear()
-            found = wanted
-        for chunk in found:
-            self.known[chunk] = self.count(MARK + chunk if chunk[0] != " " else chunk.replace(" ", MARK))
-        return [sum(map(self.known.__getitem__, words)) for words in split]
+        missing = self.memory.missing(set(chain.from_iterable(split)))
+        known = self.memory.now
+        for chunk in missing:
+            known[chunk] = self.count(MARK + chunk if chunk[0] != " " else chunk.replace(" ", MARK))
+        return [sum(map(known.__getitem__, words)) for words in split]
 
 
 def chunks(text: str) -> list[str]:
