@@ -37,11 +37,17 @@ def test_repeated_rows_follow_each_other(spark):
 
 
 def test_small_memory_gives_equal_ids():
+    import pyarrow as pa
+
+    from tidegauge.llm.bytewords import text_bytes
+
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     encoder = op.ChunkEncoder("word_bpe_49k.json", max_known=2)
-    for _, text, *_ in ROWS:
-        want = np.array(library.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
-        assert encoder.encode([text or ""]) == [want]
+    texts = [text or "" for _, text, *_ in ROWS] + ["<|ENDOFTEXT|> AÀ <|endoftext|>", "a\u00a0B\u2003c"]
+    for group in [[t] for t in texts] + [texts]:
+        want = [library.encode(t, add_special_tokens=False).ids + [2] for t in group]
+        ids, sizes = encoder.encode(*text_bytes(pa.array(group)), 2)
+        assert (ids.tolist(), sizes.tolist()) == (sum(want, []), list(map(len, want)))
 
 
 def test_files_have_the_declared_layout(spark, tmp_path):

@@ -8,11 +8,12 @@ equal hashes everywhere, and callers that need certainty compare bytes.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from tidegauge.llm.shared import kept_by_worker
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -85,11 +86,12 @@ class Words:
     """Words of some texts: byte positions, the text of each, and their hashes.
 
     ``kind`` tells the bytes of words; with several numbered kinds a word has bytes of one kind.
+    A-Z are lower-cased unless ``fold`` is false.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, fold: bool = True):
         self.offsets = offsets - offsets[0]
-        self.lower = LOWER[data]
+        self.lower = LOWER[data] if fold else data
         group = kind[self.lower].view(np.uint8)
         inside = group != 0
         starts, stops = inside.copy(), inside.copy()
@@ -115,10 +117,25 @@ class Words:
     def hashes(self) -> np.ndarray:
         n = len(self.lower)
         total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_CODES[self.lower] * _powers_of(_ODD, n), out=total[1:])
+        part = _CODES[self.lower]
+        part *= _powers_of(_ODD, n)
+        np.cumsum(part, out=total[1:])
+        del part
         back = _powers_of(pow(_ODD, -1, 1 << 64), n + 1)
         return mix((total[self.ends] - total[self.starts]) * back[self.starts] + np.uint64(1))
 
+    def distinct(self) -> tuple[list[bytes], np.ndarray]:
+        """The different words, and which of them each word is; told apart by 64 bits of hash and the length."""
+        hashes = self.hashes()
+        which, found = pd.factorize(hashes)
+        first = np.empty(len(found), dtype=np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        sizes = self.ends - self.starts
+        if (sizes != sizes[first][which]).any():
+            _, first, which = np.unique(np.stack((hashes, sizes.astype(np.uint64)), axis=1), axis=0, return_index=True, return_inverse=True)
+        data, starts, ends = self.lower.tobytes(), self.starts[first].tolist(), self.ends[first].tolist()
+        return [data[a:b] for a, b in zip(starts, ends, strict=True)], which
+
     def phrase(self, at: int, n: int) -> bytes:
         """Words ``at`` to ``at + n - 1``, joined by one space."""
         return b" ".join(self.lower[s:e].tobytes() for s, e in zip(self.starts[at : at + n], self.ends[at : at + n], strict=True))

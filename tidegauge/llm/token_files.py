@@ -6,8 +6,8 @@ small enough that Parquet's page index lets a reader fetch a range of documents,
 A second small table holds one row per written partition with the tokens before it, so the first
 token's place in the whole stream is known without touching tokens.
 
-The tokenizers library encodes; a worker keeps the ids of the chunks between white space, which that
-vocabulary drops, up to a bound, and a full memory starts anew.
+The tokenizers library encodes; a worker keeps the ids of the chunks between ASCII white space, which that
+vocabulary drops, up to a bound.
 
 Defined results: null and empty texts hold the end id alone; null ids come first; repeated ids are
 ordered by a hash of their text, and repeated rows follow each other; an empty table gives empty files. Other
@@ -19,7 +19,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain
+from array import array
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +28,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.bpe_merge import chunks
-from tidegauge.llm.shared import kept_by_worker, vocabulary, work_folder
+from tidegauge.llm.bytewords import NON_SPACE, Words, row_blocks, text_bytes
+from tidegauge.llm.shared import Memory, kept_by_worker, vocabulary, work_folder
 
-MAX_KNOWN = 700_000
+MAX_KNOWN = 400_000
 END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 1000
-#: Parts of a chunk that encode apart: Latin letters before a plain mark, plain marks at the end.
-_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[,.!?;:]|\Z)|[,.!?;:]+\Z|.+", re.DOTALL)
-_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+BLOCK_BYTES = 3 << 20
+#: In UTF-8: Latin letters; parts of a chunk that encode apart (letters before a plain mark, plain marks
+#: at the end); chunks of one piece.
+_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+_PARTS = re.compile(_LETTERS + rb"(?=[,.!?;:]|\Z)|[,.!?;:]+\Z|.+", re.DOTALL)
+_PLAIN = re.compile(_LETTERS + rb"|[,.!?;:]+")
 
 
 class ChunkEncoder:
-    """Little-endian ids of chunks, by the library; unknown parts of a batch go to it together."""
+    """Ids of chunks as 32-bit words, by the library; unknown parts of a batch go to it together."""
 
     def __init__(self, path: str, max_known: int = MAX_KNOWN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,28 +54,54 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary(path))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.max_known = max_known
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, wanted: set[str]) -> None:
-        found = wanted - self.known.keys()
-        if len(self.known) + len(found) > self.max_known:
-            self.known.clear()
-            found = wanted
-        if len(self.parts) > self.max_known:
-            self.parts.clear()
-        plans = [(c, [p.lower() if _LATIN.fullmatch(p) else p for p in _PARTS.findall(c)]) for c in found]
-        new = list({p for _, parts in plans for p in parts} - self.parts.keys())
-        for part, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(got.ids, dtype="<u4").tobytes()
-        for chunk, parts in plans:
-            self.known[chunk] = b"".join(map(self.parts.__getitem__, parts))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [chunks(t) for t in texts]
-        self.learn(set(chain.from_iterable(split)))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        self.memory = Memory(max_known)
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        #: Whether an id ends a word, where the vocabulary tells.
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.ends[[i for word, i in vocab.items() if word.endswith(suffix)]] = True
+
+    def learn(self, wanted: set[bytes]) -> None:
+        found, split = self.memory.missing(wanted), {}
+        for chunk in found:
+            parts = _PARTS.findall(chunk)
+            if len(parts) > 1:
+                split[chunk] = parts
+        new = found.difference(split).union(self.memory.missing(set(chain.from_iterable(split.values())), turn=False))
+        plain = [x for x in new if _PLAIN.fullmatch(x)] if self.ends is not None else []
+        self._learn_lines(plain)
+        rest, known = list(new.difference(plain)), self.memory.now
+        encoded = self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)
+        known.update(zip(rest, [array("I", got.ids).tobytes() for got in encoded], strict=True))
+        known.update({chunk: b"".join(map(known.__getitem__, parts)) for chunk, parts in split.items()})
+
+    def _learn_lines(self, words: list[bytes]) -> None:
+        """Encode words of one piece each as long texts; the ids that end a word tell them apart."""
+        lines = [b" ".join(words[low : low + 1000]).decode() for low in range(0, len(words), 1000)]
+        ids = np.array(list(chain.from_iterable(got.ids for got in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False))), dtype=np.uint32)
+        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+        data = ids.tobytes()
+        self.memory.now.update(zip(words, [data[a:b] for a, b in pairwise(cuts)], strict=True))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, each text's end id included, and how many each has."""
+        # A special string in capitals is none, so texts that may hold one keep them.
+        words = Words(data, offsets, NON_SPACE, fold=b"<|" not in data.tobytes())
+        if len(words):
+            chunks, which = words.distinct()
+            self.learn(set(chunks))
+            found = list(map(self.memory.now.__getitem__, chunks))
+            sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+            flat = np.frombuffer(b"".join(found), dtype="<u4")
+            begins = np.cumsum(sizes) - sizes
+            each = sizes[which]
+            ends = np.cumsum(each, dtype=np.int64)
+            ids = flat[np.repeat(begins[which] - (ends - each), each) + np.arange(ends[-1])]
+            ends = np.concatenate(([0], ends))[words.first]
+        else:
+            ids, ends = np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
+        return np.insert(ids, ends[1:], end_id), np.diff(ends) + 1
 
 
 _SCHEMA = "part int, local_start long, n_tokens long, tokens array<int>"
@@ -82,17 +112,15 @@ def encoded(docs: DataFrame, path: str = "word_bpe_49k.json", end_id: int = END_
 
     def run(batches):
         encoder = kept_by_worker(f"library_{path}", lambda: ChunkEncoder(path))
-        end, at, part = np.array([end_id], dtype="<u4").tobytes(), 0, TaskContext.get().partitionId()
+        at, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            step = max(1, int(len(batch) * (4 << 20) / max(1, texts.nbytes)))
-            for low in range(0, len(batch), step):
-                rows = [x + end for x in encoder.encode([t or "" for t in texts.slice(low, step).to_pylist()])]
-                sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+            data, offsets = text_bytes(batch.column(1))
+            for low, high in row_blocks(offsets, BLOCK_BYTES):
+                ids, sizes = encoder.encode(data[offsets[low] : offsets[high]], offsets[low : high + 1], end_id)
                 cuts = np.concatenate(([0], np.cumsum(sizes)))
-                tokens = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), dtype="<u4").astype(np.int32)))
+                tokens = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(low, step), pa.array(np.full(len(rows), part, np.int32)), pa.array(at + cuts[:-1]), pa.array(sizes), tokens],
+                    [batch.column(0).slice(low, high - low), pa.array(np.full(high - low, part, np.int32)), pa.array(at + cuts[:-1]), pa.array(sizes), tokens],
                     ["doc_id", "part", "local_start", "n_tokens", "tokens"],
                 )
                 at += int(cuts[-1])
@@ -104,7 +132,7 @@ def encoded(docs: DataFrame, path: str = "word_bpe_49k.json", end_id: int = END_
 
 def write_tokens(docs: DataFrame, folder: str, path: str = "word_bpe_49k.json", end_id: int = END_ID) -> None:
     """Write the token files and the table of partition offsets."""
-    writer = encoded(docs, path, end_id).write.option("compression", "zstd")
+    writer = encoded(docs, path, end_id).write.option("compression", "snappy")
     options = {
         "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES,
         "parquet.page.row.count.limit": PAGE_ROWS, "parquet.enable.dictionary": "true",
