@@ -340,12 +340,13 @@ def raw_effects(t):
 
 @query("A19_count_rate_consistency", f"""
 WITH {WIDE} SELECT run, bool_and(error <= view) AS errors_within_requests,
-  bool_and(abs(view / 86400 * 86400 - view) <= 1e-9) AS rate_matches FROM wide GROUP BY run""")
+  bool_and(abs(R5(view / 86400) * 86400 - view) <= 0.25) AS rate_matches FROM wide GROUP BY run""")
 def count_rate(t):
-    rate = F.col("view") / 86400
+    # The rate as it is recorded: five digits a second, which only some counts survive.
+    rate = fixed(F.col("view") / 86400, 5)
     return t.wide.groupBy("run").agg(
         F.bool_and(F.col("error") <= F.col("view")).alias("errors_within_requests"),
-        F.bool_and(F.abs(rate * 86400 - F.col("view")) <= 1e-9).alias("rate_matches"),
+        F.bool_and(F.abs(rate * 86400 - F.col("view")) <= 0.25).alias("rate_matches"),
     )
 
 

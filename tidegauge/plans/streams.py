@@ -27,7 +27,7 @@ def as_stream(t, df, name, files=4):
     for low, high in zip(edges, edges[1:]):
         part = df
         part = part if low is None else part.where(F.col("t") > low)
-        part = part if high is None else part.where(F.col("t") <= high)
+        part = part if high is None else part.where((F.col("t") <= high) | (F.col("t").isNull() & F.lit(low is None)))
         part.repartition(width).write.mode("append").parquet(path)
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", width).parquet(path)
 
