@@ -9,6 +9,12 @@ document with the smallest id, and is removed everywhere else.
 The bytes are compared by grouping on the chunk's text; a place is matched with a group by two
 64-bit hashes and the length. Groups that only those could not tell apart are left alone.
 
+A second level, ``runs=True``, finds repeated passages whose lines are all short, wherever chunks end:
+for each line with a word, the shortest run of lines from it, and the shortest up to it, that holds
+``LONG_LINE`` words. Every line of a repeated passage of so many words lies in a run within it. Runs are
+met by a hash first; those met twice are compared by bytes like chunks. Lines under a repeated run go,
+except those of its first place, in the document with the smallest id.
+
 Defined results: a null text stays null and has no lines; an empty text has one empty line; chunks
 without a word are never removed; rows that share a doc_id count as one document when the first place
 is chosen, and each loses chunks by its own text; rows with a null id are no one's first place, and if
@@ -55,7 +61,7 @@ def chunk_lines(text: Column) -> Column:
     return let(
         F.split(text, "\n"),
         lambda lines: let(
-            F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= LONG_LINE),
+            F.transform(lines, lambda x: words_of(x) >= LONG_LINE),
             lambda long: let(
                 F.transform(lines, line_hash),
                 lambda hashes: let(rolled(hashes), lambda rolls: let(ends(lines, long, rolls), lambda stops: cut(lines, long, stops))),
@@ -64,6 +70,65 @@ def chunk_lines(text: Column) -> Column:
     )
 
 
+def words_of(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+
+
+def line_runs(lines: Column) -> Column:
+    """First and last line of the shortest runs of ``LONG_LINE`` words from each line and up to each line."""
+
+    def spans(of_word: Column) -> Column:
+        def span(w: Column) -> Column:
+            here = F.get(of_word, w)
+            opens = ~F.get(of_word, w - 1).eqNullSafe(here) & F.get(of_word, w + LONG_LINE - 1).isNotNull()
+            closes = ~F.get(of_word, w + 1).eqNullSafe(here) & (w >= LONG_LINE - 1)
+            pair = lambda a, b: F.struct(a.alias("start"), b.alias("stop"))
+            none = F.lit(None).cast("struct<start: int, stop: int>")
+            return F.array(
+                F.when(opens, pair(here, F.get(of_word, w + LONG_LINE - 1))).otherwise(none),
+                F.when(closes, pair(F.get(of_word, w - LONG_LINE + 1), here)).otherwise(none),
+            )
+
+        edges = F.filter(
+            F.sequence(F.lit(0), F.size(of_word) - 1),
+            lambda w: ~(F.get(of_word, w - 1).eqNullSafe(F.get(of_word, w)) & F.get(of_word, w + 1).eqNullSafe(F.get(of_word, w))),
+        )
+        found = F.array_distinct(F.filter(F.flatten(F.transform(edges, span)), lambda x: x.isNotNull()))
+        return F.when(F.size(of_word) >= LONG_LINE, found).otherwise(F.array().cast("array<struct<start: int, stop: int>>"))
+
+    return let(F.flatten(F.transform(lines, lambda x, i: F.array_repeat(i, words_of(x)))), spans)
+
+
+def _runs(docs: DataFrame, text: str) -> DataFrame:
+    """One row per run of lines, with a hash of its lines."""
+    hashed = let(F.split(text, "\n"), lambda lines: let(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: F.transform(
+        line_runs(lines), lambda r: F.struct(
+            r["start"].alias("start"), r["stop"].alias("stop"), F.xxhash64(F.slice(hashes, r["start"] + 1, r["stop"] - r["start"] + 1)).alias("hash"),
+        ),
+    )))
+    return docs.where(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("text_key"), F.explode(hashed).alias("run")).select("doc_id", "text_key", "run.*")
+
+
+def run_removals(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, hash of the text, and the numbers of its lines under repeated runs."""
+    met = written(_runs(docs, text).groupBy("hash").count().where("count > 1").select("hash"))
+    held = _runs(docs, text).join(met, "hash").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+    held = written(held).select(F.col("doc_id").alias("held_id"), F.col("text_key").alias("held_key"), "runs")
+    both = docs.withColumn("text_key", F.xxhash64(text)).join(held, F.col("doc_id").eqNullSafe(F.col("held_id")) & (F.col("text_key") == F.col("held_key")))
+    rows = both.select("doc_id", "text_key", F.explode(let(F.split(text, "\n"), lambda lines: F.transform("runs", lambda r: F.struct(
+        r["start"].alias("start"), r["stop"].alias("stop"), F.array_join(F.slice(lines, r["start"] + 1, r["stop"] - r["start"] + 1), "\n").alias("body"),
+    )))).alias("run")).select("doc_id", "text_key", "run.*")
+    found = _keyed(rows).drop("body").join(_repeated(rows), list(_KEY))
+    # Within one document, a run's own first place covers the lines that overlapping places share with it.
+    places = found.groupBy("doc_id", "text_key", *_KEY).agg(F.min("first_id").alias("first_id"), F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("at"))
+    first = F.get("at", F.lit(0))
+    stays = F.col("first_id").isNull() | F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(False))
+    later = F.transform(F.filter("at", lambda r: r["stop"] > first["stop"]), lambda r: F.sequence(F.greatest(r["start"], first["stop"] + 1), r["stop"]))
+    every = F.transform("at", lambda r: F.sequence(r["start"], r["stop"]))
+    gone = places.select("doc_id", "text_key", F.array_distinct(F.flatten(F.when(stays, later).otherwise(every))).alias("lines")).where(F.size("lines") > 0)
+    return gone.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone_lines"))
+
+
 def _chunks(docs: DataFrame, text: str) -> DataFrame:
     """One row per removable chunk, with its place and its text."""
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.posexplode(chunk_lines(F.col(text))).alias("pos", "chunk"))
@@ -82,13 +147,17 @@ def _keyed(chunks: DataFrame) -> DataFrame:
     })
 
 
-def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Chunk texts found at two places or more: their key, and the smallest doc_id that has one."""
-    groups = _chunks(docs, text).groupBy("body").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+def _repeated(places: DataFrame) -> DataFrame:
+    groups = places.groupBy("body").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
     keyed = _keyed(groups.where("n > 1")).groupBy(*_KEY).agg(F.count("*").alias("texts"), F.min("first_id").alias("first_id"))
     return written(keyed.where("texts = 1").drop("texts"))
 
 
+def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Chunk texts found at two places or more: their key, and the smallest doc_id that has one."""
+    return _repeated(_chunks(docs, text))
+
+
 def removals(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, hash of the text, and the positions, in order, of its chunks to remove."""
     repeated = repeated_chunks(docs, text)
@@ -102,19 +171,26 @@ def removals(docs: DataFrame, text: str = "text") -> DataFrame:
     return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
 
 
-def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", runs: bool = False) -> DataFrame:
     """``row`` (the input row), clean_text, n_lines, n_chunks and what was removed, for every document."""
-    gone = removals(docs.select("doc_id", text), text).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "at")
+    texts = docs.select("doc_id", text)
+    gone = removals(texts, text).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "at", F.lit(None).cast("array<int>").alias("gone_lines"))
+    if runs:
+        more = run_removals(texts, text).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), F.lit(None).cast("array<int>").alias("at"), "gone_lines")
+        gone = gone.unionByName(more).groupBy("gone_id", "gone_key").agg(F.first("at", True).alias("at"), F.first("gone_lines", True).alias("gone_lines"))
     frame = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("body"))
     joined = frame.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
 
     def result(chunks: Column, at: Column) -> Column:
-        kept = F.filter(chunks, lambda x, i: ~F.array_contains(at, i))
-        count = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda total, x: total + F.size(x["lines"]))
-        return let(kept, lambda k: F.struct(
-            F.array_join(F.flatten(F.transform(k, lambda x: x["lines"])), "\n").alias("clean_text"),
-            count(chunks).alias("n_lines"), F.size(chunks).cast("long").alias("n_chunks"),
-            (F.size(chunks) - F.size(k)).cast("long").alias("n_removed_chunks"), (count(chunks) - count(k)).alias("n_removed_lines"),
+        size = lambda c: F.size(c["lines"])
+        under = F.flatten(F.transform(F.filter(chunks, lambda x, i: F.array_contains(at, i)), lambda c: F.sequence(c["start"], c["start"] + size(c) - 1)))
+        return let(F.flatten(F.transform(chunks, lambda x: x["lines"])), lambda lines: let(
+            F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.concat(under, F.coalesce("gone_lines", F.array().cast("array<int>")))),
+            lambda left: F.struct(
+                F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n").alias("clean_text"),
+                F.size(lines).cast("long").alias("n_lines"), F.size(chunks).cast("long").alias("n_chunks"),
+                F.size(at).cast("long").alias("n_removed_chunks"), (F.size(lines) - F.size(left)).cast("long").alias("n_removed_lines"),
+            ),
         ))
 
     cleaned = joined.withColumn("r", let(
@@ -128,15 +204,15 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, runs: bool = False) -> DataFrame:
     """The documents with repeated chunks removed from their text; those left without a line go."""
-    found = without_repeats(docs).where((F.col("n_removed_lines") == 0) | (F.col("n_removed_lines") < F.col("n_lines")))
+    found = without_repeats(docs, runs=runs).where((F.col("n_removed_lines") == 0) | (F.col("n_removed_lines") < F.col("n_lines")))
     columns = [F.col("clean_text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return found.select(*columns)
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, runs: bool = False) -> DataFrame:
     """doc_id, counts, and the whole text that remains, of every document."""
-    return without_repeats(docs.select("doc_id", "text")).select(
+    return without_repeats(docs.select("doc_id", "text"), runs=runs).select(
         F.col("row.doc_id").alias("doc_id"), "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.col("clean_text").alias("text")
     )

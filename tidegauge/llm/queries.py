@@ -120,6 +120,47 @@ def op5_line_chunks(spark, folder):
     return line_chunks.line_report(documents(spark, folder))
 
 
+@query(
+    "op5_line_passages",
+    r"""
+    WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+    each AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM lines),
+    hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, words >= 50 AS long FROM each),
+    rolled AS (SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % 2147483629 AS r, sum(words) OVER w AS hi FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    ended AS (
+      SELECT *, lead(i) OVER w IS NULL OR long OR coalesce(lead(long) OVER w, false)
+        OR coalesce(r < lag(r) OVER w AND r < lead(r) OVER w, false) AS stop
+      FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    numbered AS (
+      SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+      FROM ended),
+    chunks AS (
+      SELECT doc_id, c, count(*) AS n, bool_or(long) AS long, string_agg(line, chr(10) ORDER BY i) AS body
+      FROM numbered GROUP BY doc_id, c),
+    marked AS (SELECT *, (n > 1 OR long) AND regexp_matches(body, '[^\x20\x09-\x0D]') AS fit FROM chunks),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY body, fit ORDER BY doc_id, c) AS k FROM marked),
+    worded AS (SELECT doc_id, i, hi - words AS lo, hi FROM rolled WHERE words > 0),
+    spans AS (
+      SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM worded a JOIN worded b ON a.doc_id = b.doc_id AND b.hi >= a.lo + 50 GROUP BY a.doc_id, a.i
+      UNION
+      SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM worded a JOIN worded b ON a.doc_id = b.doc_id AND a.lo <= b.hi - 50 GROUP BY b.doc_id, b.i),
+    runs AS (SELECT doc_id, s, e, array_to_string(l[s:e], chr(10)) AS run FROM spans JOIN lines USING (doc_id)),
+    placed AS (SELECT doc_id, s, e, first_value(doc_id) OVER w AS home, first_value(e) OVER w AS last FROM runs WINDOW w AS (PARTITION BY run ORDER BY doc_id, s)),
+    under AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = home THEN greatest(s, last + 1) ELSE s END, e + 1)) AS i FROM placed),
+    result AS (
+      SELECT doc_id, c, i, line, fit AND k > 1 AS chunk_gone, (fit AND k > 1) OR under.i IS NOT NULL AS gone
+      FROM numbered JOIN ranked USING (doc_id, c) LEFT JOIN under USING (doc_id, i))
+    SELECT d.doc_id, count(r.i) AS n_lines, count(DISTINCT c) AS n_chunks,
+      count(DISTINCT c) FILTER (chunk_gone) AS n_removed_chunks, count(*) FILTER (gone) AS n_removed_lines,
+      CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY r.i) FILTER (NOT gone), '') END AS text
+    FROM documents d LEFT JOIN result r USING (doc_id) GROUP BY d.doc_id
+    """,
+)
+def op5_line_passages(spark, folder):
+    """Whole texts without chunks of lines, or passages of 50 words over short lines, that stand elsewhere."""
+    return line_chunks.line_report(documents(spark, folder), runs=True)
+
+
 @query("op6_quality_model")
 def op6_quality_model(spark, folder):
     """Quality scores of whole texts by a model of labelled rows."""
@@ -135,14 +176,16 @@ _SHRUNK = " OR ".join(
 @query(
     "op7_quality_rules",
     rf"""
-    WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+    WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
     runs AS (SELECT doc_id, k, w[k : k + 2] AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM w WHERE len(w) > 2)),
     again AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS c FROM runs) WHERE c > 1),
     covered AS (SELECT doc_id, count(*) AS c FROM (SELECT DISTINCT doc_id, unnest(range(k, k + 3)) AS p FROM again) GROUP BY doc_id),
     counted AS (
       SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l, CAST(coalesce(c, 0) AS BIGINT) AS n_repeat_words
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l, CAST(coalesce(c, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN covered USING (doc_id)),
     judged AS (
       SELECT *, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, n_words < 50 AS few_words, 100 * n_repeat_words > 50 * n_words AS repeats,
@@ -171,7 +214,8 @@ def op8_license_scan(spark, folder):
     "op9_minhash",
     r"""
     WITH RECURSIVE w AS (
-      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
       FROM documents),
     s AS (
       SELECT DISTINCT doc_id, w[k : k + least(5, len(w)) - 1] AS sh
