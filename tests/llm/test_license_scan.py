@@ -1,6 +1,7 @@
 """Base phrases against a plain scan; signatures, priority and containment on worked cases."""
 
 import re
+from re import _parser
 
 import pytest
 from corpora import SCHEMA, corpus, lower_ascii
@@ -69,3 +70,58 @@ def test_empty_table(spark):
 def test_clashing_names(spark, column):
     frame = spark.createDataFrame([(1, "mit license", "", "", 0)], SCHEMA).withColumnRenamed("lang", column)
     assert op.scan_licenses(frame).first().n_words == 2
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("reproduced without prior written permission", "proprietary"),
+    ("copied without written permission", "proprietary"),
+    ("unauthorised copying is prohibited", "proprietary"),
+    ("Unauthorized use of this file, in whole or in part, and by any means whatsoever, is strictly prohibited", "proprietary"),
+    ("for academic use only", "research-only"),
+    ("trial version only", "trial"),
+    ("Apache version 2.0", "apache-2.0"),
+    ("GNU Library General Public License version 2", "gpl,lgpl-2.0"),
+    ("Neither the name of " + "the University of a Very Long Place " * 5 + "nor the names of its contributors may be used", "bsd-3-clause"),
+])
+def test_texts_that_gates_or_short_gaps_hid(spark, text, labels):
+    row = op.license_report(spark.createDataFrame([(1, text, "", "", 0)], SCHEMA)).first()
+    assert row.labels == labels
+
+
+def examples(pattern):
+    """Texts that a pattern matches, in which each of its choices is made once at least."""
+
+    def every(parts):
+        choices = [part(*p) for p in parts]
+        first = [c[0] for c in choices]
+        return list(dict.fromkeys("".join([*first[:k], c, *first[k + 1 :]]) for k, found in enumerate(choices) for c in found)) or [""]
+
+    def part(kind, value):
+        name = str(kind)
+        if name == "LITERAL":
+            return [chr(value)]
+        if name == "NOT_LITERAL":
+            return ["x"]
+        if name == "BRANCH":
+            return [x for parts in value[1] for x in every(parts)]
+        if name == "SUBPATTERN":
+            return every(value[-1])
+        if name == "IN":
+            return [chr(c) for k, v in value for c in ([v] if str(k) == "LITERAL" else range(v[0], v[1] + 1))]
+        low, high, inner = value
+        found = every(inner)
+        return [*(["".join([found[0]] * low)] if low != 1 else []), *(x * max(low, 1) for x in found), found[0] * min(int(high), 50)]
+
+    return every(_parser.parse(pattern))
+
+
+def test_every_alternative_passes_its_gates(spark):
+    rules = license_rules.rules()
+    rows = [(n, text) for n, rule in enumerate(rules) for text in examples(rule[2])]
+    assert all(re.fullmatch(rules[n][2], text) for n, text in rows) and len(rows) > 2500
+    hidden = [(n, text) for n, text in rows if f" {rules[n][1]}" not in f" {text} " or not any(w in text for w in license_rules.first_words())]
+    assert hidden == []
+    few = [r for k, r in enumerate(rows) if r[0] >= len(rules) - len(license_rules.PHRASES) or k % 20 == 0]
+    frame = spark.createDataFrame([(k, text, "", "", 0) for k, (_, text) in enumerate(few)], SCHEMA).repartition(8)
+    missed = [few[r.row.doc_id] for r in op.scan_licenses(frame).select("row", "detections").collect() if not r.detections]
+    assert missed == []

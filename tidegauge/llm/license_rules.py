@@ -1,5 +1,7 @@
 """Ordered licence signatures: a keyword that gates each rule, a pattern, a label and a priority.
 
+A gate stands in every text that its pattern matches, and at the start of a word.
+
 Patterns run on a text's lower-cased words, joined by one space. Each licence has one line: label,
 gate keyword, name pattern, and words of its short identifier ("" where it has none). The four forms
 below make an identifier rule, a grant rule, a bare-name rule and a weak "released under" rule of each.
@@ -29,7 +31,7 @@ LICENSES = [
     ("gpl-2.0-later", "gpl", r"(?:gnu )?gpl ?v?2(?: 0)? or (?:any )?later", "gpl 2 0 or later"),
     ("gpl-3.0-later", "gpl", r"(?:gnu )?gpl ?v?3(?: 0)? or (?:any )?later", "gpl 3 0 or later"),
     ("gpl", "gpl", r"(?:gnu )?gpl", "gpl"),
-    ("lgpl-2.0", "lesser", r"(?:gnu )?(?:lesser|library) general public license(?: version)? 2(?: 0)?", "lgpl 2 0"),
+    ("lgpl-2.0", "general public", r"(?:gnu )?(?:lesser|library) general public license(?: version)? 2(?: 0)?", "lgpl 2 0"),
     ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public license(?: version)? 2 1", "lgpl 2 1"),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public license(?: version)? 3(?: 0)?", "lgpl 3 0"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public", "lgpl"),
@@ -118,7 +120,7 @@ PHRASES = [
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", 0, 0.95),
     ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice", 1, 0.9),
     ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice", 1, 0.9),
-    ("bsd-3-clause", "neither the name", r"neither the name of .{1,80}? nor the names of its contributors may be used", 0, 0.95),
+    ("bsd-3-clause", "neither the name", r"neither the name of(?: [^ ]+){1,50}? nor the names of its contributors may be used", 0, 0.95),
     ("bsd-4-clause", "all advertising", r"all advertising materials mentioning features or use of this software", 0, 0.95),
     ("apache-2.0", "compliance with the license", r"you may not use this file except in compliance with the license", 0, 0.95),
     ("apache-2.0", "apache org", r"apache org licenses license 2 0", 0, 0.95),
@@ -142,15 +144,17 @@ PHRASES = [
     ("cc0", "creativecommons", r"creativecommons org publicdomain zero", 0, 0.95),
     ("proprietary", "all rights reserved", r"all rights reserved", 3, 0.5),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)", 1, 0.9),
-    ("proprietary", "unauthorized", r"unauthori[sz]ed (?:copying|use|distribution|reproduction)(?: .{1,40}?)? is (?:strictly )?prohibited", 1, 0.9),
-    ("proprietary", "without permission", r"(?:reproduced|redistributed|copied) (?:in any form )?without (?:prior )?(?:written )?permission", 2, 0.7),
+    ("proprietary", "unauthori", r"unauthori[sz]ed (?:copying|use|distribution|reproduction)(?: [^ ]+){0,50}? is (?:strictly )?prohibited", 1, 0.9),
+    ("proprietary", "permission", r"(?:reproduced|redistributed|copied) (?:in any form )?without (?:prior )?(?:written )?permission", 2, 0.7),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*(?: by)?", 3, 0.4),
     ("non-commercial", "non commercial", r"(?:for )?non commercial (?:use|purposes)(?: only)?", 2, 0.6),
     ("non-commercial", "noncommercial", r"(?:for )?noncommercial (?:use|purposes)(?: only)?", 2, 0.6),
-    ("research-only", "research", r"(?:for )?(?:academic|research) (?:use|purposes) only", 2, 0.6),
+    ("research-only", "academic", r"(?:for )?academic (?:use|purposes) only", 2, 0.6),
+    ("research-only", "research", r"(?:for )?research (?:use|purposes) only", 2, 0.6),
     ("no-warranty", "without warrant", r"without warrant(?:y|ies)(?: or conditions)? of any kind", 3, 0.4),
     ("eula", "end user license", r"end user license agreement", 2, 0.7),
-    ("trial", "evaluation", r"(?:trial|evaluation) (?:use|purposes|version) only", 2, 0.6),
+    ("trial", "trial", r"trial (?:use|purposes|version) only", 2, 0.6),
+    ("trial", "evaluation", r"evaluation (?:use|purposes|version) only", 2, 0.6),
     ("dual", "dual licensed", r"dual licensed under", 2, 0.6),
 ]
 
@@ -168,5 +172,9 @@ def rules() -> list[tuple[str, str, str, int, float]]:
 
 
 def first_words() -> list[str]:
-    """Words of which every text that a rule matches has one: the four forms' own, and the longest of a phrase's gate."""
-    return sorted({"license", "under", "spdx"} | {max(gate.split(), key=len) for _, gate, *_ in PHRASES})
+    """Words of which every text that a rule matches has one: the four forms' own, and the longest of a phrase's gate.
+
+    A bare name whose "license" may be missing counts as a phrase.
+    """
+    bare = {gate for _, gate, name, _ in LICENSES if "(?: license)?" in name}
+    return sorted({"license", "under", "spdx"} | {max(gate.split(), key=len) for gate in bare | {gate for _, gate, *_ in PHRASES}})
