@@ -85,3 +85,19 @@ def test_trace_sessions_close_after_a_quiet_gap(spark, tmp_path):
     ))
     got = {r.trace: (r.spans, r.roots, r.last_end // s) for r in out.collect()}
     assert got[1] == (2, 1, 2) and got[2] == (2, 1, 4)
+
+
+def test_a_finished_input_leaves_no_window_or_session_open(spark, tmp_path):
+    from tidegauge.plans import streams
+    from tidegauge.plans.views import Tables
+
+    rows = [(k, f"2024-01-{1 + k // 4:02d} {6 * (k % 4):02d}:00:01", k % 3, "view", float(k), "{}") for k in range(40)]
+    frame = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    frame.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    t = Tables(spark, str(tmp_path))
+    got = streams.all_streaming_windows(t).collect()
+    assert sum(r.n for r in got) == 40 and max(r.value for r in got) == 39.0 and all(r.run is not None for r in got)
+    cut = streams.streaming_windows(t).collect()
+    assert sum(r.n for r in cut) < 40 and set(cut) < set(got)
+    sessions = streams.all_streaming_sessions(t).collect()
+    assert sum(r.spans for r in sessions) == 40 and all(r.trace is not None for r in sessions)

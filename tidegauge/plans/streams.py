@@ -13,11 +13,13 @@ from tidegauge.streaming import stateful, windows
 from tidegauge.streaming.run import drain
 
 
-def as_stream(t, df, name, files=4):
+def as_stream(t, df, name, files=4, closing=()):
     """Write a frame slice by slice in time order, and read the slices as micro-batches.
 
     File sources take files by age, so each slice is written after the one before,
-    with as many files as one micro-batch takes.
+    with as many files as one micro-batch takes. With ``closing`` columns, one more row
+    holds in them a time far after all others and moves the watermark past all data.
+    Its own window or session stays open, so it is in no result.
     """
     path = folder_for(t, name)
     df = materialize(df)
@@ -29,6 +31,10 @@ def as_stream(t, df, name, files=4):
         part = part if low is None else part.where(F.col("t") > low)
         part = part if high is None else part.where((F.col("t") <= high) | (F.col("t").isNull() & F.lit(low is None)))
         part.repartition(width).write.mode("append").parquet(path)
+    if closing:
+        far = df.agg(F.max("t").alias("t")).where("t IS NOT NULL").select(F.col("t") + 30 * DAY)
+        marker = far.toDF("far").select(*[F.when(F.lit(f.name in closing), F.col("far")).cast(f.dataType).alias(f.name) for f in df.schema])
+        marker.coalesce(1).write.mode("append").parquet(path)
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", width).parquet(path)
 
 
@@ -53,6 +59,17 @@ def streaming_windows(t):
     return rows
 
 
+@query("R2_streaming_all_windows", f"""
+WITH {PTS} SELECT run, feature, {WE} AS window_end, arg_max(value, t * 100000000::HUGEINT + seq) AS value, count(*) AS n
+FROM pts WHERE t IS NOT NULL GROUP BY ALL""")
+def all_streaming_windows(t):
+    """The windows of a finished input, those of its last day too."""
+    points = t.points.select("run", "feature", "t", "seq", "value").where("t IS NOT NULL")
+    s = windows.last_in_window(as_stream(t, points, "points", closing=("t",)), ["run", "feature"], DAY, "1 day")
+    rows, _ = drain(s)
+    return rows
+
+
 @query("R3_streaming_counter_rate", f"""
 WITH {COUNTERS}, a AS (
   SELECT *, lag(start_t) OVER w AS ps FROM counters WINDOW w AS (PARTITION BY run ORDER BY t, seq)),
@@ -119,3 +136,15 @@ def streaming_sessions(t):
     spans = t.points.select("t", F.col("run").alias("trace"), F.col("t").alias("end"), F.lit(None).cast("string").alias("parent"))
     rows, _ = drain(windows.closed_traces(as_stream(t, spans, "spans"), "12 hours", "1 day"))
     return rows.select("trace", "spans", "last_end")
+
+
+@query("R7_streaming_all_trace_sessions", f"""
+WITH {PTS}, g AS (SELECT run, t, t - lag(t) OVER (PARTITION BY run ORDER BY t) >= {DAY // 2} OR lag(t) OVER (PARTITION BY run ORDER BY t) IS NULL AS fresh FROM pts WHERE t IS NOT NULL),
+s AS (SELECT run, t, sum(fresh::INT) OVER (PARTITION BY run ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT run AS trace, count(*) AS spans, max(t) AS last_end FROM s GROUP BY run, s.s""")
+def all_streaming_sessions(t):
+    """The sessions of a finished input, those open at its end too."""
+    points = t.points.where("t IS NOT NULL")
+    spans = points.select("t", F.col("run").alias("trace"), F.col("t").alias("end"), F.lit(None).cast("string").alias("parent"))
+    rows, _ = drain(windows.closed_traces(as_stream(t, spans, "spans", closing=("t", "end")), "12 hours", "1 day"))
+    return rows.select("trace", "spans", "last_end")
