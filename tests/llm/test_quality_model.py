@@ -70,3 +70,11 @@ def test_sample_is_bounded_and_ordered(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
     labels = spark.createDataFrame([(i, q) for i, _, q in data], "doc_id long, quality int")
     assert op.training_features(docs, labels, max_train=30).count() == 30
+
+
+def test_a_repeated_id_gives_one_training_row(spark):
+    data = rows(20)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data] + [(data[0][0], f"{t} again") for _, t, _ in data] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in data], "doc_id long, quality int")
+    once = docs.dropDuplicates(["doc_id"])
+    assert op.training_features(docs, labels).count() == op.training_features(once, labels).count() <= 20

@@ -66,8 +66,10 @@ def training_features(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_
                 lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in ((key & ((1 << bits) - 1)).astype(np.int32), value)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["at", "label", "buckets", "values"])
 
-    # At most max_train ids.
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("at", "label", "text")
+    # At most max_train label rows, and one text of each id: that of the smallest hash.
+    found = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id")
+    texts = found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    joined = texts.join(F.broadcast(sample), "doc_id").select("at", "label", "text")
     return joined.mapInArrow(extract, "at long, label int, buckets array<int>, values array<float>")
 
 
