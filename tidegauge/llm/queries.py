@@ -8,6 +8,7 @@ from tidegauge.llm import (
     hilbert_shards,
     license_scan,
     line_chunks,
+    merkle,
     minhash,
     piece_counts,
     quality_model,
@@ -233,3 +234,58 @@ def op8_license_scan(spark, folder):
 def op9_minhash(spark, folder):
     """Near-duplicate groups of whole texts."""
     return minhash.near_duplicates(documents(spark, folder))
+
+
+def _crc32(number: str) -> str:
+    """DuckDB's crc32 of a number's decimal digits, bit by bit."""
+    byte = "list_reduce(list_prepend(xor(c, x), range(8)), lambda a, k: xor(a >> 1, (a & 1) * 3988292384))"
+    digits = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda c, x: {byte}))"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(CAST(octet_length(encode({f})) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""
+    WITH RECURSIVE leaves AS (
+      SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n,
+        row_number() OVER () AS k
+      FROM (SELECT doc_id, coalesce('=' || source, '') AS source, {_leaf_sql("text")} AS leaf,
+        CASE WHEN {_crc32("doc_id")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS changed FROM documents)),
+    tree(t, level, idx, n, h) AS (
+      SELECT source, 0, idx, n, leaf FROM leaves
+      UNION ALL
+      SELECT t, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY t, level, n, idx // 3),
+    subroots AS (SELECT t, h, row_number() OVER (ORDER BY t) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1),
+    top(level, idx, n, h) AS (
+      SELECT 0, idx, n, h FROM subroots
+      UNION ALL
+      SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY level, n, idx // 3),
+    nodes AS (SELECT * FROM tree UNION ALL SELECT NULL, level, idx, n, h FROM top),
+    steps AS (
+      SELECT a.t, a.level, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+        coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+      FROM nodes a JOIN nodes b ON a.t IS NOT DISTINCT FROM b.t AND a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY a.t, a.level, a.idx),
+    walk(k, t, level, idx, h, proof) AS (
+      SELECT k, source, 0, idx, changed, '' FROM leaves
+      UNION ALL
+      SELECT k, walk.t, walk.level + 1, walk.idx // 3, sha256(l || h || r), proof || l || r
+      FROM walk JOIN steps ON steps.t = walk.t AND steps.level = walk.level AND steps.idx = walk.idx),
+    over AS (SELECT k, walk.h, proof, s.idx, s.h AS subroot FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level DESC) AS last FROM walk) walk JOIN subroots s USING (t) WHERE last = 1),
+    climb(k, level, idx, h, proof, subroot) AS (
+      SELECT k, 0, idx, h, proof, subroot FROM over
+      UNION ALL
+      SELECT k, climb.level + 1, climb.idx // 3, sha256(l || h || r), proof || l || r, subroot
+      FROM climb JOIN steps ON steps.t IS NULL AND steps.level = climb.level AND steps.idx = climb.idx),
+    done AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level DESC) AS last FROM climb) WHERE last = 1)
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, done.h AS folded_root, done.h = root AS verified
+    FROM leaves JOIN done USING (k), (SELECT h AS root FROM top WHERE n = 1)
+    """,
+)
+def op12_merkle_manifest(spark, folder):
+    """Leaves, roots and proofs of all documents, checked after half of the texts were tampered with."""
+    return merkle.tampering_report(documents(spark, folder))
