@@ -6,6 +6,7 @@ from tidegauge.llm import (
     bpe_merge,
     decontaminate,
     hilbert_shards,
+    hnsw,
     license_scan,
     line_chunks,
     merkle,
@@ -289,3 +290,9 @@ def _leaf_sql(text: str) -> str:
 def op12_merkle_manifest(spark, folder):
     """Leaves, roots and proofs of all documents, checked after half of the texts were tampered with."""
     return merkle.tampering_report(documents(spark, folder))
+
+
+@query("op13_hnsw_neighbours")
+def op13_hnsw_neighbours(spark, folder):
+    """Twenty nearest rows of every twentieth vector, from graphs of all rows."""
+    return hnsw.nearest(spark.read.parquet(f"{folder}/embeddings.parquet"))
