@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidegauge.llm import (
     bpe_merge,
     decontaminate,
+    fat_trie,
     hilbert_shards,
     hnsw,
     license_scan,
@@ -244,6 +245,41 @@ def _crc32(number: str) -> str:
     return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda c, x: {byte}))"
 
 
+@query(
+    "op11_fat_trie",
+    rf"""
+    WITH t AS (
+      SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i,
+        CAST(octet_length(encode(coalesce(role, ''))) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '') AS turn,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+      FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (SELECT c, c - c % 20 AS base, {_crc32("c")} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+    turns AS (
+      SELECT convs.c, 0 AS part, i, turn, words FROM convs JOIN t ON t.c = base AND i < h
+      UNION ALL SELECT c, 1, i, turn, words FROM convs JOIN t USING (c) WHERE i >= h),
+    lists AS (
+      SELECT c, coalesce(list(turn ORDER BY part, i) FILTER (turn IS NOT NULL), []) AS s, coalesce(list(words ORDER BY part, i) FILTER (turn IS NOT NULL), []) AS w
+      FROM convs LEFT JOIN turns USING (c) GROUP BY c),
+    prefixes AS (SELECT c, len(s) AS m, w, s, unnest(range(0, len(s) + 1)) AS d FROM lists),
+    nodes AS (
+      SELECT s[1:d] AS p, d, min(c) AS conv_id, count(*) AS n, any_value(coalesce(w[d], 0)) AS words,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (m = d), '')) AS ends
+      FROM prefixes GROUP BY s[1:d], d),
+    children AS (SELECT p[1:d - 1] AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY p[1:d - 1]),
+    whole AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN children USING (p)),
+    below AS (
+      SELECT top AS p, sum((n - 1) * words) AS saved, count(*) FILTER (k = 0) AS leaves
+      FROM (SELECT p[1:a] AS top, n, words, k FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM whole)) GROUP BY top)
+    SELECT x.conv_id, x.d AS depth, up.conv_id AS parent_conv_id, x.n AS n_convs, x.k AS n_children, leaves AS n_leaves,
+      CAST(saved AS BIGINT) AS saved_tokens, x.ends AS ends_sha256
+    FROM whole x JOIN below ON below.p = x.p LEFT JOIN whole up ON x.d > 0 AND up.p = x.p[1:x.d - 1]
+    """,
+)
+def op11_fat_trie(spark, folder):
+    """Every prefix of the rebuilt conversations, from a z-fast trie."""
+    return fat_trie.prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 def _leaf_sql(text: str) -> str:
     fields = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
     return "sha256(" + " || ".join(f"coalesce(CAST(octet_length(encode({f})) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
