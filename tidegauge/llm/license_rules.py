@@ -120,7 +120,7 @@ PHRASES = [
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", 0, 0.95),
     ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice", 1, 0.9),
     ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice", 1, 0.9),
-    ("bsd-3-clause", "neither the name", r"neither the name of(?: [^ ]+){1,50}? nor the names of its contributors may be used", 0, 0.95),
+    ("bsd-3-clause", "neither the name", r"neither the name of(?: [^ ]++){1,50}? nor the names of its contributors may be used", 0, 0.95),
     ("bsd-4-clause", "all advertising", r"all advertising materials mentioning features or use of this software", 0, 0.95),
     ("apache-2.0", "compliance with the license", r"you may not use this file except in compliance with the license", 0, 0.95),
     ("apache-2.0", "apache org", r"apache org licenses license 2 0", 0, 0.95),
@@ -144,9 +144,9 @@ PHRASES = [
     ("cc0", "creativecommons", r"creativecommons org publicdomain zero", 0, 0.95),
     ("proprietary", "all rights reserved", r"all rights reserved", 3, 0.5),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)", 1, 0.9),
-    ("proprietary", "unauthori", r"unauthori[sz]ed (?:copying|use|distribution|reproduction)(?: [^ ]+){0,50}? is (?:strictly )?prohibited", 1, 0.9),
+    ("proprietary", "unauthori", r"unauthori[sz]ed (?:copying|use|distribution|reproduction)(?: [^ ]++){0,50}? is (?:strictly )?prohibited", 1, 0.9),
     ("proprietary", "permission", r"(?:reproduced|redistributed|copied) (?:in any form )?without (?:prior )?(?:written )?permission", 2, 0.7),
-    ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*(?: by)?", 3, 0.4),
+    ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}(?: (?=19|20)[12][09][0-9]{2}(?= ))*+(?: by)?", 3, 0.4),
     ("non-commercial", "non commercial", r"(?:for )?non commercial (?:use|purposes)(?: only)?", 2, 0.6),
     ("non-commercial", "noncommercial", r"(?:for )?noncommercial (?:use|purposes)(?: only)?", 2, 0.6),
     ("research-only", "academic", r"(?:for )?academic (?:use|purposes) only", 2, 0.6),

@@ -23,6 +23,8 @@ from tidegauge.llm.shared import let
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEVELS = 4
+#: Detections that one step of the sweep takes.
+BLOCK = 256
 #: Label, words.
 BASE = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
 _EMPTY = "array<struct<first: int, last: int, priority: int, rule: int, label: string, score: double>>"
@@ -78,14 +80,20 @@ def _unsuppressed(found: Column) -> Column:
         lambda x: x["d"],
     )
     none = [F.lit(-1).alias(f"e{p}") for p in range(LEVELS)]
-    start = F.struct(*none, F.array().cast(_EMPTY).alias("kept"))
+    blocks = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)))
 
     def step(state: Column, d: Column) -> Column:
         inside = reduce(lambda a, b: a | b, [(F.lit(p) <= d["priority"]) & (state[f"e{p}"] >= d["last"]) for p in range(LEVELS)])
         ends = [F.when(d["priority"] == p, F.greatest(state[f"e{p}"], d["last"])).otherwise(state[f"e{p}"]).alias(f"e{p}") for p in range(LEVELS)]
         return F.struct(*ends, F.when(inside, state["kept"]).otherwise(F.concat(state["kept"], F.array(d))).alias("kept"))
 
-    return F.aggregate(ordered, start, step, lambda s: s["kept"])
+    def block(state: Column, part: Column) -> Column:
+        """Sweep one block; what it keeps is appended once, so long lists are not copied for each detection."""
+        begin = F.struct(*[state[f"e{p}"].alias(f"e{p}") for p in range(LEVELS)], F.array().cast(_EMPTY).alias("kept"))
+        return let(F.aggregate(part, begin, step), lambda x: F.struct(*[x[f"e{p}"].alias(f"e{p}") for p in range(LEVELS)], F.concat(state["all"], F.array(x["kept"])).alias("all")))
+
+    start = F.struct(*none, F.array().cast(f"array<{_EMPTY}>").alias("all"))
+    return F.when(F.size(found) > 0, let(ordered, lambda all_: F.aggregate(blocks(all_), start, block, lambda s: F.flatten(s["all"])))).otherwise(F.array().cast(_EMPTY))
 
 
 def _base_places(words: Column) -> Column:
@@ -105,20 +113,16 @@ def _base_places(words: Column) -> Column:
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """``row`` (the input row), n_words, base phrases and the detections left, for every document."""
     body = F.coalesce(F.col(text), F.lit(""))
-    frame = docs.select(F.struct("*").alias("row"), body.alias("body"), _worth_scanning(body).alias("gated"))
-    found = frame.where("gated").select("row", "body", F.filter(F.split(F.translate("body", _UPPER, _LOWER), _GAP), lambda x: x != "").alias("w"))
-    scanned = found.select(
-        "row",
-        let(F.col("w"), lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"), _base_places(w).alias("base"),
-            let(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")), lambda t: let(_rule_table(), lambda table: _unsuppressed(_detections(t, table)))).alias("detections"),
-        )).alias("s"),
-    ).select("row", "s.*")
-    plain = frame.where(~F.col("gated")).select(
-        "row", F.size(F.filter(F.split("body", _GAP), lambda x: x != "")).cast("long").alias("n_words"),
+    frame = docs.select(F.struct("*").alias("row"), body.alias("body"))
+    scanned = let(F.filter(F.split(F.translate("body", _UPPER, _LOWER), _GAP), lambda x: x != ""), lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), _base_places(w).alias("base"),
+        let(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")), lambda t: let(_rule_table(), lambda table: _unsuppressed(_detections(t, table)))).alias("detections"),
+    ))
+    plain = F.struct(
+        F.size(F.filter(F.split("body", _GAP), lambda x: x != "")).cast("long").alias("n_words"),
         F.array().cast("array<struct<first: int, label: string>>").alias("base"), F.array().cast(_EMPTY).alias("detections"),
     )
-    return plain.unionByName(scanned)
+    return frame.select("row", F.when(_worth_scanning(F.col("body")), scanned).otherwise(plain).alias("s")).select("row", "s.*")
 
 
 def license_report(docs: DataFrame) -> DataFrame:
