@@ -42,7 +42,7 @@ def test_small_memory_gives_equal_ids():
     from tidegauge.llm.bytewords import text_bytes
 
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    encoder = op.ChunkEncoder("word_bpe_49k.json", max_known=2)
+    encoder = op.ChunkEncoder("word_bpe_49k.json", known_bytes=2)
     texts = [text or "" for _, text, *_ in ROWS] + ["<|ENDOFTEXT|> AÀ <|endoftext|>", "a\u00a0B\u2003c"]
     for group in [[t] for t in texts] + [texts]:
         want = [library.encode(t, add_special_tokens=False).ids + [2] for t in group]

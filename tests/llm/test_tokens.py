@@ -43,7 +43,7 @@ def test_ids_and_decoded_text(spark, library):
 
 def test_small_memory_and_single_merges_give_equal_ids(library):
     texts = [t or "" for _, t, *_ in ROWS]
-    encoder = bpe_merge.Encoder(bpe_merge.MergeTable("word_bpe_49k.json"), max_known=3)
+    encoder = bpe_merge.Encoder(bpe_merge.MergeTable("word_bpe_49k.json"), known_bytes=3)
     encoder.table.grown = False
     for text in texts[:12] + texts[13:-3]:
         words = bpe_merge.chunks(text)
@@ -65,6 +65,6 @@ def test_counts(spark):
 
 def test_small_memory_counts():
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    counter = piece_counts.PieceCounter("piece_bpe_32k.model", max_known=2)
+    counter = piece_counts.PieceCounter("piece_bpe_32k.model", known_bytes=2)
     for _, text, *_ in ROWS[:-3]:
         assert counter.counts([text or ""]) == [len(model.encode(text or ""))]

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from itertools import chain
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from tidegauge.llm.shared import Memory, kept_by_worker, vocabulary
 
-MAX_KNOWN = 300_000
+KNOWN_BYTES = 64 << 20
 #: The word pattern of the vocabulary file, and what splits words in every text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -122,9 +123,10 @@ def lowered(text: str) -> str:
 class Encoder:
     """Token ids of chunks as 32-bit words; encodes the unknown ones of a batch together."""
 
-    def __init__(self, table: MergeTable, max_known: int = MAX_KNOWN):
-        self.table, self.memory = table, Memory(max_known)
+    def __init__(self, table: MergeTable, known_bytes: int = KNOWN_BYTES):
+        self.table, self.memory = table, Memory(known_bytes)
         self.named: dict[str, tuple[str, str]] = {}
+        self.named_bytes = 0
 
     @property
     def known(self) -> dict[str, bytes]:
@@ -136,13 +138,15 @@ class Encoder:
         if found is None:
             ids = np.frombuffer(self.known[chunk], dtype="<u4").tolist()
             found = self.named[chunk] = (" ".join(map(str, ids)), self.decode(ids))
+            self.named_bytes += sys.getsizeof(found[0]) + sys.getsizeof(found[1]) + Memory.OVERHEAD
         return found
 
     def learn(self, wanted: set[str]) -> None:
         """Encode the chunks not known yet."""
         table, found = self.table, self.memory.missing(wanted)
-        if len(self.named) > self.memory.limit:
+        if self.named_bytes > self.memory.limit:
             self.named.clear()
+            self.named_bytes = 0
         plans, words = [], {}
         for chunk in found:
             parts = []

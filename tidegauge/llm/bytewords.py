@@ -1,8 +1,8 @@
 """Words and word runs of Arrow text columns as flat numpy arrays.
 
 Texts of a batch lie in one byte array. A word is a maximal run of bytes of a class; it never
-crosses a text. Hashes are polynomials over random byte codes, mixed to 64 bits: equal bytes give
-equal hashes everywhere, and callers that need certainty compare bytes.
+crosses a text. A word is hashed in lanes of eight bytes, each mixed with its place and all summed:
+equal bytes give equal hashes everywhere, and callers that need certainty compare bytes.
 """
 
 from __future__ import annotations
@@ -11,8 +11,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from tidegauge.llm.shared import kept_by_worker
-
 BLOCK_BYTES = 2 << 20
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -47,18 +45,8 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_ODD) + np.uint64((seed * _ODD) & _MASK))
 
 
-_CODES = stream(11, 256)
-
-
-def _powers_of(base: int, n: int) -> np.ndarray:
-    """Powers of a base; kept outside the module, as its globals travel with each task's function."""
-    powers = kept_by_worker("powers", dict)
-    have = powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, BLOCK_BYTES + 1), base & _MASK, dtype=np.uint64)
-        have[0] = 1
-        have = powers[base] = np.cumprod(have)
-    return have[:n]
+#: Masks that keep the first 0 to 8 bytes of a little-endian lane.
+_KEPT = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,28 +102,61 @@ class Words:
         """The text that each word lies in."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        n = len(self.lower)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        part = _CODES[self.lower]
-        part *= _powers_of(_ODD, n)
-        np.cumsum(part, out=total[1:])
-        del part
-        back = _powers_of(pow(_ODD, -1, 1 << 64), n + 1)
-        return mix((total[self.ends] - total[self.starts]) * back[self.starts] + np.uint64(1))
-
-    def distinct(self) -> tuple[list[bytes], np.ndarray]:
-        """The different words, and which of them each word is; told apart by 64 bits of hash and the length."""
-        hashes = self.hashes()
-        which, found = pd.factorize(hashes)
+    def lanes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all words in lanes of eight (zeros after the end), the place of each lane in its word, and each word's first lane."""
+        counts = (self.ends - self.starts + 7) >> 3
+        first = np.cumsum(counts) - counts
+        place = np.arange(int(counts.sum())) - np.repeat(first, counts)
+        at = np.repeat(self.starts, counts) + 8 * place
+        left = np.minimum(np.repeat(self.ends, counts) - at, 8)
+        padded = np.concatenate((self.lower, np.zeros(8, np.uint8)))
+        values = np.lib.stride_tricks.sliding_window_view(padded, 8)[at].view("<u8").reshape(-1)
+        return values & _KEPT[left], place, first
+
+    def hashes(self, seed: int = 1, lanes=None) -> np.ndarray:
+        """64 bits for each word; another seed gives another, independent value."""
+        if not len(self):
+            return np.zeros(0, np.uint64)
+        values, place, first = lanes or self.lanes()
+        key = (place.astype(np.uint64) + np.uint64(seed << 48)) * np.uint64(_ODD)
+        total = np.add.reduceat(mix(mix(key) ^ values) * np.uint64(_ODD), first)
+        return mix(total ^ mix((self.ends - self.starts).astype(np.uint64) + np.uint64(seed)))
+
+    def numbers(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each word, equal for equal bytes, and a word that has each number; words of equal hash are compared by bytes."""
+        lanes = self.lanes()
+        which, found = pd.factorize(self.hashes(lanes=lanes))
         first = np.empty(len(found), dtype=np.int64)
         first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-        sizes = self.ends - self.starts
-        if (sizes != sizes[first][which]).any():
-            _, first, which = np.unique(np.stack((hashes, sizes.astype(np.uint64)), axis=1), axis=0, return_index=True, return_inverse=True)
+        other = np.flatnonzero(~self._equals(lanes, first[which]))
+        if len(other):
+            known, more = {}, []
+            for w in other.tolist():
+                word = self.lower[self.starts[w] : self.ends[w]].tobytes()
+                if word not in known:
+                    known[word] = len(first) + len(more)
+                    more.append(w)
+                which[w] = known[word]
+            first = np.concatenate((first, more))
+        return which, first
+
+    def distinct(self) -> tuple[list[bytes], np.ndarray]:
+        """The different words, and which of them each word is."""
+        which, first = self.numbers()
         data, starts, ends = self.lower.tobytes(), self.starts[first].tolist(), self.ends[first].tolist()
         return [data[a:b] for a, b in zip(starts, ends, strict=True)], which
 
+    def _equals(self, lanes, partner: np.ndarray) -> np.ndarray:
+        """Whether each word has the bytes of its partner."""
+        values, place, first = lanes
+        if not len(values):
+            return np.ones(0, dtype=bool)
+        sizes = self.ends - self.starts
+        same = sizes == sizes[partner]
+        counts = (sizes + 7) >> 3
+        there = np.minimum(np.repeat(first[partner], counts) + place, len(values) - 1)
+        return same & np.logical_and.reduceat(values == values[there], first)
+
     def phrase(self, at: int, n: int) -> bytes:
         """Words ``at`` to ``at + n - 1``, joined by one space."""
         return b" ".join(self.lower[s:e].tobytes() for s, e in zip(self.starts[at : at + n], self.ends[at : at + n], strict=True))
@@ -158,3 +179,11 @@ def run_starts(words: Words, n: int) -> np.ndarray:
         cut = words.first[1:-1] - j
         keep[cut[(cut >= 0) & (cut < len(keep))]] = False
     return np.flatnonzero(keep)
+
+
+def run_codes(which: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the runs of ``n`` words from each word on: equal ones for equal words, given each word's number."""
+    codes, later = which.astype(np.int64), which.astype(np.int64)
+    for j in range(1, n):
+        codes = pd.factorize((codes[:-1] << 32) | later[j:])[0] if len(codes) > 1 else codes[:0]
+    return codes

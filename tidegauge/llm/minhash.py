@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.bytewords import NON_SPACE, Words, mix, row_blocks, run_hashes, run_starts, stream, text_bytes
+from tidegauge.llm.bytewords import NON_SPACE, Words, mix, row_blocks, run_codes, run_hashes, run_starts, stream, text_bytes
 from tidegauge.llm.components import components, tops
 from tidegauge.llm.shared import written
 
@@ -36,28 +36,49 @@ MARKS = 16
 PERCENT = 75
 
 
-def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, sorted by text and hash: (text, hash)."""
-    hashes, rows = words.hashes(), words.rows()
-    starts = run_starts(words, n)
-    at, found = [rows[starts]], [run_hashes(hashes, n)[starts]]
+def _places(words: Words, n: int):
+    """(size, texts, words) of all shingles: every ``n`` words in a row, or the whole of a shorter text."""
+    starts, rows = run_starts(words, n), words.rows()
+    yield n, rows[starts], starts
     for size in range(1, n):
         short = np.flatnonzero(words.counts == size)
         if len(short):
-            at.append(short)
-            found.append(run_hashes(hashes, size)[words.first[short]])
-    at, found = np.concatenate(at), np.concatenate(found)
+            yield size, short, words.first[short]
+
+
+def _distinct(at: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Places of one of each (text, value), in their order."""
     order = np.argsort(found, kind="quicksort")
     order = order[np.argsort(at[order], kind="stable")]
-    at, found = at[order], found[order]
     new = np.ones(len(at), dtype=bool)
-    new[1:] = (at[1:] != at[:-1]) | (found[1:] != found[:-1])
-    return at[new], found[new]
+    new[1:] = (at[order][1:] != at[order][:-1]) | (found[order][1:] != found[order][:-1])
+    return order[new]
+
+
+def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, sorted by text and hash: (text, hash, a second hash)."""
+    lanes, places = words.lanes(), list(_places(words, n))
+    at = np.concatenate([rows for _, rows, _ in places])
+    both = []
+    for seed in (1, 2):
+        hashes = words.hashes(seed, lanes)
+        both.append(np.concatenate([run_hashes(hashes, size)[starts] for size, _, starts in places]))
+    one = _distinct(at, both[0])
+    return at[one], both[0][one], both[1][one]
+
+
+def exact_shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text as numbers that are equal only for the same words: (text, number)."""
+    which, places = words.numbers()[0], list(_places(words, n))
+    at = np.concatenate([rows for _, rows, _ in places])
+    found = np.concatenate([run_codes(which, size)[starts] * (n + 1) + size for size, _, starts in places])
+    one = _distinct(at, found)
+    return at[one], found[one]
 
 
 def _signature_rows(data, offsets, m: int, k: int):
     words = Words(data, offsets, NON_SPACE)
-    at, found = shingles(words)
+    at, found, second = shingles(words)
     n_texts = len(offsets) - 1
     sizes = np.bincount(at, minlength=n_texts)
     full = np.flatnonzero(sizes)
@@ -67,8 +88,8 @@ def _signature_rows(data, offsets, m: int, k: int):
     digest = [np.zeros(n_texts, np.uint64), np.zeros(n_texts, np.uint64)]
     bands = np.zeros((n_texts, 2 * m), np.uint64)
     if len(full):
-        for i in (0, 1):
-            digest[i][full] = np.add.reduceat(mix(found ^ salt[-1 - i]), cuts)
+        for i, values in enumerate((found, second)):
+            digest[i][full] = np.add.reduceat(mix(values ^ salt[-1 - i]), cuts)
         for band in range(2 * m):
             key = np.full(len(full), band + 1, np.uint64)
             for j in range(band * k, band * k + k):
@@ -107,18 +128,16 @@ def signatures(docs: DataFrame, m: int = TUPLES, k: int = WIDTH) -> DataFrame:
 
 
 def _shared_counts(a: pa.Array, b: pa.Array) -> list[np.ndarray]:
-    """Set sizes of both texts of each row, and of their intersection."""
-    sets = []
-    for column in (a, b):
-        data, offsets = text_bytes(column)
-        sets.append(shingles(Words(data, offsets, NON_SPACE)))
-    at = np.concatenate([s[0] for s in sets])
-    found = np.concatenate([s[1] for s in sets])
-    order = np.lexsort((found, at))
-    at, found = at[order], found[order]
-    same = (at[1:] == at[:-1]) & (found[1:] == found[:-1])
+    """Set sizes of both texts of each row, and of their intersection, with words compared by bytes."""
     n = len(a)
-    return [np.bincount(sets[0][0], minlength=n), np.bincount(sets[1][0], minlength=n), np.bincount(at[1:][same], minlength=n)]
+    (one, first), (two, second) = text_bytes(a), text_bytes(b)
+    words = Words(np.concatenate((one, two)), np.concatenate((first, second[1:] + first[-1])), NON_SPACE)
+    at, found = exact_shingles(words)
+    sizes = np.bincount(at, minlength=2 * n)
+    order = np.lexsort((found, at % n))
+    at, found = at[order] % n, found[order]
+    same = (at[1:] == at[:-1]) & (found[1:] == found[:-1])
+    return [sizes[:n], sizes[n:], np.bincount(at[1:][same], minlength=n)]
 
 
 def _may_link(percent: int):

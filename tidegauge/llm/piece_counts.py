@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.shared import Memory, kept_by_worker, vocabulary
 
-MAX_KNOWN = 1_000_000
+KNOWN_BYTES = 160 << 20
 MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*")
 
 
 class PieceCounter:
-    def __init__(self, path: str, max_known: int = MAX_KNOWN):
+    def __init__(self, path: str, known_bytes: int = KNOWN_BYTES):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=vocabulary(path))
@@ -38,7 +38,7 @@ class PieceCounter:
         self.rank = {model.id_to_piece(i): -model.get_score(i) for i in range(model.get_piece_size()) if not any(kind(i) for kind in kinds)}
         if any(MARK in piece.lstrip(MARK) for piece in self.rank):
             raise ValueError("a piece holds the space mark behind other characters")
-        self.memory = Memory(max_known)
+        self.memory = Memory(known_bytes)
 
     def count(self, chunk: str) -> int:
         rank = self.rank

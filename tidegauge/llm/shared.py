@@ -6,6 +6,7 @@ import os
 import sys
 import types
 import uuid
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def work_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Where that is unset, only a local session gets one, from its own checkpoint folder.
+    Where that is unset, only a local session gets one, in its checkpoint folder or else its warehouse.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -51,18 +52,26 @@ def kept_by_worker(name: str, make):
 
 
 class Memory:
-    """Values by key in two generations of at most half ``limit`` keys before one batch's own.
+    """Values by key in two generations of at most half ``limit`` bytes before one batch's own.
 
     A full generation becomes the old one, from which keys met again are taken over.
     """
 
+    #: Bytes of an entry besides its key and value.
+    OVERHEAD = 100
+
     def __init__(self, limit: int):
         self.limit, self.now, self.old = limit, {}, {}
+        self.size = self.counted = 0
 
     def missing(self, wanted: set, turn: bool = True) -> set:
         """The wanted keys without a value; all others are in ``now`` until the next turn."""
-        if turn and 2 * len(self.now) > self.limit:
-            self.old, self.now = self.now, {}
+        if turn:
+            for key, value in islice(self.now.items(), self.counted, None):
+                self.size += sys.getsizeof(key) + sys.getsizeof(value) + self.OVERHEAD
+            self.counted = len(self.now)
+            if 2 * self.size > self.limit:
+                self.old, self.now, self.size, self.counted = self.now, {}, 0, 0
         missing = wanted.difference(self.now)
         if self.old:
             again = missing.intersection(self.old)
@@ -71,6 +80,11 @@ class Memory:
         return missing
 
 
+def forget_worker_values() -> None:
+    """Free what `kept_by_worker` holds, in a task that needs none of it."""
+    sys.modules.pop("llm_worker_state", None)
+
+
 def vocabulary(path: str) -> str:
     """Place of a vocabulary file: a path, or the name of a public one."""
     if os.path.exists(path):

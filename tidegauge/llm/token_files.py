@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.bytewords import NON_SPACE, Words, row_blocks, text_bytes
-from tidegauge.llm.shared import Memory, kept_by_worker, vocabulary, work_folder
+from tidegauge.llm.shared import Memory, forget_worker_values, kept_by_worker, vocabulary, work_folder
 
-MAX_KNOWN = 400_000
+KNOWN_BYTES = 80 << 20
 END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 1000
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 #: In UTF-8: Latin letters; parts of a chunk that encode apart (letters before a plain mark, plain marks
 #: at the end); chunks of one piece.
 _LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
@@ -47,14 +47,14 @@ _PLAIN = re.compile(_LETTERS + rb"|[,.!?;:]+")
 class ChunkEncoder:
     """Ids of chunks as 32-bit words, by the library; unknown parts of a batch go to it together."""
 
-    def __init__(self, path: str, max_known: int = MAX_KNOWN):
+    def __init__(self, path: str, known_bytes: int = KNOWN_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(path))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memory = Memory(max_known)
+        self.memory = Memory(known_bytes)
         suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
         #: Whether an id ends a word, where the vocabulary tells.
         self.ends = None
@@ -156,10 +156,12 @@ def checksums(tokens: DataFrame) -> DataFrame:
     """`read_tokens` with the crc32 of each list as little-endian 32-bit words instead of the list."""
 
     def run(batches):
+        # The encoder of an earlier stage may still be in this worker.
+        forget_worker_values()
         for batch in batches:
             lists = batch.column(3)
-            values, cuts = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            values, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            sums = [zlib.crc32(values[a:b].astype("<u4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], [*batch.schema.names[:3], "ids_crc32"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
