@@ -57,3 +57,23 @@ def test_written_shards_hold_all_rows_and_pruning_keeps_matches(spark, tmp_path)
     assert {r.shard for r in plan.where("size >= 400").collect()} <= big
     early = {r.shard for r in op.prune(shards, c_id=(F.lit(0), F.lit(40))).collect()}
     assert {r.shard for r in plan.where("c_id <= 40").collect()} <= early and len(early) < 8
+
+
+def test_text_ids_and_ids_over_the_whole_range(spark):
+    texts = [(t, "x" * k, "en", "s", k) for k, t in enumerate(["", "a", "ab", "é", "zz", None, "~" * 50_000, "0"])]
+    docs = spark.createDataFrame(texts, "doc_id string, text string, lang string, source string, n_chars long")
+    plan = op.shard_plan(docs).collect()
+    assert sorted((r.shard for r in plan)) == list(range(8)) and all(0 <= r.c_id < 256 for r in plan)
+    cells = {r.doc_id: r.c_id for r in plan}
+    assert cells["a"] == cells["ab"] < cells["zz"] < cells["é"] and cells[None] == cells[""] == 0
+    wide = [(i, "t", "en", "s", 1) for i in (-(1 << 63), -1, 0, (1 << 63) - 1, None)]
+    cells = {r.doc_id: r.c_id for r in op.shard_plan(spark.createDataFrame(wide, SCHEMA)).collect()}
+    assert cells == {-(1 << 63): 0, -1: 128, 0: 128, (1 << 63) - 1: 255, None: 0}
+
+
+def test_very_long_texts_and_a_column_named_like_the_folders(spark, tmp_path):
+    rows = [(i, "word " * 400_000 + str(i), "en", "s", i) for i in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("n_chars", "shard_no")
+    op.write_shards(docs, op.shard_plan(docs.withColumnRenamed("shard_no", "n_chars"), 2), str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert {r.doc_id: r.shard_no for r in back.collect()} == {0: 0, 1: 1, 2: 2} and "shard_no_" in back.columns

@@ -6,8 +6,8 @@ by id and text. The ranks are cut into runs, so the law is ``rows``: shard count
 most. Each shard's least and greatest cells make a manifest that prunes whole shards for filters on
 any of the dimensions. DataFrame functions only.
 
-Defined results: a null name is a cell of its own, a null id or size counts as the lowest; null texts
-have size 1; repeated rows are placed next to each other; an empty table gives an empty plan. Other
+Defined results: ids are numbers of any range, or texts, whose first bytes are their cell; a null name is a
+cell of its own, a null id or size counts as the lowest; null texts have size 1; repeated rows are placed next to each other; an empty table gives an empty plan. Other
 columns are not read.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tidegauge.llm.shared import let, written
 
@@ -31,6 +32,19 @@ def size_cell(size: Column, bits: int = BITS) -> Column:
     return F.least(F.floor(8 * F.log2(1 + F.coalesce(size, F.lit(0)))), F.lit((1 << bits) - 1)).cast("int")
 
 
+def id_cell(number: Column, low: Column, high: Column, bits: int = BITS) -> Column:
+    """Place of a number between the least and the greatest; differences of any two longs fit a decimal."""
+    wide = lambda x: x.cast("decimal(30,8)")
+    share = (wide(number) - wide(low)).cast("double") / ((wide(high) - wide(low)).cast("double") + 1)
+    return F.least(F.coalesce(F.floor(share * (1 << bits)), F.lit(0)), F.lit((1 << bits) - 1)).cast("int")
+
+
+def text_cell(text: Column, bits: int = BITS) -> Column:
+    """The first bits of a text's first two bytes, so that cells follow the order of texts."""
+    head = F.rpad(F.hex(F.substring(text.cast("string").cast("binary"), 1, 2)), 4, "0")
+    return F.coalesce(F.shiftright(F.conv(head, 16, 10).cast("int"), 16 - bits), F.lit(0))
+
+
 def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     """Place on the Hilbert curve through a grid of ``2 ** bits`` cells a side (Skilling's transform)."""
     n, top = len(cells), 1 << (bits - 1)
@@ -64,16 +78,17 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, the four cells and the curve index of each document."""
-    span = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     raw = docs.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "lang", "source",
     )
-    # One row with the least and greatest id meets every document.
-    share = (F.coalesce("doc_id", "low") - F.col("low")) / (F.col("high") - F.col("low") + 1)
-    cells = raw.crossJoin(F.broadcast(span)).select(
+    numeric = isinstance(docs.schema["doc_id"].dataType, NumericType)
+    if numeric:
+        # One row with the least and greatest id meets every document.
+        raw = raw.crossJoin(F.broadcast(docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))))
+    cells = raw.select(
         "doc_id", "size", "text_crc32", name_cell(F.col("lang")).alias("c_lang"), name_cell(F.col("source")).alias("c_source"),
-        size_cell(F.col("size")).alias("c_size"), F.coalesce(F.floor(share * (1 << BITS)), F.lit(0)).cast("int").alias("c_id"),
+        size_cell(F.col("size")).alias("c_size"), (id_cell(F.col("doc_id"), F.col("low"), F.col("high")) if numeric else text_cell(F.col("doc_id"))).alias("c_id"),
     )
     return cells.withColumn("curve", hilbert_index([F.col(c) for c in CELLS]))
 
@@ -113,10 +128,12 @@ def prune(shards: DataFrame, **cells: tuple[Column, Column]) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, plan: DataFrame, path: str, column: str = "shard_no") -> None:
-    """Write the documents into one folder per shard, in slot order; ``column`` names the folders.
+    """Write the documents into one folder per shard, in slot order; ``column`` names the folders, with ``_`` behind it where the documents have such a column.
 
     Rows are matched by doc_id and text checksum; a repeated row is written as often as it occurs.
     """
+    while column in docs.columns:
+        column += "_"
     keyed = docs.select(F.struct("*").alias("row"), "doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
     places = plan.groupBy(F.col("doc_id").alias("id"), F.col("text_crc32").alias("crc")).agg(F.min(F.struct("shard", "slot")).alias("at"))
     placed = keyed.join(places, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_crc32") == F.col("crc")))
