@@ -72,3 +72,23 @@ def test_empty_tables(spark):
     docs, bench = spark.createDataFrame(ROWS, DOCS), spark.createDataFrame(ITEMS, BENCH)
     assert op.contamination_report(docs.limit(0), bench).count() == 0
     assert not any(r.contaminated for r in op.contamination_report(docs, bench.limit(0)).collect())
+
+
+def test_a_window_of_very_many_items_is_spread_over_blocks(spark):
+    items = [(i, ITEM, 1) for i in range(300)]
+    docs = spark.createDataFrame([(1, ITEM, "x", 1), (2, "none of it", "x", 1)], DOCS)
+    bench = spark.createDataFrame(items, BENCH)
+    plain = sorted(map(tuple, op.contamination_report(docs, bench).collect()))
+    assert plain[0][3] == 300
+    split = op.contamination_report(docs, bench, max_set_bytes=40_000)
+    assert sorted(map(tuple, split.collect())) == plain
+
+
+def test_windows_travel_without_the_package():
+    import pickle
+    import subprocess
+    import sys
+
+    held = pickle.dumps(op.window_table([(b"one two", 2, "7"), (b"one two", 2, "3")]))
+    code = "import pickle, sys; t = pickle.loads(sys.stdin.buffer.read()); assert t[2][2] == [('3', '7')]; assert 'tidegauge' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], input=held, cwd="/", check=True)

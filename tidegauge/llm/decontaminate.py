@@ -2,8 +2,9 @@
 
 The distinct windows of the benchmark go to the executors as a hash set. A scan hashes every run
 of words of a document, looks the hash up and compares the bytes of each hit. The set has a bound
-in bytes; a larger benchmark is split by window into blocks under that bound, and the documents
-are scanned once per block, with the table between two scans written to the shared folder.
+in bytes; a larger benchmark is split by (window, item) into blocks under that bound, so a window that
+very many items share is spread as well, and the documents are scanned once per block, with the table
+between two scans written to the shared folder.
 
 Defined results: null and empty texts have no words and no hits; repeated rows each get their own
 row; an empty benchmark hits nothing; benchmark rows without words have no window; a null item id
@@ -48,24 +49,25 @@ def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text
     return source.mapInArrow(cut, "phrase binary, n int, item string").distinct()
 
 
-class WindowSet:
-    """Windows of one block, by size and hash."""
+def window_table(rows) -> dict:
+    """Windows of one block as plain arrays and lists by size: sorted hashes, texts, owners and a gate of hash prefixes.
 
-    def __init__(self, rows):
-        table: dict[int, dict[bytes, list[str]]] = {}
-        for phrase, n, item in rows:
-            items = table.setdefault(n, {}).setdefault(bytes(phrase), [])
-            if item is not None:
-                items.append(item)
-        self.sizes = {}
-        for n, phrases in table.items():
-            texts = list(phrases)
-            joined = pa.array([t.decode("utf-8", "surrogateescape") for t in texts], pa.large_string())
-            keys = run_hashes_of(joined, n)
-            order = np.argsort(keys, kind="stable")
-            gate = np.zeros(1 << 16, dtype=bool)
-            gate[(keys >> np.uint64(48)).astype(np.int64)] = True
-            self.sizes[n] = (keys[order], [texts[i] for i in order], [tuple(sorted(phrases[texts[i]])) for i in order], gate)
+    Only built-in and numpy types, so workers need no copy of this package to read a broadcast of it.
+    """
+    table: dict[int, dict[bytes, list[str]]] = {}
+    for phrase, n, item in rows:
+        items = table.setdefault(n, {}).setdefault(bytes(phrase), [])
+        if item is not None:
+            items.append(item)
+    sizes = {}
+    for n, phrases in table.items():
+        texts = list(phrases)
+        keys = run_hashes_of(pa.array([t.decode("utf-8", "surrogateescape") for t in texts], pa.large_string()), n)
+        order = np.argsort(keys, kind="stable")
+        gate = np.zeros(1 << 16, dtype=bool)
+        gate[(keys >> np.uint64(48)).astype(np.int64)] = True
+        sizes[n] = (keys[order], [texts[i] for i in order], [tuple(sorted(phrases[texts[i]])) for i in order], gate)
+    return sizes
 
 
 def run_hashes_of(phrases: pa.Array, n: int) -> np.ndarray:
@@ -74,11 +76,11 @@ def run_hashes_of(phrases: pa.Array, n: int) -> np.ndarray:
     return run_hashes(words.hashes(), n)[words.first[:-1]]
 
 
-def _scan(words: Words, windows: WindowSet, covered: np.ndarray, items: list[set]) -> None:
+def _scan(words: Words, windows: dict, covered: np.ndarray, items: list[set]) -> None:
     """Add to the covered words and to each text's items what one block finds."""
     hashes = words.hashes()
     rows = words.rows()
-    for n, (keys, texts, owners, gate) in windows.sizes.items():
+    for n, (keys, texts, owners, gate) in windows.items():
         starts = run_starts(words, n)
         if not len(starts):
             continue
@@ -156,10 +158,10 @@ def find_contamination(docs: DataFrame, bench: DataFrame, text: str = "text", it
     n_blocks = max(1, -(-size // max_set_bytes))
     frame = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
     for number in range(n_blocks):
-        rows = windows.where(F.pmod(F.xxhash64("phrase"), F.lit(n_blocks)) == number).collect()
+        rows = windows.where(F.pmod(F.xxhash64("phrase", "item"), F.lit(n_blocks)) == number).collect()
         if number:
             frame = written(frame)
-        frame = _pass_over(frame, spark.sparkContext.broadcast(WindowSet(rows)))
+        frame = _pass_over(frame, spark.sparkContext.broadcast(window_table(rows)))
     return frame
 
 
