@@ -106,8 +106,11 @@ def judge_documents(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFram
 
 
 def passing_documents(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """The documents that pass their own rules and whose host is not rejected, with their own columns."""
-    bad = written(rejected_hosts(with_counts(docs.select("source", "text")), "source", host_limit).select(F.col("host").alias("bad_host")))
-    inner = with_counts(docs.select(F.struct("*").alias("row"), "text", "source"))
-    kept = inner.where(~base_failed()).join(bad, F.col("source") == F.col("bad_host"), "left_anti")
+    """The documents that pass their own rules and whose host is not rejected, with their own columns.
+
+    Texts are counted once; they are written with their counts, as hosts are judged before documents go.
+    """
+    counted = written(with_counts(docs.select(F.struct("*").alias("row"), "source", "text")).select("row", "source", "quality"))
+    bad = written(rejected_hosts(counted, "source", host_limit).select(F.col("host").alias("bad_host")))
+    kept = counted.where(~base_failed()).join(bad, F.col("source") == F.col("bad_host"), "left_anti")
     return kept.select("row.*")
