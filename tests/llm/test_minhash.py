@@ -76,3 +76,24 @@ def test_components_of_a_long_path(spark):
     roots = {r.node: r.root for r in components.components(links).collect()}
     assert roots == {**{i: 0 for i in range(1, 61)}, 101: 100, 102: 100}
     assert components.components(links.limit(0)).count() == 0
+
+
+def test_frequent_pivots_and_buckets_are_met_in_blocks(spark, monkeypatch):
+    """Many copies of different texts that share most shingles: small blocks give the same groups."""
+    monkeypatch.setattr(minhash, "MEET", 7)
+    rng = random.Random(15)
+    base = sentence(rng, 90).split(" ")
+    hot = []
+    for j in range(120):
+        words = list(base)
+        for k in rng.sample(range(90), rng.randint(0, 4)):
+            words[k] = f"x{j}"
+        hot.append(" ".join(words))
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(hot)]
+    assert got(minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == groups(rows)
+
+
+def test_very_long_texts_and_ties_between_pivots(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(300_000))
+    rows = [(5, long, "", "", 0), (3, long + " end", "", "", 0), (4, "a b c d e f g h", "", "", 0), (2, "a b c d e f g h", "", "", 0), (1, "h g f e d c b a", "", "", 0)]
+    assert got(minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == groups(rows)

@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.bytewords import NON_SPACE, Words, mix, row_blocks, run_codes, run_hashes, run_starts, stream, text_bytes
 from tidegauge.llm.components import components, tops
-from tidegauge.llm.shared import written
+from tidegauge.llm.shared import met_by_many, written
 
 SHINGLE = 5
 TUPLES, WIDTH = 18, 3
 MARKS = 16
+#: Members of a bucket, or of a pivot, that one task compares at once.
+MEET = 2000
 PERCENT = 75
 
 
@@ -157,15 +159,19 @@ def _open_pairs(nodes: DataFrame, percent: int, m: int) -> DataFrame:
         *[F.col("marks")[i].alias(f"mark{i}") for i in range(MARKS)],
     )
     rows = flat.select("*", F.posexplode("first").alias("i", "band"))
-    other = rows.select("band", *[F.col(c).alias(f"{c}_v") for c in flat.columns])
+    # Of a bucket with many members each block meets each block, in tasks of its own; node < node_v leaves each pair once.
+    sizes = rows.groupBy("band").agg(F.count("*").alias("c")).where(F.col("c") > MEET).select("band", F.ceil(F.col("c") / MEET).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    other = rows.select("band", F.col("block").alias("later"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_v") for c in flat.columns])
+    rows = rows.withColumn("later", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     # Tuples hold their number, so equal ones stand at equal places.
     before = F.arrays_overlap(F.slice("first", 1, F.col("i")), F.slice("first_v", 1, F.col("i")))
     keep = (F.col("node") < F.col("node_v")) & (F.col("root") != F.col("root_v")) & _may_link(percent) & ~before & F.arrays_overlap("second", "second_v")
-    return rows.join(other, "band").where(keep).select(F.col("node").alias("u"), F.col("node_v").alias("v"), F.col("root").alias("root_u"), F.col("root_v"))
+    return rows.join(other, ["band", "block", "later"]).where(keep).select(F.col("node").alias("u"), F.col("node_v").alias("v"), F.col("root").alias("root_u"), F.col("root_v"))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar enough."""
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, many: bool = False) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar enough; ``many`` of them may share one ``u``."""
 
     def check(batches):
         for batch in batches:
@@ -179,7 +185,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
 
     left = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
     right = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
+    both = met_by_many(pairs.join(right, "v"), left, "u", "v", MEET, pairs) if many else pairs.join(left, "u").join(right, "v")
+    both = both.select("u", "v", "text_u", "text_v")
     return both.mapInArrow(check, "u long, v long")
 
 
@@ -213,7 +220,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT, m: int = TUPLES, k: int = W
     meets = members.where((F.col("node") != F.col("pivot")) & _close("n", "pivot_n", percent)).groupBy("node", "pivot").agg(F.count("*").alias("c"))
     first = written(meets.groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("best")).select(F.col("best.pivot").alias("u"), F.col("node").alias("v")))
     texts = written(_texts(docs, classes.join(members.select("node").distinct(), "node", "left_semi")))
-    links = written(confirmed(first, texts, percent))
+    links = written(confirmed(first, texts, percent, many=True))
     roots = tops(links.select(F.col("v").alias("node"), F.col("u").alias("parent")))
     placed = members.join(roots, "node", "left").select("table", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("table").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("table")

@@ -38,6 +38,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def met_by_many(many: DataFrame, one: DataFrame, key: str, salt: str, rows: int, keys: DataFrame) -> DataFrame:
+    """Inner join of many rows with a table of one row a key, without a task that holds all rows of a frequent key.
+
+    Keys with more than ``rows`` rows, and more than one in a thousand of all, are salted by the column ``salt``:
+    one row of ``one`` is copied for each ``rows`` rows. There are less than a thousand such keys. ``keys`` are the
+    rows of ``many``, or a narrower table with the same keys, to be counted.
+    """
+    sizes = keys.groupBy(key).agg(F.count("*").alias("c"))
+    total = sizes.agg(F.sum("c")).first()[0] or 0
+    hot = {r[0]: -(-r.c // rows) for r in sizes.where(F.col("c") > max(rows, total // 1000)).collect()}
+    if not hot:
+        return many.join(one, key)
+    of = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]), F.col(key)), F.lit(1))
+    salted = many.withColumn("salt_", F.pmod(F.xxhash64(salt), of).cast("int"))
+    copied = one.withColumn("salt_", F.explode(F.sequence(F.lit(0), of - 1)))
+    return salted.join(copied, [key, "salt_"]).drop("salt_")
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is evaluated once a row."""
     return F.transform(F.array(value), body)[0]
