@@ -75,8 +75,8 @@ class Memory:
     A full generation becomes the old one, from which keys met again are taken over.
     """
 
-    #: Bytes of an entry besides its key and value.
-    OVERHEAD = 100
+    #: Bytes of an entry besides the letters of its key and value.
+    OVERHEAD = 170
 
     def __init__(self, limit: int):
         self.limit, self.now, self.old = limit, {}, {}
@@ -85,8 +85,9 @@ class Memory:
     def missing(self, wanted: set, turn: bool = True) -> set:
         """The wanted keys without a value; all others are in ``now`` until the next turn."""
         if turn:
-            for key, value in islice(self.now.items(), self.counted, None):
-                self.size += sys.getsizeof(key) + sys.getsizeof(value) + self.OVERHEAD
+            self.size += self.OVERHEAD * (len(self.now) - self.counted) + sum(map(len, islice(self.now, self.counted, None)))
+            if isinstance(next(iter(self.now.values()), None), bytes):
+                self.size += sum(map(len, islice(self.now.values(), self.counted, None)))
             self.counted = len(self.now)
             if 2 * self.size > self.limit:
                 self.old, self.now, self.size, self.counted = self.now, {}, 0, 0

@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from tidegauge.llm.bytewords import NON_SPACE, Words, row_blocks, text_bytes
 from tidegauge.llm.shared import Memory, forget_worker_values, kept_by_worker, vocabulary, work_folder
 
-KNOWN_BYTES = 80 << 20
+KNOWN_BYTES = 128 << 20
 END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 1000
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
 #: In UTF-8: Latin letters; parts of a chunk that encode apart (letters before a plain mark, plain marks
 #: at the end); chunks of one piece.
 _LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
