@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from tidegauge.operators import linear, skew
+from tidegauge.operators.frames import lookback_frames
 
 
 def vector_steps(z, value="z"):
@@ -19,12 +20,8 @@ def vector_steps(z, value="z"):
 
 def vector_frames(steps, lookback):
     """Flattened context of the steps before, and the target step, per run."""
-    w = Window.partitionBy("run").orderBy("i").rowsBetween(-lookback, -1)
-    return (
-        steps.withColumn("_c", F.collect_list("state").over(w))
-        .where(F.size("_c") == lookback)
-        .select("run", "i", F.flatten("_c").alias("context"), F.col("state").alias("target"))
-    )
+    framed = lookback_frames(steps, ["run"], lookback, "state")
+    return framed.select("run", "i", F.flatten("context").alias("context"), "target")
 
 
 def persistence_score(frames, features):

@@ -9,9 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from tidegauge.operators import linear
+from tidegauge.operators.frames import framed, halo
 
 
 @dataclass(frozen=True)
@@ -49,8 +50,9 @@ class Layout:
 
 def transitions(steps):
     """Pairs of consecutive steps; control and action at t act on the step to t + 1."""
-    w = Window.partitionBy("run").orderBy("i")
-    return steps.withColumn("next", F.lead("state").over(w)).where(F.col("next").isNotNull())
+    rows, w = halo(steps, ["run"], 0, 1)
+    rows = rows.withColumns({"next": F.lead("state").over(w), "_at": F.lead("i").over(w)})
+    return rows.where(F.col("_own") & (F.col("_at") == F.col("i") + 1)).drop("_own", "_block", "_at")
 
 
 def joint_gram(rows, layout, keys=()):
@@ -143,17 +145,10 @@ def persistence_rollout(rows, horizon):
 
 def rollout_frames(steps, horizon):
     """State at i, controls and actions of i .. i + h - 1, and the observed i + 1 .. i + h."""
-    w = Window.partitionBy("run").orderBy("i")
-    near = w.rowsBetween(0, horizon - 1)
-    return (
-        steps.withColumn("_c", F.collect_list("control").over(near))
-        .withColumn("_a", F.collect_list("action").over(near))
-        .withColumn("_f", F.collect_list("state").over(w.rowsBetween(1, horizon)))
-        .where(F.size("_f") == horizon)
-        .select(
-            "run", "i", "state", F.flatten("_c").alias("controls"),
-            F.flatten("_a").alias("actions"), F.flatten("_f").alias("observed"),
-        )
+    near = (0, horizon - 1)
+    columns = {"_c": ("control", *near), "_a": ("action", *near), "_f": ("state", 1, horizon)}
+    return framed(steps, ["run"], 0, horizon, columns).select(
+        "run", "i", "state", F.flatten("_c").alias("controls"), F.flatten("_a").alias("actions"), F.flatten("_f").alias("observed"),
     )
 
 

@@ -9,19 +9,38 @@ MAD_TO_SIGMA = 1.4826
 EPS = 1e-12
 
 
-def series_window(keys):
-    return Window.partitionBy(*keys).orderBy("i")
+def halo(series, keys, before, after):
+    """Series rows in blocks of the index ``i``, with the rows that frames of a block's border need.
+
+    A block holds at most ``tidegauge.maxGroupRows`` steps, so one long series is cut over many tasks
+    without counting it first. The last ``before`` and the first ``after`` steps of a block are copied to its
+    neighbours; copies have ``_own`` false. Returns the rows and the window that orders a block.
+    """
+    size = max(skew.max_group_rows(series.sparkSession), before + after + 1)
+    block, at = F.floor(F.col("i") / F.lit(size)), F.pmod(F.col("i"), F.lit(size))
+    places = F.array(block, F.when(at >= size - before, block + 1), F.when(at < after, block - 1))
+    rows = series.withColumn("_block", F.explode(F.array_compact(places)))
+    return rows.withColumn("_own", F.col("_block") == block), Window.partitionBy(*keys, "_block").orderBy("i")
+
+
+def framed(series, keys, before, after, columns):
+    """Rows with frames ``{name: (column, first, last)}`` that hold every step from first to last, relative to the row."""
+    rows, w = halo(series, keys, before, after)
+    built, whole = {}, F.col("_own")
+    for name, (column, first, last) in columns.items():
+        frame = w.rowsBetween(first, last)
+        built[name] = F.collect_list(column).over(frame)
+        built[f"_first_{name}"] = F.min("i").over(frame)
+        built[f"_last_{name}"] = F.max("i").over(frame)
+        here = (F.size(name) == last - first + 1) & (F.col(f"_first_{name}") == F.col("i") + first)
+        whole = whole & here & (F.col(f"_last_{name}") == F.col("i") + last)
+    return rows.withColumns(built).where(whole)
 
 
 def lookback_frames(series, keys, lookback, value="value"):
-    """Context of the ``lookback`` steps before each target step of the same run."""
-    w = series_window(keys)
-    context = F.collect_list(value).over(w.rowsBetween(-lookback, -1))
-    return (
-        series.withColumn("context", context)
-        .where(F.size("context") == lookback)
-        .select(*keys, "i", "context", F.col(value).alias("target"))
-    )
+    """Context of the ``lookback`` steps before each target step of the same run; a missing step gives no frame."""
+    rows = framed(series, keys, lookback, 0, {"context": (value, -lookback, -1)})
+    return rows.select(*keys, "i", "context", F.col(value).alias("target"))
 
 
 def future_blocks(series, keys, horizons, block, value="value"):
@@ -29,30 +48,26 @@ def future_blocks(series, keys, horizons, block, value="value"):
 
     The row of step i closes its context at i - 1, so horizon 1 starts at i.
     """
-    w = series_window(keys)
-    built = series.withColumns({
-        f"_h{h}": F.collect_list(value).over(w.rowsBetween(h - 1, h + block - 2)) for h in horizons
-    })
+    rows, w = halo(series, keys, 0, max(horizons) + block - 2)
+    built = {}
+    for h in horizons:
+        frame = w.rowsBetween(h - 1, h + block - 2)
+        whole = (F.min("i").over(frame) == F.col("i") + h - 1) & (F.max("i").over(frame) == F.col("i") + h + block - 2)
+        built[f"_h{h}"] = F.when(whole, F.collect_list(value).over(frame))
     pairs = F.array(*[
         F.struct(F.lit(h).alias("horizon"), F.col(f"_h{h}").alias("block")) for h in horizons
     ])
-    rows = built.select(*keys, "i", F.explode(pairs).alias("b"))
+    rows = rows.withColumns(built).where("_own").select(*keys, "i", F.explode(pairs).alias("b"))
     return rows.select(*keys, "i", "b.horizon", "b.block").where(F.size("block") == block)
 
 
 def history_future_frames(series, keys, history, future, value="value", action=None):
     """History ends at i, future starts at i + 1; the action at t predicts t + 1."""
-    w = series_window(keys)
-    out = series.withColumn(
-        "history", F.collect_list(value).over(w.rowsBetween(-(history - 1), 0))
-    ).withColumn("future", F.collect_list(value).over(w.rowsBetween(1, future)))
-    cols = ["history", "future"]
+    columns = {"history": (value, -(history - 1), 0), "future": (value, 1, future)}
     if action:
-        out = out.withColumn("actions", F.collect_list(action).over(w.rowsBetween(0, future - 1)))
-        cols.append("actions")
-    return out.where((F.size("history") == history) & (F.size("future") == future)).select(
-        *keys, "i", *cols
-    )
+        columns["actions"] = (action, 0, future - 1)
+    rows = framed(series, keys, history - 1, future, columns)
+    return rows.select(*keys, "i", *columns)
 
 
 def encode_actions(steps, actions, keys):
@@ -155,10 +170,13 @@ def rebuild_trajectory(frames, keys, tolerance=1e-6):
         F.min("v").alias("value"), (F.max("v") - F.min("v")).alias("_gap"),
         F.count(F.lit(1)).alias("copies"),
     )
-    nxt = F.lead("i").over(series_window(keys))
+    # The last step of a series has none after it, and a step before a gap at a block's end sees none.
+    ends = merged.groupBy(*keys).agg(F.max("i").alias("_end"))
+    merged, w = halo(merged.join(ends, list(keys)), keys, 0, 1)
+    nxt = F.lead("i").over(w)
     return merged.withColumn("agrees", F.col("_gap") <= tolerance).withColumn(
-        "gap_free", F.coalesce(nxt == F.col("i") + 1, F.lit(True))
-    ).drop("_gap")
+        "gap_free", F.coalesce(nxt == F.col("i") + 1, F.col("i") == F.col("_end"))
+    ).where("_own").drop("_gap", "_own", "_block", "_end")
 
 
 def held_out_folds(df, group, groups):

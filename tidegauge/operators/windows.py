@@ -34,10 +34,10 @@ def dense_grid(cells, run, feature, period, features, value="value"):
     )
 
 
-def undeclared(points, features):
-    """Per declared list: points, and points whose feature no grid of that list holds."""
-    outside = ~F.coalesce(F.col("feature").isin(*features), F.lit(False))
-    return points.agg(F.count(F.lit(1)).alias("points"), F.count_if(outside).alias("undeclared"))
+def declared_features(points, features):
+    """Per feature found: points, and whether it is in the declared list, as only those have a place in its grids."""
+    declared = F.coalesce(F.col("feature").isin(*features), F.lit(False))
+    return points.groupBy("feature").agg(F.count(F.lit(1)).alias("points")).withColumn("declared", declared)
 
 
 def _names(features):

@@ -1,5 +1,6 @@
 """Composed jobs: one frame in, one table out, chaining the smaller operators."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Window, functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import Window, functions as F
 from tidegauge.functions.hashing import identity
 from tidegauge.functions.numbers import fixed
 from tidegauge.operators import (
-    calibration, design, detectors, dynamics, events, features, frames, graph, linear, skew, traces, windows,
+    calibration, design, detectors, dynamics, events, features, frames, graph, linear, models, reports, skew, traces, windows,
 )
 from tidegauge.plans import baselines
 from tidegauge.plans.frames import ACTIONS, ROBUST, SERIES, actions_of
@@ -16,7 +17,7 @@ from tidegauge.plans.predicates import log_counts
 from tidegauge.plans.registry import query
 from tidegauge.plans.sequences import ONSET, STOP, spans_of
 from tidegauge.plans.views import ACT, DAY, FEATURES, GRID, SCORES, WIDE
-from tidegauge.session import materialize
+from tidegauge.session import materialize, shared_folder
 
 
 def first_alert_report(t, max_gap=3, quantile=0.95, lookback=6):
@@ -244,21 +245,54 @@ def adapters(t):
     return t.wide.transform(plain).unionByName(t.wide.transform(demand))
 
 
+RAW_SCORES = """d AS (SELECT act.*, lag(value) OVER (PARTITION BY run, feature ORDER BY i) AS p FROM act),
+s AS (SELECT 'persistence' AS kind, run, i, R6(sqrt(avg(pow(value - p, 2)))) AS score FROM d WHERE i >= 6 GROUP BY run, i
+  UNION ALL SELECT 'robust', run, i, R6(max(abs((value - location) / scale))) FROM act JOIN rob USING (feature) WHERE i >= 6 GROUP BY run, i)"""
+
+
+def raw_frames(t):
+    """Frames of unscaled feature vectors."""
+    return materialize(detectors.vector_frames(detectors.vector_steps(t.activity_table, "value"), 6))
+
+
+def stored_and_restored(t, fitted):
+    """The models as a registry gives them back after they were written."""
+    folder = f"{shared_folder(t.spark)}/tidegauge/models-{uuid.uuid4().hex}"
+    models.save(t.spark, fitted, folder)
+    return {name: models.load(t.spark, folder, name) for name in fitted}
+
+
 @query("U1_fitted_model_registry")
 def model_registry(t):
-    """Fitted models as rows: kind, parameter count, threshold; restored and scored again."""
+    """Latent models written, read back by name and scored again: parameters, threshold, alerts."""
     f = baselines.frames_table(t)
     train = f.where("run % 5 <> 0")
-    out = None
-    for coherent in (False, True):
-        model = detectors.fit_latent(train, len(FEATURES), 6, coherent=coherent)
-        again = detectors.LatentModel(**model.to_row())
-        part = detectors.score_latent(f, again).agg(
-            F.lit(model.kind).alias("kind"), F.lit(model.parameter_count()).alias("parameters"),
-            fixed(F.lit(model.threshold)).alias("threshold"), F.count_if("alert").alias("alerts"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    fitted = {kind: models.fit_latent(train, len(FEATURES), 6, coherent=kind == "coherent") for kind in ("latent", "coherent")}
+    return reduce(lambda a, b: a.unionByName(b), [
+        models.score(f, m).agg(
+            F.lit(name).alias("kind"), F.lit(m.parameter_count()).alias("parameters"),
+            fixed(F.lit(m.numbers["threshold"])).alias("threshold"), F.count_if("alert").alias("alerts"),
+        ) for name, m in stored_and_restored(t, fitted).items()
+    ])
+
+
+@query("U1_stored_closed_form_models", f"""
+WITH {ACT}, {ROBUST}, {RAW_SCORES},
+th AS (SELECT kind, R6(quantile_cont(score, 0.99)) AS threshold FROM s WHERE run % 5 <> 0 GROUP BY kind)
+SELECT s.kind, CASE WHEN s.kind = 'robust' THEN 2 * (SELECT count(DISTINCT feature) FROM act) ELSE 0 END AS parameters, any_value(threshold) AS threshold,
+  count(*) AS points, count(*) FILTER (score > threshold) AS alerts FROM s JOIN th USING (kind) GROUP BY s.kind""")
+def closed_form_registry(t):
+    """Persistence and robust detectors, calibrated on training runs, stored, restored and applied to all runs."""
+    f = raw_frames(t)
+    train = f.where("run % 5 <> 0")
+    scale = frames.robust_scale(t.activity_table, ["feature"], "value")
+    fitted = {"persistence": models.fit_persistence(train, len(FEATURES)), "robust": models.fit_robust(train, scale)}
+    return reduce(lambda a, b: a.unionByName(b), [
+        models.score(f, m).agg(
+            F.lit(name).alias("kind"), F.lit(m.parameter_count()).cast("bigint").alias("parameters"), F.lit(m.numbers["threshold"]).alias("threshold"),
+            F.count(F.lit(1)).alias("points"), F.count_if("alert").alias("alerts"),
+        ) for name, m in stored_and_restored(t, fitted).items()
+    ])
 
 
 RIDGES = [0.0, 10.0, 1000.0, 100000.0]
@@ -406,3 +440,75 @@ def bake_off(t):
         fixed(F.avg(F.col("hit").cast("int"))).alias("event_recall"), fixed(F.avg("delay")).alias("mean_delay")
     )
     return rates.join(runs, "detector")
+
+
+NOISE = (20, 26)
+AFFECTED = "[['click', 'error', 'purchase', 'signup', 'view'][run % 5 + 1], ['click', 'error', 'purchase', 'signup', 'view'][(run + 2) % 5 + 1]]"
+
+
+def fault_intervals(t):
+    """One structural interval per run with the two features that it affects, and one of routine noise."""
+    run = F.col("run")
+    name = lambda k: F.element_at(F.array(*[F.lit(f) for f in FEATURES]), (k % 5 + 1).cast("int"))
+    runs = t.events.select(F.col("user_id").alias("run")).distinct()
+    fault = runs.select(
+        "run", F.lit("structural").alias("phase"), (8 + run % 5).alias("start_i"), (12 + run % 5 + run % 3).alias("stop_i"), F.array(name(run), name(run + 2)).alias("affected"),
+    )
+    noise = runs.select("run", F.lit("routine_noise").alias("phase"), F.lit(NOISE[0]).cast("bigint").alias("start_i"), F.lit(NOISE[1]).cast("bigint").alias("stop_i"), F.array().cast("array<string>").alias("affected"))
+    return fault.unionByName(noise)
+
+
+def detector_scores(t, fitted, f):
+    """Scores, alerts and evidence of several stored models over the same frames."""
+    rows = [
+        models.score(f, m, digits=4).select(
+            F.lit(name).alias("detector"), "run", "i", "score", "alert", "evidence", F.lit(m.kind in ("latent", "coherent")).alias("signed"),
+        ) for name, m in fitted.items()
+    ]
+    return materialize(reduce(lambda a, b: a.unionByName(b), rows))
+
+
+@query("C15_event_report", f"""
+WITH {ACT}, {ROBUST}, d AS (SELECT act.*, lag(value) OVER (PARTITION BY run, feature ORDER BY i) AS p FROM act),
+e AS (SELECT 'persistence' AS detector, run, i, feature, abs(value - p) AS e FROM d WHERE i >= 6
+  UNION ALL SELECT 'robust', run, i, feature, abs((value - location) / scale) FROM act JOIN rob USING (feature) WHERE i >= 6),
+s AS (SELECT detector, run, i, R4(CASE WHEN detector = 'robust' THEN max(e) ELSE sqrt(avg(e * e)) END) AS score FROM e GROUP BY detector, run, i),
+th AS (SELECT detector, R4(quantile_cont(score, 0.95)) AS thr FROM s WHERE run % 5 <> 0 GROUP BY detector),
+x AS (SELECT s.*, score > thr AS alert, {ONSET} AS start_i, i >= {ONSET} AND i < {STOP} AS structural, i >= {NOISE[0]} AND i < {NOISE[1]} AND NOT (i >= {ONSET} AND i < {STOP}) AS noise FROM s JOIN th USING (detector)),
+ev AS (SELECT detector, run, min(i) AS begin_i, min(i) FILTER (alert) AS first_i FROM x WHERE structural GROUP BY ALL),
+near AS (SELECT ev.detector, ev.run, feature, R6(avg(e)) AS e FROM ev JOIN e ON e.detector = ev.detector AND e.run = ev.run AND e.i <= first_i AND e.i > first_i - 6 GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY detector, run ORDER BY e DESC, feature DESC) AS rank FROM near),
+hits AS (SELECT detector, run, count(*) FILTER (list_contains({AFFECTED}, feature)) AS hits FROM top WHERE rank <= 3 GROUP BY ALL),
+event AS (SELECT detector, count(*) AS events, count(first_i) AS detected, R6(avg(first_i - begin_i)) AS mean_delay,
+  R6(avg(CASE WHEN first_i IS NOT NULL THEN (hits > 0)::INT END)) AS hit_at_3, R6(avg(CASE WHEN first_i IS NULL THEN 0 ELSE hits / 2.0 END)) AS recall_at_3
+  FROM ev LEFT JOIN hits USING (detector, run) GROUP BY detector),
+ep AS (SELECT detector, run, i - row_number() OVER (PARTITION BY detector, run ORDER BY i) AS g, structural FROM x WHERE alert),
+epi AS (SELECT detector, count(*) AS episodes, count(*) FILTER (NOT met) AS false_episodes FROM (SELECT detector, run, g, bool_or(structural) AS met FROM ep GROUP BY ALL) GROUP BY detector),
+pt AS (SELECT detector, count(*) FILTER (noise) AS noise_points, R6(count(*) FILTER (noise AND alert) / count(*) FILTER (noise)) AS noise_alert_rate,
+  R6(count(*) FILTER (alert AND NOT noise AND NOT structural) / count(*) FILTER (NOT noise AND NOT structural)) AS normal_alert_rate,
+  R6(count(*) FILTER (alert AND structural) / count(*) FILTER (structural)) AS structural_alert_rate,
+  R4(quantile_cont(score, 0.5) FILTER (noise)) AS median_noise_score, R4(quantile_cont(score, 0.5) FILTER (structural)) AS median_structural_score FROM x GROUP BY detector)
+SELECT detector, noise_points, noise_alert_rate, normal_alert_rate, structural_alert_rate, median_noise_score, median_structural_score, events, detected,
+  R6(detected / events) AS event_recall, mean_delay, hit_at_3, recall_at_3, episodes, false_episodes FROM pt JOIN event USING (detector) JOIN epi USING (detector)""")
+def event_report(t):
+    """Point rates, event recall, delay, attribution and alert episodes of the two closed-form detectors."""
+    f = raw_frames(t)
+    train = f.where("run % 5 <> 0")
+    scale = frames.robust_scale(t.activity_table, ["feature"], "value")
+    fitted = {"persistence": models.fit_persistence(train, len(FEATURES), 0.95, 4), "robust": models.fit_robust(train, scale, 0.95, 4)}
+    return reports.rounded(reports.event_report(detector_scores(t, fitted, f), fault_intervals(t), FEATURES, 6))
+
+
+@query("B13_four_detectors")
+def four_detectors(t):
+    """Persistence, robust, latent and coherent detectors over the same standard-scaled frames, with the coherent one's gates."""
+    f = baselines.frames_table(t)
+    train = f.where("run % 5 <> 0")
+    unit = t.spark.createDataFrame([(n, 0.0, 1.0) for n in FEATURES], "feature string, location double, scale double")
+    fitted = {
+        "persistence": models.fit_persistence(train, len(FEATURES)), "robust": models.fit_robust(train, unit),
+        "latent": models.fit_latent(train, len(FEATURES), 6), "coherent": models.fit_latent(train, len(FEATURES), 6, coherent=True),
+    }
+    table = materialize(reports.event_report(detector_scores(t, stored_and_restored(t, fitted), f), fault_intervals(t), FEATURES, 6))
+    passed = reports.gates(table, "coherent", "persistence", len(FEATURES), 2)
+    return reports.rounded(table).crossJoin(F.broadcast(passed))

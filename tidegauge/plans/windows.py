@@ -6,7 +6,7 @@ from tidegauge.functions.clock import micros_of, window_end
 from tidegauge.functions.numbers import fixed
 from tidegauge.operators import counters, logs, windows
 from tidegauge.plans.registry import query
-from tidegauge.plans.views import CELLS, COUNTERS, DAY, GRID, PTS, TOTALS, WE, ACT
+from tidegauge.plans.views import ACT, CELLS, COUNTERS, DAY, FEATURES, GRID, PTS, TOTALS, WE
 
 HOUR = DAY // 24
 
@@ -18,10 +18,10 @@ def right_closed(t):
 
 
 @query("T2_undeclared_features", f"""
-WITH {PTS} SELECT count(*) AS points, count(*) FILTER (feature NOT IN ('click', 'error')) AS undeclared FROM pts""")
+WITH {PTS} SELECT feature, count(*) AS points, coalesce(feature IN ('{"', '".join(FEATURES)}'), false) AS declared FROM pts GROUP BY feature""")
 def undeclared_features(t):
-    """Points that a grid of two declared features would leave out."""
-    return windows.undeclared(t.points, ["click", "error"])
+    """Points of every feature in the table, and whether the grids hold that feature."""
+    return windows.declared_features(t.points, FEATURES)
 
 
 @query("T2_dense_window_grid", f"""
