@@ -36,6 +36,8 @@ MARKS = 16
 #: Members of a bucket, or of a pivot, that one task compares at once.
 MEET = 2000
 PERCENT = 75
+#: Bytes of text whose words lie in arrays at once.
+STEP_BYTES = 1 << 20
 
 
 def _places(words: Words, n: int):
@@ -113,7 +115,7 @@ def signatures(docs: DataFrame, m: int = TUPLES, k: int = WIDTH) -> DataFrame:
     def sign(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
-            for low, high in row_blocks(offsets):
+            for low, high in row_blocks(offsets, STEP_BYTES):
                 sizes, (d1, d2), bands, marks = _signature_rows(data[offsets[low] : offsets[high]], offsets[low : high + 1], m, k)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * 2 * m), pa.array(bands.reshape(-1).view(np.int64)))
                 marked = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * MARKS), pa.array(marks.reshape(-1)))
@@ -176,7 +178,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, many:
     def check(batches):
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
-            step = max(1, int(len(a) * (4 << 20) / max(1, a.nbytes + b.nbytes)))
+            step = max(1, int(len(a) * STEP_BYTES / max(1, a.nbytes + b.nbytes)))
             for low in range(0, len(a), step):
                 part = batch.slice(low, step)
                 one, two, both = _shared_counts(part.column(2), part.column(3))

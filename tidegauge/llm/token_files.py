@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.bytewords import NON_SPACE, Words, row_blocks, text_bytes
 from tidegauge.llm.shared import Memory, forget_worker_values, kept_by_worker, vocabulary, work_folder
 
-KNOWN_BYTES = 128 << 20
+KNOWN_BYTES = 112 << 20
 END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
