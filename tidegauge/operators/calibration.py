@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidegauge.functions.hashing import derived_integer
+from tidegauge.operators import skew
 from tidegauge.session import materialize
 
 # The calibration grid of slopes and intercepts.
@@ -105,31 +106,42 @@ def mixture_moments(components):
     return components.agg(m.alias("mean"), (second - m * m).alias("var"))
 
 
-def exact_sign_flip(pairs, difference, unit=1e-9, rounds_per_table=12):
-    """Exact paired sign-flip p-value over all 2^n sign patterns, for any n.
+def _half_sums(spark, values):
+    """(s, c): every signed sum of the values, and how many sign patterns give it; one row a pattern before they are counted."""
+    signed = sum((F.when(F.col("id").bitwiseAND(F.lit(1 << j)) == 0, F.lit(v)).otherwise(F.lit(-v)) for j, v in enumerate(values)), F.lit(0).cast("bigint"))
+    return spark.range(1 << len(values)).select(signed.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
 
-    Differences are taken in whole ``unit``s. The distribution of the signed sum is a
-    table of (sum, patterns); each pair convolves it once, so it holds distinct sums
-    only, and every so many pairs it is written. Sums within one unit per pair of the
-    observed one count as equal. Shares are kept instead of counts, as 2^n outgrows
-    every number type; ``as_extreme`` is NULL past 62 pairs.
+
+def exact_sign_flip(pairs, difference, unit=1e-9):
+    """Exact paired sign-flip p-value over all 2^n sign patterns of up to 62 pairs.
+
+    Differences are taken in whole ``unit``s; sums within one unit per pair of the observed one count as
+    equal. The pairs are halved: each half has 2^(n/2) signed sums, and a pattern is one sum of each. In
+    one order by value, a sum of the first half stands behind all partners of the second that keep the whole at
+    most as large as observed, so their running count, weighted by the first half's patterns, is the result. The order
+    is range-split when it is long; no table holds the 2^n patterns.
     """
     spark = pairs.sparkSession
-    values = [int(round(r[0] / unit)) for r in pairs.select(difference).where(F.col(difference).isNotNull()).toLocalIterator()]
+    values = [int(round(r[0] / unit)) for r in pairs.select(difference).where(F.col(difference).isNotNull()).limit(63).collect()]
     if not values:
         raise ValueError("no pair to flip")
-    sums = spark.createDataFrame([(0, 1.0)], "s bigint, share double")
-    for number, value in enumerate(values, 1):
-        both = F.explode(F.array(F.col("s") + F.lit(value), F.col("s") - F.lit(value)))
-        sums = sums.select(both.alias("s"), (F.col("share") / 2).alias("share")).groupBy("s").agg(F.sum("share").alias("share"))
-        if number % rounds_per_table == 0:
-            sums = materialize(sums)
-    n, observed = len(values), sum(values)
-    extreme = F.coalesce(F.sum(F.when(F.col("s") <= observed + n, F.col("share"))), F.lit(0.0))
-    exact = F.lit(n <= 62)
-    return sums.agg(extreme.alias("p_value")).select(
-        F.when(exact, F.lit(1 << min(n, 62))).alias("patterns"),
-        F.when(exact, F.round(F.col("p_value") * float(1 << min(n, 62))).cast("bigint")).alias("as_extreme"), "p_value",
+    if len(values) > 62:
+        raise ValueError("the exact test takes 62 pairs at most; use monte_carlo_sign_flip for more")
+    n, most = len(values), sum(values) + len(values)
+    near, far = _half_sums(spark, values[: n // 2]), _half_sums(spark, values[n // 2 :])
+    zero = F.lit(0).cast("decimal(20,0)")
+    whole = F.col("c").cast("decimal(20,0)")
+    # A partner equal to what is left counts, so partners come first among equals.
+    both = near.select(F.col("s").alias("at"), F.lit(0).alias("side"), whole.alias("c"), zero.alias("w")).unionByName(
+        far.select((F.lit(most) - F.col("s")).alias("at"), F.lit(1).alias("side"), zero.alias("c"), whole.alias("w"))
+    )
+    if n > 24:
+        both = materialize(both)
+    plan = skew.NO_SPLIT if n <= 24 else None
+    ranked = skew.running_sum(both, [], ["at", "side"], F.col("at"), {"upto": F.col("c")}, plan=plan)
+    extreme = F.coalesce(F.sum((F.col("upto") * F.col("w")).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return ranked.agg(extreme.alias("x")).select(
+        F.lit(1 << n).alias("patterns"), F.col("x").cast("bigint").alias("as_extreme"), (F.col("x").cast("double") / float(1 << n)).alias("p_value"),
     )
 
 
