@@ -1,5 +1,8 @@
 """Event-time windows and series alignment over the events and lineitem tables."""
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidegauge.functions.clock import micros_of, window_end
@@ -7,6 +10,8 @@ from tidegauge.functions.numbers import fixed
 from tidegauge.operators import counters, logs, windows
 from tidegauge.plans.registry import query
 from tidegauge.plans.views import ACT, CELLS, COUNTERS, DAY, FEATURES, GRID, PTS, TOTALS, WE
+from tidegauge.session import shared_folder
+from tidegauge.sources import matrices
 
 HOUR = DAY // 24
 
@@ -318,3 +323,43 @@ def compiled_matrix(t):
         F.count(F.lit(1)).alias("features"), F.count("value").alias("observed"),
         fixed(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("total"),
     )
+
+
+def rate_cells(t):
+    """Last emitted counter rate and reset mark per (run, day)."""
+    done = counters.cumulative_intervals(t.counters, ["run"], ["total"], ["total"])
+    rate = fixed(F.col("d_total") / ((F.col("t") - F.col("prev_t")) / F.lit(1e9)), 9)
+    rows = done.withColumns({"window_end": window_end(F.col("t"), DAY), "rate": F.when(F.col("emitted"), rate)})
+    return rows.groupBy("run", "window_end").agg(
+        F.max_by("rate", F.when(F.col("rate").isNotNull(), F.struct("t", "seq"))).alias("value"), F.bool_or("reset").alias("reset")
+    )
+
+
+@query("S10_compiled_matrix_round_trip", f"""
+WITH {GRID}, counters AS (
+  SELECT run, t, seq, flags, CAST(sum(k) OVER (PARTITION BY run, t // {7 * DAY} ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total,
+         (t // {10 * DAY}) * {10 * DAY} AS start_t FROM pts),
+a AS (SELECT *, lag(start_t) OVER w AS ps FROM counters WINDOW w AS (PARTITION BY run ORDER BY t, seq)),
+b AS (SELECT *, coalesce(ps <> start_t, false) AS changed,
+  sum(CASE WHEN ps <> start_t THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS seg FROM a),
+v AS (SELECT *, lag(total) OVER w AS pv, lag(t) OVER w AS pt FROM b WHERE flags = 0 WINDOW w AS (PARTITION BY run, seg ORDER BY t, seq)),
+r AS (SELECT run, seq, t, CASE WHEN total >= pv THEN R9((total - pv) / (CAST(t - pt AS DOUBLE) / 1e9)) END AS rate,
+    changed OR coalesce(total < pv, false) AS reset FROM v UNION ALL SELECT run, seq, t, NULL, changed FROM b WHERE flags = 1),
+rates AS (SELECT run, {WE} AS window_end, arg_max(rate, t * 100000000::HUGEINT + seq) FILTER (rate IS NOT NULL AND isfinite(rate)) AS value, bool_or(reset) AS reset FROM r GROUP BY ALL),
+m AS (SELECT run, window_end, feature, value, false AS reset FROM grid
+  UNION ALL SELECT w.run, w.window_end, 'rate', value, coalesce(reset, false) FROM (SELECT DISTINCT run, window_end FROM grid) w LEFT JOIN rates USING (run, window_end))
+SELECT run, feature, count(*) AS windows, count(value) AS observed, count(*) FILTER (reset) AS resets, R4(coalesce(sum(value), 0)) AS total,
+  sha256('click,error,purchase,signup,view,rate') AS schema_id FROM m GROUP BY run, feature""")
+def matrix_round_trip(t):
+    """A compiled matrix of gauges and a counter rate, written, checked on loading and summed from what was read."""
+    gauges = t.grid.select("run", "window_end", "feature", "value", F.lit(False).alias("reset"))
+    places = t.grid.select("run", "window_end").distinct()
+    rates = places.join(rate_cells(t), ["run", "window_end"], "left").select("run", "window_end", F.lit("rate").alias("feature"), "value", "reset")
+    folder = f"{shared_folder(t.spark)}/tidegauge/matrix-{uuid.uuid4().hex}"
+    names = [*FEATURES, "rate"]
+    matrices.write(gauges.unionByName(rates), folder, names, hashlib.sha256(t.folder.encode()).hexdigest())
+    cells, about = matrices.read(t.spark, folder)
+    return cells.groupBy("run", "feature").agg(
+        F.count(F.lit(1)).alias("windows"), F.count("value").alias("observed"), F.count_if("reset").alias("resets"),
+        fixed(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("total"), F.lit(about.schema_id).alias("schema_id"),
+    )
