@@ -6,10 +6,14 @@ where D is the number of columns and is checked. Sub-models, ablations and error
 are read from the same matrix, so a family of fits costs one pass.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+
+from tidegauge.session import materialize
 
 MAX_WIDTH = 2_000
 MAX_CELLS = 4_000_000
@@ -62,6 +66,116 @@ def gram_matrices(df, vector, width, keys=()):
     return found if keys else found[()]
 
 
+@dataclass(frozen=True)
+class Moments:
+    """Rows, mean and centred product sums of some vectors."""
+
+    n: float
+    mean: np.ndarray
+    m: np.ndarray
+
+    def covariance(self, cols=None, ddof=0):
+        cols = list(range(len(self.mean))) if cols is None else cols
+        return self.mean[cols], self.m[np.ix_(cols, cols)] / (self.n - ddof)
+
+    def ridge(self, inputs, targets, ridge):
+        """Weights and the unpenalised intercept, from centred products."""
+        xx = self.m[np.ix_(inputs, inputs)] + ridge * np.eye(len(inputs))
+        w = np.linalg.solve(xx, self.m[np.ix_(inputs, targets)])
+        return w, self.mean[targets] - self.mean[inputs] @ w
+
+
+def _merged(parts):
+    """One ``(n, mean, m)`` of several, pairwise, so that no large sum meets a small one more often than log n times."""
+    parts = list(parts)
+    while len(parts) > 1:
+        joined = []
+        for a, b in zip(parts[::2], parts[1::2]):
+            n = a[0] + b[0]
+            d = b[1] - a[1]
+            joined.append((n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)))
+        parts = joined + ([parts[-1]] if len(parts) % 2 else [])
+    return parts[0]
+
+
+MERGE = 64
+
+
+def moments(df, vector, keys=()):
+    """Centred moments per key, as rows ``(keys, n, mean, m)`` with ``m`` flattened; rows stay on the executors.
+
+    A task merges its batches in pairs, the tasks' parts are merged ``MERGE`` at a time, so no task holds more than
+    that many D x D tables of a key. Centring per batch keeps the digits that raw products lose when means are large.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, F.col(vector).alias("_v"))
+    fields = [f for f in rows.schema.fields if f.name in keys]
+    body = [StructField("n", DoubleType()), StructField("mean", ArrayType(DoubleType())), StructField("m", ArrayType(DoubleType()))]
+
+    def frame(found):
+        out = {k: [key[j] for key in found] for j, k in enumerate(keys)}
+        out |= {"n": [p[0] for p in found.values()], "mean": [p[1] for p in found.values()], "m": [p[2].ravel() for p in found.values()]}
+        return pd.DataFrame(out)
+
+    def partial(batches):
+        found = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]:
+                x = np.stack(part["_v"].to_numpy())
+                mean = x.mean(axis=0)
+                e = x - mean
+                key = key if isinstance(key, tuple) else (key,)
+                new = (float(len(x)), mean, e.T @ e)
+                found[key] = _merged([found[key], new]) if key in found else new
+            if len(found) > MERGE:
+                yield frame(found)
+                found = {}
+        if found:
+            yield frame(found)
+
+    def unpack(pdf):
+        return [(n, np.asarray(mean), np.asarray(m).reshape(len(mean), len(mean))) for n, mean, m in zip(pdf["n"], pdf["mean"], pdf["m"])]
+
+    def merge(pdf):
+        n, mean, m = _merged(unpack(pdf))
+        head = {k: [pdf[k].iloc[0]] for k in keys}
+        return pd.DataFrame({**head, "n": [n], "mean": [mean], "m": [m.ravel()]})
+
+    parts = materialize(rows.mapInPandas(partial, StructType([*fields, *body])))
+    count = parts.count()
+    while count > MERGE:
+        groups = -(-count // MERGE)
+        dealt = parts.withColumn("_g", F.pmod(F.xxhash64("n", "mean"), F.lit(groups)))
+        again = dealt.groupBy(*keys, "_g").applyInPandas(merge, StructType([*fields, *body]))
+        parts = materialize(again)
+        left = parts.count()
+        if left == count:
+            break
+        count = left
+    return parts.groupBy(*keys).applyInPandas(merge, StructType([*fields, *body]))
+
+
+def one_moments(df, vector, width):
+    """The moments of all rows, on the driver; the width is checked."""
+    if width > MAX_WIDTH:
+        raise ValueError(f"{width} columns: more than {MAX_WIDTH} do not fit a driver solve")
+    r = moments(df, vector).first()
+    return Moments(r.n, np.array(r.mean), np.array(r.m).reshape(width, width))
+
+
+def keyed_fits(df, vector, keys, fit, schema):
+    """Fit each key on an executor: ``fit(key values, Moments)`` gives rows of ``schema``. No key's matrix passes the driver."""
+
+    def run(batches):
+        for pdf in batches:
+            for _, r in pdf.iterrows():
+                width = len(r["mean"])
+                found = Moments(r["n"], np.asarray(r["mean"]), np.asarray(r["m"]).reshape(width, width))
+                yield fit(tuple(r[k] for k in keys), found)
+
+    return moments(df, vector, keys).mapInPandas(run, schema)
+
+
 def solve_ridge(g, inputs, targets, ridge, free=None):
     """Weights from Gram ``g``: ``inputs`` and ``targets`` are column positions.
 

@@ -57,11 +57,10 @@ SELECT l_orderkey, l_linenumber, l_partkey, R3(my - slope * mx + slope * l_quant
 def ridge(t):
     rows = t.lineitem.select(
         "l_orderkey", "l_linenumber", "l_partkey",
-        F.array("l_quantity", F.lit(1.0), "l_extendedprice").alias("v"),
+        F.array("l_quantity", "l_extendedprice").alias("v"),
     )
-    g = linear.gram_matrices(rows, "v", 3)
-    w = linear.solve_ridge(g, [0, 1], [2], 10.0, free=1)
-    predicted = F.get("v", 0) * float(w[0, 0]) + float(w[1, 0])
+    w, intercept = linear.one_moments(rows, "v", 2).ridge([0], [1], 10.0)
+    predicted = F.get("v", 0) * float(w[0, 0]) + float(intercept[0])
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", fixed(predicted, 3).alias("predicted"))
 
 
@@ -218,14 +217,21 @@ def embedded(t):
     )
 
 
+def plain_vectors(t):
+    return t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+
+
 def dimension(t):
-    return len(t.embeddings.select("embedding").first()[0])
+    """Length of all vectors; tables of mixed lengths are refused."""
+    sizes = t.embeddings.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+    if sizes.low != sizes.high:
+        raise ValueError(f"vectors of {sizes.low} to {sizes.high} components")
+    return sizes.low
 
 
 @query("A20_covariance_diagnostics")
 def covariance_report(t):
-    d = dimension(t)
-    _, cov = linear.covariance(linear.gram_matrices(embedded(t), "v", d + 1), list(range(d)), d, ddof=1)
+    _, cov = linear.one_moments(plain_vectors(t), "v", dimension(t)).covariance(ddof=1)
     found = linear.covariance_diagnostics(cov)
     return t.spark.createDataFrame([found]).select(*[fixed(c).alias(c) for c in sorted(found)])
 
@@ -235,29 +241,47 @@ WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(
 c AS (SELECT a.p AS i, b.p AS j, covar_samp(a.x, b.x) AS c FROM x a JOIN x b USING (vec_id) GROUP BY ALL)
 SELECT R4(pow(sum(c) FILTER (i = j), 2) / sum(c * c)) AS participation_rank FROM c""")
 def participation(t):
-    d = dimension(t)
-    _, cov = linear.covariance(linear.gram_matrices(embedded(t), "v", d + 1), list(range(d)), d, ddof=1)
+    _, cov = linear.one_moments(plain_vectors(t), "v", dimension(t)).covariance(ddof=1)
     value = float(np.trace(cov) ** 2 / np.sum(cov * cov))
     return t.spark.createDataFrame([(value,)], "v double").select(fixed("v", 4).alias("participation_rank"))
 
 
+def _axes(key, m, width):
+    _, cov = m.covariance()
+    axes, values = linear.principal_axes(cov, width)
+    return pd.DataFrame({
+        "fit": f"label:{int(key[0])}" if key else "all", "component": np.arange(len(axes), dtype=np.int32),
+        "explained": values / np.trace(cov), "largest_loading": np.abs(axes).max(axis=1),
+    })
+
+
+_AXES = "fit string, component int, explained double, largest_loading double"
+
+
+def _pca(rows, width):
+    """Leading axes of all rows and of each label's, every fit on an executor."""
+    per = linear.keyed_fits(rows, "v", ["label"], lambda key, m: _axes(key, m, width), _AXES)
+    whole = linear.keyed_fits(rows, "v", [], lambda key, m: _axes(key, m, width), _AXES)
+    return per.unionByName(whole).select("fit", "component", fixed("explained").alias("explained"), fixed("largest_loading").alias("largest_loading"))
+
+
 @query("M12_pca_global_and_per_label")
 def pca(t):
-    d = dimension(t)
-    cols = list(range(d))
-    per = linear.gram_matrices(embedded(t), "v", d + 1, ["label"])
-    total = sum(per.values())
-    rows = []
-    for name, g in [("all", total), *[(f"label:{k}", m) for k, m in sorted(per.items())]]:
-        _, cov = linear.covariance(g, cols, d)
-        axes, values = linear.principal_axes(cov, 4)
-        rows += [
-            (name, k, float(values[k] / np.trace(cov)), float(np.max(np.abs(axes[k])))) for k in range(4)
-        ]
-    return t.spark.createDataFrame(
-        rows, "fit string, component int, explained double, largest_loading double"
-    ).select("fit", "component", fixed("explained").alias("explained"),
-             fixed("largest_loading").alias("largest_loading"))
+    return _pca(plain_vectors(t), 4)
+
+
+TWO_AXES = """two AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"""
+
+
+@query("M12_two_axis_pca", f"""
+WITH {TWO_AXES}, f AS (SELECT 'label:' || label AS fit, x, y FROM two UNION ALL SELECT 'all', x, y FROM two),
+c AS (SELECT fit, var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c FROM f GROUP BY fit),
+e AS (SELECT *, (a + b + sqrt((a - b) * (a - b) + 4 * c * c)) / 2 AS hi FROM c),
+v AS (SELECT *, greatest(abs(c), abs(hi - a)) / sqrt(c * c + (hi - a) * (hi - a)) AS load FROM e)
+SELECT fit, k::INT AS component, R6(CASE k WHEN 0 THEN hi / (a + b) ELSE 1 - hi / (a + b) END) AS explained, R6(load) AS largest_loading FROM v, (VALUES (0), (1)) x(k)""")
+def two_axis_pca(t):
+    """Principal axes of the first two components, where the eigenvalues have a closed form."""
+    return _pca(plain_vectors(t).select("label", F.slice("v", 1, 2).alias("v")), 2)
 
 
 @query("M12_pca_projection")
@@ -301,27 +325,59 @@ def codebook(t):
     return coded.groupBy(F.col("prediction").alias("code")).agg(F.count(F.lit(1)).alias("members"))
 
 
-@query("M15_mahalanobis_alert")
-def mahalanobis(t):
-    """Distance to the own label's Gaussian, as bounded score d / (1 + d)."""
-    d = dimension(t)
-    fits = {}
-    for label, g in linear.gram_matrices(embedded(t), "v", d + 1, ["label"]).items():
-        mean, cov = linear.covariance(g, list(range(d)), d)
-        fits[int(label)] = (mean, np.linalg.inv(cov + 1e-2 * np.eye(d)))
+def gaussian_alerts(rows, key, is_control, quantile=0.99, ridge=1e-2):
+    """Mahalanobis distance of every row to the Gaussian of its key's control rows, as bounded score d / (1 + d), with an alert.
 
-    @F.pandas_udf("double")
-    def distance(label: pd.Series, v: pd.Series) -> pd.Series:
-        x, k = np.stack(v.to_numpy())[:, :d], label.to_numpy()
-        out = np.zeros(len(x))
-        for value in np.unique(k):
-            mean, inverse = fits[int(value)]
-            e = x[k == value] - mean
-            out[k == value] = np.einsum("ij,jk,ik->i", e, inverse, e) / d
-        return pd.Series(out)
+    ``rows``: id, key, v. Fits are made on executors and meet blocks of rows there; the threshold of a key is a quantile
+    of its control scores. Keys without control rows have no fit and their rows no score.
+    """
+    fits = linear.keyed_fits(
+        rows.where(is_control), "v", [key],
+        lambda k, m: pd.DataFrame({key: [k[0]], "mean": [m.mean], "inverse": [np.linalg.inv(m.covariance()[1] + ridge * np.eye(len(m.mean))).ravel()]}),
+        f"{key} {rows.schema[key].dataType.simpleString()}, mean array<double>, inverse array<double>",
+    )
+    sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    copies = fits.join(sizes, key).select(key, "mean", "inverse", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    dealt = rows.withColumn("_control", is_control).join(sizes, key).select(
+        "id", F.col(key).alias(key), "v", "_control", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int").alias("_block")
+    )
 
-    s = distance("label", "v")
-    return embedded(t).select("vec_id", "label", fixed(s / (1 + s), 5).alias("score"))
+    def distance(left, right):
+        if left.empty or right.empty:
+            return pd.DataFrame()
+        e = np.stack(left["v"].to_numpy()) - np.asarray(right["mean"].iloc[0])
+        inverse = np.asarray(right["inverse"].iloc[0]).reshape(e.shape[1], e.shape[1])
+        d = np.einsum("ij,jk,ik->i", e, inverse, e) / e.shape[1]
+        return pd.DataFrame({"id": left["id"], key: left[key], "control": left["_control"], "score": d / (1 + d)})
+
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, control boolean, score double"
+    scored = dealt.groupBy(key, "_block").cogroup(copies.groupBy(key, "_block")).applyInPandas(distance, kind)
+    scored = materialize(scored.withColumn("score", fixed("score")))
+    cut = skew.exact_quantiles(scored.where("control"), [key], "score", {"threshold": quantile})
+    return scored.join(cut, key).select("id", key, "control", "score", (F.col("score") > F.col("threshold")).alias("alert"))
+
+
+BLOCK = 50_000
+
+
+@query("M15_mahalanobis_alert")
+def mahalanobis(t):
+    """Distance to the Gaussian of the own label's control rows."""
+    rows = plain_vectors(t).withColumnRenamed("vec_id", "id")
+    return gaussian_alerts(rows, "label", F.col("id") % 5 == 0).withColumnRenamed("id", "vec_id")
+
+
+@query("M15_two_axis_alert", f"""
+WITH {TWO_AXES}, g AS (SELECT label, avg(x) AS mx, avg(y) AS my, var_pop(x) + 1e-2 AS a, var_pop(y) + 1e-2 AS b, covar_pop(x, y) AS c FROM two WHERE vec_id % 5 = 0 GROUP BY label),
+d AS (SELECT vec_id, label, vec_id % 5 = 0 AS control,
+  (b * (x - mx) * (x - mx) - 2 * c * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * b - c * c) / 2 AS d FROM two JOIN g USING (label)),
+s AS (SELECT vec_id, label, control, R6(d / (1 + d)) AS score FROM d),
+q AS (SELECT label, quantile_cont(score, 0.9) AS threshold FROM s WHERE control GROUP BY label)
+SELECT vec_id, label, control, score, score > threshold AS alert FROM s JOIN q USING (label)""")
+def two_axis_alert(t):
+    """The same alert over the first two components, where the inverse has a closed form."""
+    rows = plain_vectors(t).select(F.col("vec_id").alias("id"), "label", F.slice("v", 1, 2).alias("v"))
+    return gaussian_alerts(rows, "label", F.col("id") % 5 == 0, 0.9).withColumnRenamed("id", "vec_id")
 
 
 EVENTDEF = """d AS (SELECT run, i, feature, value - lag(value) OVER (PARTITION BY run, feature ORDER BY i) AS d FROM act),
