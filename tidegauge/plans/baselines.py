@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window, functions as F
 
 from tidegauge.functions.numbers import fixed
-from tidegauge.operators import alerts, detectors, dynamics, frames, linear, skew
+from tidegauge.operators import alerts, detectors, drift, dynamics, frames, linear, skew
 from tidegauge.plans.frames import ROBUST, actions_of
 from tidegauge.plans.registry import query
 from tidegauge.plans.views import ACT, FEATURES
@@ -475,6 +475,36 @@ def sliced_wasserstein(t):
     )
 
 
+#: Each direction mixes one component and the next.
+MIXED = [[0.0] * k + [0.6, 0.8] for k in range(4)]
+
+
+@query("M19_two_sample_wasserstein", """
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, k FROM embeddings, (VALUES (0), (1), (2), (3)) d(k)),
+p AS (SELECT vec_id, label % 3 = 0 AS first, k, 0.6 * v[k + 1] + 0.8 * v[k + 2] AS x FROM v),
+r AS (SELECT first, k, x, row_number() OVER (PARTITION BY first, k ORDER BY x, vec_id) AS i, count(*) OVER (PARTITION BY first, k) AS n FROM p),
+m AS (SELECT a.k, a.x - b.x AS g, least(a.i / a.n::DOUBLE, b.i / b.n::DOUBLE) - greatest((a.i - 1) / a.n::DOUBLE, (b.i - 1) / b.n::DOUBLE) AS w
+  FROM r a JOIN r b ON a.first AND NOT b.first AND a.k = b.k)
+SELECT k::BIGINT AS direction, R6(sum(w * g * g)) AS distance FROM m WHERE w > 0 GROUP BY k""")
+def two_sample_wasserstein(t):
+    """Two samples of different size along four given directions."""
+    rows = plain_vectors(t).withColumnRenamed("vec_id", "id")
+    wide = [d + [0.0] * (dimension(t) - len(d)) for d in MIXED]
+    found = drift.sliced_wasserstein(rows.where("label % 3 = 0"), rows.where("label % 3 <> 0"), wide)
+    return found.select("direction", fixed("distance").alias("distance"))
+
+
+@query("M19_gaussian_prior_mmd", """
+WITH v AS (SELECT embedding::DOUBLE[] AS v, len(embedding) AS d FROM embeddings),
+e AS (SELECT avg(exp(-greatest(list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v), 0) / (2 * a.d))) AS e, any_value(a.d) AS d FROM v a, v b),
+c AS (SELECT avg(exp(-list_dot_product(v, v) / (2 * (d + 1.0)))) AS c FROM v)
+SELECT R6(e - 2 * pow(d / (d + 1.0), d / 2.0) * c + pow(d / (d + 2.0), d / 2.0)) AS mmd FROM e, c""")
+def prior_mmd(t):
+    """Discrepancy of the embeddings from the standard Gaussian."""
+    rows = plain_vectors(t).withColumnRenamed("vec_id", "id")
+    return drift.gaussian_prior_mmd(rows, dimension(t)).select(fixed("mmd").alias("mmd"))
+
+
 @query("C13_energy_score")
 def energy_score(t):
     """Energy score of a diagonal Gaussian per vector, 256 antithetic draws from a row seed."""
