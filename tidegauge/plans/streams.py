@@ -13,13 +13,13 @@ from tidegauge.streaming import stateful, windows
 from tidegauge.streaming.run import drain
 
 
-def as_stream(t, df, name, files=4, closing=()):
+def as_stream(t, df, name, files=4, closing=(), late=None):
     """Write a frame slice by slice in time order, and read the slices as micro-batches.
 
     File sources take files by age, so each slice is written after the one before,
     with as many files as one micro-batch takes. With ``closing`` columns, one more row
     holds in them a time far after all others and moves the watermark past all data.
-    Its own window or session stays open, so it is in no result.
+    Its own window or session stays open, so it is in no result. Rows of ``late`` come after that.
     """
     path = folder_for(t, name)
     df = materialize(df)
@@ -35,6 +35,10 @@ def as_stream(t, df, name, files=4, closing=()):
         far = df.agg(F.max("t").alias("t")).where("t IS NOT NULL").select(F.col("t") + 30 * DAY)
         marker = far.toDF("far").select(*[F.when(F.lit(f.name in closing), F.col("far")).cast(f.dataType).alias(f.name) for f in df.schema])
         marker.coalesce(1).write.mode("append").parquet(path)
+    if late is not None:
+        # A micro-batch takes as many files, so the marker's batch is full before late rows come.
+        marker.where("false").repartition(width).write.mode("append").parquet(path)
+        late.repartition(width).write.mode("append").parquet(path)
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", width).parquet(path)
 
 
@@ -49,25 +53,42 @@ def streaming_scan(t):
     return rows
 
 
-@query("R2_streaming_right_closed_windows", f"""
-WITH {PTS}, w AS (SELECT run, feature, {WE} AS window_end, arg_max(value, t * 100000000::HUGEINT + seq) AS value, count(*) AS n FROM pts GROUP BY ALL)
-SELECT run, feature, window_end, value, n FROM w WHERE window_end <= (SELECT max(window_end) FROM w) - {DAY}""")
+WINDOWS_SQL = f"""
+WITH {PTS} SELECT run, feature, {WE} AS window_end, arg_max(value, t * 100000000::HUGEINT + seq) AS value, count(*) AS n
+FROM pts WHERE t IS NOT NULL GROUP BY ALL"""
+
+
+def window_stream(t, late=None):
+    points = t.points.select("run", "feature", "t", "seq", "value").where("t IS NOT NULL")
+    return as_stream(t, points, "points", closing=("t",), late=late)
+
+
+@query("R2_streaming_right_closed_windows", WINDOWS_SQL)
 def streaming_windows(t):
-    points = t.points.select("run", "feature", "t", "seq", "value")
-    s = windows.last_in_window(as_stream(t, points, "points"), ["run", "feature"], DAY, "1 day")
-    rows, _ = drain(s)
+    rows, _ = drain(windows.last_in_window(window_stream(t), ["run", "feature"], DAY, "1 day"))
     return rows
 
 
-@query("R2_streaming_all_windows", f"""
-WITH {PTS} SELECT run, feature, {WE} AS window_end, arg_max(value, t * 100000000::HUGEINT + seq) AS value, count(*) AS n
-FROM pts WHERE t IS NOT NULL GROUP BY ALL""")
+@query("R2_streaming_late_rows", f"""
+WITH {PTS}, w AS (SELECT run, feature, {WE} AS window_end, count(*) AS n FROM pts WHERE t IS NOT NULL GROUP BY ALL)
+SELECT (SELECT count(*) FROM w) AS windows, (SELECT sum(n)::BIGINT FROM w) AS points, (SELECT count(*) FROM pts WHERE t IS NOT NULL AND seq % 10 = 0) AS late_rows""")
+def streaming_late_rows(t):
+    """A tenth of the points arrives once more behind the watermark: no window changes, and each late row is counted.
+
+    The engine's own number counts partial groups; rows are counted as those that came in less those that a window holds.
+    """
+    again = t.points.select("run", "feature", "t", "seq", "value").where("t IS NOT NULL AND seq % 10 = 0")
+    source = window_stream(t, again).observe("arrived", F.count("run").alias("rows"))
+    rows, progress = drain(windows.last_in_window(source, ["run", "feature"], DAY, "1 day"))
+    arrived = sum(p.observedMetrics["arrived"]["rows"] for p in progress.recentProgress if "arrived" in p.observedMetrics)
+    held = F.coalesce(F.sum("n"), F.lit(0))
+    return rows.agg(F.count(F.lit(1)).alias("windows"), held.cast("bigint").alias("points"), (F.lit(arrived) - held).cast("bigint").alias("late_rows"))
+
+
+@query("R2_streaming_all_windows", WINDOWS_SQL)
 def all_streaming_windows(t):
     """The windows of a finished input, those of its last day too."""
-    points = t.points.select("run", "feature", "t", "seq", "value").where("t IS NOT NULL")
-    s = windows.last_in_window(as_stream(t, points, "points", closing=("t",)), ["run", "feature"], DAY, "1 day")
-    rows, _ = drain(s)
-    return rows
+    return streaming_windows(t)
 
 
 @query("R3_streaming_counter_rate", f"""
@@ -127,24 +148,30 @@ def streaming_scoring(t):
     return rows.select("seq", fixed("score", 5).alias("score"), "alert")
 
 
-@query("R7_streaming_trace_sessions", f"""
-WITH {PTS}, g AS (SELECT run, t, t - lag(t) OVER (PARTITION BY run ORDER BY t) >= {DAY // 2} OR lag(t) OVER (PARTITION BY run ORDER BY t) IS NULL AS fresh FROM pts),
-s AS (SELECT run, t, sum(fresh::INT) OVER (PARTITION BY run ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM g),
-x AS (SELECT run AS trace, count(*) AS spans, max(t) AS last_end FROM s GROUP BY run, s.s)
-SELECT trace, spans, last_end FROM x WHERE (last_end // 1000 + {DAY // 2000}) // 1000 <= ((SELECT max(t) FROM pts) // 1000000) - {DAY // 1000000}""")
+SESSIONS_SQL = f"""
+WITH {PTS}, g AS (SELECT run, t, seq, t - lag(t) OVER (PARTITION BY run ORDER BY t) >= {DAY // 2} OR lag(t) OVER (PARTITION BY run ORDER BY t) IS NULL AS fresh FROM pts WHERE t IS NOT NULL),
+s AS (SELECT run, t, seq, sum(fresh::INT) OVER (PARTITION BY run ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT run AS trace, count(*) AS spans, max(t) AS last_end"""
+
+
+def session_spans(t):
+    """Points as spans: every third has no parent, the others hang on the span before their own number."""
+    parent = F.when(F.col("seq") % 3 > 0, (F.col("seq") - 1).cast("string"))
+    points = t.points.where("t IS NOT NULL")
+    return points.select("t", F.col("run").alias("trace"), F.col("t").alias("end"), F.col("seq").cast("string").alias("span"), parent.alias("parent"))
+
+
+@query("R7_streaming_trace_sessions", SESSIONS_SQL + """,
+  count(*) FILTER (seq % 3 = 0) AS roots, count(*) FILTER (seq % 3 = 0) = 1 AND count(*) FILTER (seq % 3 > 0 AND (seq - 1) NOT IN (SELECT seq FROM s p WHERE p.run = s.run AND p.s = s.s)) = 0 AS valid_path
+FROM s GROUP BY run, s.s""")
 def streaming_sessions(t):
-    spans = t.points.select("t", F.col("run").alias("trace"), F.col("t").alias("end"), F.lit(None).cast("string").alias("parent"))
-    rows, _ = drain(windows.closed_traces(as_stream(t, spans, "spans"), "12 hours", "1 day"))
-    return rows.select("trace", "spans", "last_end")
+    """Sessions of a finished input with their path validity: one root, and every parent is a span of the session."""
+    rows, _ = drain(windows.closed_traces(as_stream(t, session_spans(t), "spans", closing=("t", "end")), "12 hours", "1 day", paths=True))
+    return rows.select("trace", "spans", "last_end", "roots", "valid_path")
 
 
-@query("R7_streaming_all_trace_sessions", f"""
-WITH {PTS}, g AS (SELECT run, t, t - lag(t) OVER (PARTITION BY run ORDER BY t) >= {DAY // 2} OR lag(t) OVER (PARTITION BY run ORDER BY t) IS NULL AS fresh FROM pts WHERE t IS NOT NULL),
-s AS (SELECT run, t, sum(fresh::INT) OVER (PARTITION BY run ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM g)
-SELECT run AS trace, count(*) AS spans, max(t) AS last_end FROM s GROUP BY run, s.s""")
+@query("R7_streaming_all_trace_sessions", SESSIONS_SQL + " FROM s GROUP BY run, s.s")
 def all_streaming_sessions(t):
     """The sessions of a finished input, those open at its end too."""
-    points = t.points.where("t IS NOT NULL")
-    spans = points.select("t", F.col("run").alias("trace"), F.col("t").alias("end"), F.lit(None).cast("string").alias("parent"))
-    rows, _ = drain(windows.closed_traces(as_stream(t, spans, "spans", closing=("t", "end")), "12 hours", "1 day"))
+    rows, _ = drain(windows.closed_traces(as_stream(t, session_spans(t), "spans", closing=("t", "end")), "12 hours", "1 day"))
     return rows.select("trace", "spans", "last_end")

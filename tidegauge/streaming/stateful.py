@@ -5,6 +5,7 @@ watermark are dropped before they reach the state. State is a few numbers per ke
 and expires after ``ttl_ms`` without input.
 """
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -33,23 +34,28 @@ class CounterRate(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows)).sort_values(["t", "seq"])
         start, t, total = self.state.get() if self.state.exists() else (None, None, None)
-        out = []
-        for r in pdf.itertuples(index=False):
-            now = int(r.start_t) if pd.notna(r.start_t) else 0
-            changed = start is not None and now != start
-            if changed:
-                t = total = None
-            start, rate, reset = now, None, changed
-            if not int(r.flags) & 1:
-                if total is not None:
-                    if r.total < total:
-                        reset = True
-                    else:
-                        rate = (int(r.total) - total) / ((int(r.t) - t) / 1e9)
-                t, total = int(r.t), int(r.total)
-            out.append((*key, int(r.seq), rate, reset))
-        self.state.update((start, t, total))
-        yield pd.DataFrame(out, columns=["run", "seq", "rate", "reset"]).astype({"rate": "float64"})
+        starts = pdf["start_t"].fillna(0).to_numpy(np.int64)
+        times, totals = pdf["t"].to_numpy(np.int64), pdf["total"].fillna(0).to_numpy(np.int64)
+        changed = starts != np.concatenate(([starts[0] if start is None else start], starts[:-1]))
+        segment = np.cumsum(changed)
+        valid = (pdf["flags"].to_numpy(np.int64) & 1) == 0
+        # The last valid row before each row; -1 is the one that the state holds.
+        at = np.where(valid, np.arange(len(pdf)), -1)
+        before = np.concatenate(([-1], np.maximum.accumulate(at)[:-1]))
+        held = total is not None
+        last_t, last_total = np.where(before >= 0, times[before], t if held else 0), np.where(before >= 0, totals[before], total if held else 0)
+        same = valid & np.where(before >= 0, segment[before] == segment, held & (segment == 0))
+        dropped = same & (totals < last_total)
+        rate = np.full(len(pdf), np.nan)
+        ok = same & ~dropped
+        rate[ok] = (totals[ok] - last_total[ok]) / ((times[ok] - last_t[ok]) / 1e9)
+        newest = int(at.max())
+        if newest >= 0 and segment[newest] == segment[-1]:
+            t, total = int(times[newest]), int(totals[newest])
+        elif segment[-1] > 0:
+            t = total = None
+        self.state.update((int(starts[-1]), t, total))
+        yield pd.DataFrame({"run": key[0], "seq": pdf["seq"].to_numpy(np.int64), "rate": rate, "reset": changed | dropped})
 
     def close(self):
         pass
@@ -68,14 +74,15 @@ class LatchedCusum(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows)).sort_values(["t", "seq"])
         s, alerted = self.state.get() if self.state.exists() else (0.0, False)
-        out = []
-        for r in pdf.itertuples(index=False):
-            s = max(0.0, s + float(r.increment))
-            first = s > self.threshold and not alerted
-            alerted = alerted or first
-            out.append((*key, int(r.seq), s, first))
-        self.state.update((s, alerted))
-        yield pd.DataFrame(out, columns=["run", "seq", "cusum", "alert"])
+        # Reset at zero: the running sum less its lowest value so far, as far as that is below zero.
+        total = s + np.cumsum(pdf["increment"].to_numpy(float))
+        cusum = total - np.minimum(0.0, np.minimum.accumulate(total))
+        over = np.flatnonzero(cusum > self.threshold)
+        alert = np.zeros(len(pdf), dtype=bool)
+        if len(over) and not alerted:
+            alert[over[0]] = True
+        self.state.update((float(cusum[-1]), bool(alerted or len(over))))
+        yield pd.DataFrame({"run": key[0], "seq": pdf["seq"].to_numpy(np.int64), "cusum": cusum, "alert": alert})
 
     def close(self):
         pass

@@ -55,16 +55,22 @@ def score_with(points, fit, threshold):
     )
 
 
-def closed_traces(spans, gap, delay):
-    """One row per trace once it has been quiet for ``gap``: spans, roots, last end."""
+def closed_traces(spans, gap, delay, paths=False):
+    """One row per trace once it has been quiet for ``gap``: spans, roots, last end.
+
+    With ``paths``, the session also holds its span and parent ids, and tells whether it has one root and no parent
+    from outside. That state grows with the spans of one open session, so it is for traces, which are short.
+    """
     ts = F.timestamp_micros(F.expr("`end` div 1000"))
-    return (
-        spans.withColumn("ts", ts).withWatermark("ts", delay)
-        .groupBy("trace", F.session_window("ts", gap).alias("s"))
-        .agg(
-            F.count(F.lit(1)).alias("spans"),
-            F.sum(F.when(F.col("parent").isNull(), 1).otherwise(0)).alias("roots"),
-            F.max("end").alias("last_end"),
-        )
-        .drop("s")
-    )
+    facts = [
+        F.count(F.lit(1)).alias("spans"),
+        F.sum(F.when(F.col("parent").isNull(), 1).otherwise(0)).alias("roots"),
+        F.max("end").alias("last_end"),
+    ]
+    if paths:
+        facts += [F.collect_set("span").alias("_spans"), F.collect_set("parent").alias("_parents")]
+    closed = spans.withColumn("ts", ts).withWatermark("ts", delay).groupBy("trace", F.session_window("ts", gap).alias("s")).agg(*facts).drop("s")
+    if not paths:
+        return closed
+    inside = F.size(F.array_except("_parents", "_spans")) == 0
+    return closed.withColumn("valid_path", (F.col("roots") == 1) & inside).drop("_spans", "_parents")
