@@ -97,7 +97,19 @@ def test_a_finished_input_leaves_no_window_or_session_open(spark, tmp_path):
     t = Tables(spark, str(tmp_path))
     got = streams.all_streaming_windows(t).collect()
     assert sum(r.n for r in got) == 40 and max(r.value for r in got) == 39.0 and all(r.run is not None for r in got)
-    cut = streams.streaming_windows(t).collect()
-    assert sum(r.n for r in cut) < 40 and set(cut) < set(got)
+    assert sorted(streams.streaming_windows(t).collect()) == sorted(got)
+    late = streams.streaming_late_rows(t).first()
+    assert (late.windows, late.points, late.late_rows) == (len(got), 40, 4)
     sessions = streams.all_streaming_sessions(t).collect()
     assert sum(r.spans for r in sessions) == 40 and all(r.trace is not None for r in sessions)
+    whole = streams.streaming_sessions(t).collect()
+    assert sorted((r.trace, r.spans, r.last_end) for r in whole) == sorted((r.trace, r.spans, r.last_end) for r in sessions)
+
+
+def test_session_paths_need_one_root_and_parents_inside(spark, tmp_path):
+    s = 1_000_000_000
+    schema = "trace bigint, `end` bigint, span string, parent string"
+    rows = [(1, s, "a", None), (1, 2 * s, "b", "a"), (2, s, "a", None), (2, s, "b", "x"), (3, s, "a", None), (3, s, "b", None), (4, s, "a", "b")]
+    stream = stream_of(spark, str(tmp_path / "in"), schema, [rows, [(9, 900 * s, "z", None)]])
+    out, _ = drain(windows.closed_traces(stream, "10 seconds", "1 second", paths=True))
+    assert {r.trace: r.valid_path for r in out.collect()} == {1: True, 2: False, 3: False, 4: False}
