@@ -36,8 +36,9 @@ def as_stream(t, df, name, files=4, closing=(), late=None):
         marker = far.toDF("far").select(*[F.when(F.lit(f.name in closing), F.col("far")).cast(f.dataType).alias(f.name) for f in df.schema])
         marker.coalesce(1).write.mode("append").parquet(path)
     if late is not None:
-        # A micro-batch takes ``width`` files: with as many marker files one of them is in a batch before the first late row.
-        for _ in range(width - 1):
+        # Lateness is judged by the watermark of the batch before the last. A micro-batch takes ``width`` files, so
+        # with twice as many marker files one of them is two batches ahead of the first late row.
+        for _ in range(2 * width - 1):
             marker.coalesce(1).write.mode("append").parquet(path)
         late.repartition(width).write.mode("append").parquet(path)
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", width).parquet(path)
