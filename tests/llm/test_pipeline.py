@@ -68,3 +68,22 @@ def test_entry_works_without_the_subpackage(tmp_path):
     shutil.rmtree(tmp_path / "tidegauge" / "llm")
     code = "import __spark_entry__ as e; q = e.queries(); e.oracle_sql(); assert len(q) > 200 and not any(n.startswith('op1_') or n == 'pipeline' for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_empty_tables_give_no_rows(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_ids_and_clashing_names_pass_through(spark, tmp_path):
+    """Rows of one id are judged by their own text, a repeated row stays once, and columns with internal names change nothing."""
+    words = [" ".join(f"word{k * 7919 % 997 + 1000 * j}" for k in range(80)) for j in range(3)]
+    rows = [(1, words[0], "en", "a", 1), (1, words[1], "en", "a", 1), (2, words[2], "en", "a", 1), (2, words[2], "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("row", "quality", "node", "text_key", "hits", "ids"):
+        docs = docs.selectExpr("*", f"'x' AS {name}")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, "nothing of this stands there at all in any of the documents")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 1, 2] and all(r.n_tokens == len(r.ids) > 0 for r in got)
