@@ -6,6 +6,7 @@ from tidegauge.functions.numbers import fixed
 from tidegauge.operators import retrieval, skew
 from tidegauge.plans.registry import query
 from tidegauge.plans.views import WIDE, FEATURES
+from tidegauge.session import materialize
 
 
 def vectors(t):
@@ -75,10 +76,11 @@ def _risk_curve(t):
     m = margins(t).withColumn("margin", fixed("margin"))
     treated = F.col("query_label") % 5 != 0
     right = F.col("top_label") == F.col("query_label")
-    g = m.groupBy("margin").agg(
+    # Written once: the sorted pass reads it several times, and each would compare all pairs again.
+    g = materialize(m.groupBy("margin").agg(
         F.count_if(treated).alias("_t"), F.count_if(~treated).alias("_c"),
         F.count_if(treated & right).alias("_k"),
-    )
+    ))
     return skew.running_sum(
         g, [], [F.col("margin").desc()], -F.col("margin"),
         {"accepted": F.col("_t"), "controls": F.col("_c"), "correct": F.col("_k")},
