@@ -261,6 +261,49 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, blocks):
         assert r.first_rank == want
 
 
+def test_rows_are_copied_once_per_strip(spark):
+    df = spark.range(400).select("id", F.lit(1).alias("label"), F.array(F.lit(1.0)).alias("vector")).repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = retrieval._over_bank(df, df, lambda q, b: [[q.num_rows], [b.num_rows]], "q bigint, b bigint").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(r.q * r.b for r in rows) == 400 * 400
+    assert sum(r.q + r.b for r in rows) <= 2 * 4 * 400
+
+
+def test_near_ties_and_copies_are_told_apart_in_double(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=6)
+    # Steps of 1e-10 are lost in single precision; ids 20 to 24 are copies.
+    x = [base + 1e-10 * i * np.eye(6)[i % 6] for i in range(20)] + [base] * 5 + [rng.normal(size=6) for _ in range(200)]
+    u = np.array([v / np.linalg.norm(v) for v in x])
+    labels = [i % 3 if i % 7 else None for i in range(len(u))]
+    df = spark.createDataFrame([(i, labels[i], v.tolist()) for i, v in enumerate(u)], "id bigint, label int, vector array<double>")
+    sims = np.array([(v * u).sum(axis=1) for v in u])
+    np.fill_diagonal(sims, -np.inf)
+    order = [sorted((j for j in range(len(u)) if j != i), key=lambda j: (-sims[i, j], j)) for i in range(len(u))]
+    found = retrieval.rank_candidates(retrieval.candidates(df, df, 3)).where("rank <= 3").collect()
+    assert {(r.query_id, r.rank): (r.bank_id, r.bank_label) for r in found} == {(i, k + 1): (order[i][k], labels[order[i][k]]) for i in range(len(u)) for k in range(3)}
+    for r in retrieval.first_relevant_rank(df, df).collect():
+        want = next((p + 1 for p, j in enumerate(order[r.id]) if labels[r.id] is not None and labels[j] == labels[r.id]), None)
+        assert r.first_rank == want
+
+
+def test_a_risk_curve_compares_all_pairs_once(spark, tmp_path):
+    from tidegauge.plans import ranking
+    from tidegauge.plans.views import Tables
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist(), i % 3) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    curve = ranking._risk_curve(Tables(spark, str(tmp_path)))
+    assert "CoGroups" not in curve._jdf.queryExecution().toString()
+    last = curve.orderBy("threshold").first()
+    assert last.accepted + last.controls == 40
+
+
 def test_isolated_outliers_are_repaired(spark):
     rows = [(1, 0, "a", 9.0), (1, 0, "b", 1.0), (1, 0, "c", 2.0), (1, 0, "d", 0.0), (1, 1, "a", 9.0), (1, 1, "b", 9.0), (1, 1, "c", 0.0)]
     df = spark.createDataFrame(rows, "run int, i int, feature string, z double")

@@ -1,7 +1,6 @@
 """Distances between samples of vectors: sliced Wasserstein, and RBF discrepancy from the standard Gaussian."""
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tidegauge.operators import retrieval, skew
@@ -51,10 +50,19 @@ def gaussian_prior_mmd(rows, width, bandwidth=None):
     h = float(width if bandwidth is None else bandwidth)
     sample = rows.select("id", F.lit(0).alias("label"), F.col("v").alias("vector"))
 
-    def sums(left, ids, labels, matrix):
-        q = np.stack(left["vector"].to_numpy())
-        apart = (q**2).sum(axis=1)[:, None] + (matrix**2).sum(axis=1)[None, :] - 2 * q @ matrix.T
-        return pd.DataFrame({"s": [float(np.exp(-np.maximum(apart, 0.0) / (2 * h)).sum())]})
+    def sums(left, right):
+        """The exponent as one product: the squares of both sides are two more components."""
+        q, b = retrieval._vectors(left, "vector") / h, retrieval._vectors(right, "bank_vector")
+        left_sq, right_sq = (q**2).sum(axis=1, keepdims=True) * (-h / 2), (b**2).sum(axis=1, keepdims=True) / (-2 * h)
+        q, b = np.hstack([q, left_sq, np.ones_like(left_sq)]), np.hstack([b, np.ones_like(right_sq), right_sq])
+        total = 0.0
+        for j in range(0, len(b), retrieval.TILE_COLUMNS):
+            part = b[j : j + retrieval.TILE_COLUMNS].T
+            for i in range(0, len(q), retrieval.TILE_ROWS):
+                x = q[i : i + retrieval.TILE_ROWS] @ part
+                np.exp(np.minimum(x, 0.0, out=x), out=x)
+                total += float(x.sum())
+        return [[total]]
 
     pairs = retrieval._over_bank(sample, sample, sums, "s double").agg(F.sum("s").alias("s"))
     sq = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
