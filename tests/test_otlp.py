@@ -172,3 +172,15 @@ def test_log_and_span_rows(spark, tmp_path):
     r = good.first()
     assert (r.span, r.parent, r.entity, r.status, r.start, r.end) == ("a", None, "api", 0, 1, 5)
     assert bad.count() == 1
+
+
+def test_a_metric_line_is_read_once_for_points_and_problems(spark, tmp_path):
+    point = '{"timeUnixNano":"1","asDouble":2.0}'
+    line = '{"resourceMetrics":[{"scopeMetrics":[{"metrics":[{"name":"a","gauge":{"dataPoints":[%s,{"asDouble":1.0}]}},{"name":"","gauge":{"dataPoints":[%s]}}]}]}]}' % (point, point)
+    path = str(tmp_path / "lines")
+    spark.createDataFrame([(line,), ("broken",), ('{"resourceMetrics":[]}',)], "value string").write.text(path)
+    found = otlp.metric_table(otlp.read_lines(spark, path)).groupBy("problem").count()
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert {r.problem: r["count"] for r in found.collect()} == {
+        None: 1, "point time is missing or not a whole number": 1, "metric name is empty": 1, "not a readable JSON object": 1,
+    }

@@ -129,10 +129,8 @@ def quarantine(t):
         .otherwise(v)
     )
     lines = metric_lines(t).withColumn("value", broken)
-    good, bad = otlp.metric_rows(otlp.read_lines(t.spark, written(t, lines, "broken")))
-    return good.select(F.lit("ok").alias("problem")).unionByName(bad.select("problem")).groupBy("problem").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    rows = otlp.metric_table(otlp.read_lines(t.spark, written(t, lines, "broken")))
+    return rows.groupBy(F.coalesce("problem", F.lit("ok")).alias("problem")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("S7_multi_run_scan", """

@@ -75,13 +75,20 @@ def _first_problem(*reasons):
     return reduce(lambda a, b: F.coalesce(a, b), reasons)
 
 
-def metric_rows(lines):
-    """One row per data point or per problem of a metrics capture."""
+def _each(items):
+    """One row per item of a sound row; a row with a problem stays one row, so that one pass finds all."""
+    return F.explode(F.when(F.col("problem").isNull(), items).otherwise(F.array(F.lit(None))))
+
+
+def metric_table(lines):
+    """One row per data point and per problem of a metrics capture, from one reading of each line.
+
+    ``problem`` is NULL for a good point; of a row with a problem, only ``file`` and ``problem`` mean something.
+    """
     top = _parse(lines, METRICS)
-    bad = top.where("problem IS NOT NULL").select("file", "problem")
-    res = top.where("problem IS NULL").select("file", F.explode("r.resourceMetrics").alias("res"))
-    scoped = res.select("file", F.col("res.resource.attributes").alias("ra"), F.explode("res.scopeMetrics").alias("s"))
-    m = scoped.select("file", "ra", "s.scope", F.explode("s.metrics").alias("m"))
+    res = top.select("file", "problem", _each(F.col("r.resourceMetrics")).alias("res"))
+    scoped = res.select("file", "problem", F.col("res.resource.attributes").alias("ra"), _each(F.col("res.scopeMetrics")).alias("s"))
+    m = scoped.select("file", "problem", "ra", "s.scope", _each(F.col("s.metrics")).alias("m"))
     present = sum((F.col(f"m.{k}").isNotNull().cast("int") for k in KINDS[1:] + REFUSED), F.col("m.gauge").isNotNull().cast("int"))
     refused = F.col("m.exponentialHistogram").isNotNull() | F.col("m.summary").isNotNull()
     reason = (
@@ -89,19 +96,18 @@ def metric_rows(lines):
         .when(present > 1, "more than one metric kind").when(present == 0, "metric kind is missing")
         .when(refused, "metric kind is not supported")
     )
-    m = m.withColumn("problem", _first_problem(reason, attribute_problem(F.col("ra"))))
-    bad = bad.unionByName(m.where("problem IS NOT NULL").select("file", "problem"))
+    m = m.withColumn("problem", _first_problem(F.col("problem"), reason, attribute_problem(F.col("ra"))))
     kind = reduce(lambda a, k: F.when(F.col(f"m.{k}").isNotNull(), k).otherwise(a), KINDS, F.lit(None).cast("string"))
     points = F.coalesce(*[F.col(f"m.{k}.dataPoints") for k in KINDS])
-    p = m.where("problem IS NULL").select(
-        "file", F.col("m.name").alias("metric_name"), F.coalesce("m.unit", F.lit("")).alias("unit"),
+    p = m.select(
+        "file", "problem", F.col("m.name").alias("metric_name"), F.coalesce("m.unit", F.lit("")).alias("unit"),
         kind.alias("kind"),
         F.coalesce("m.sum.aggregationTemporality", "m.histogram.aggregationTemporality", F.lit(0)).alias("temporality"),
         F.coalesce("m.sum.isMonotonic", F.lit(False)).alias("monotonic"),
         attribute_map(F.col("ra")).alias("resource_attributes"),
         F.coalesce("scope.name", F.lit("")).alias("scope_name"),
         F.coalesce("scope.version", F.lit("")).alias("scope_version"),
-        F.explode(points).alias("p"),
+        _each(points).alias("p"),
     )
     time = F.col("p.timeUnixNano").try_cast("bigint")
     start = F.col("p.startTimeUnixNano").try_cast("bigint")
@@ -115,10 +121,9 @@ def metric_rows(lines):
         .when(~is_hist & ~number_ok, "number point must have exactly one value")
         .when(is_hist & count.isNull() & (flags.bitwiseAND(1) == 0), "histogram point has no count")
     )
-    p = p.withColumn("problem", _first_problem(reason, attribute_problem(F.col("p.attributes"))))
-    bad = bad.unionByName(p.where("problem IS NOT NULL").select("file", "problem"))
-    good = p.where("problem IS NULL").select(
-        "file", "metric_name", "unit", "kind", "temporality", "monotonic", time.alias("t"),
+    p = p.withColumn("problem", _first_problem(F.col("problem"), reason, attribute_problem(F.col("p.attributes"))))
+    return p.select(
+        "file", "problem", "metric_name", "unit", "kind", "temporality", "monotonic", time.alias("t"),
         start.alias("start_t"), flags.alias("flags"), "resource_attributes",
         attribute_map(F.col("p.attributes")).alias("point_attributes"), "scope_name", "scope_version",
         F.when(~is_hist, as_int).alias("int_value"), F.when(~is_hist, as_double).alias("double_value"),
@@ -126,7 +131,12 @@ def metric_rows(lines):
         F.transform("p.bucketCounts", lambda x: x.cast("bigint")).alias("bucket_counts"),
         F.col("p.explicitBounds").alias("explicit_bounds"),
     )
-    return good, bad
+
+
+def metric_rows(lines):
+    """The good points of a metrics capture, and its problems."""
+    rows = metric_table(lines)
+    return rows.where("problem IS NULL").drop("problem"), rows.where("problem IS NOT NULL").select("file", "problem")
 
 
 def log_rows(lines):
