@@ -70,3 +70,15 @@ def test_memory_is_bounded_by_bytes():
         held = sum(len(k) + len(v) for part in (memory.now, memory.old) for k, v in part.items())
         assert held < 130_000
     assert not memory.missing(wanted)
+
+
+def test_memory_is_asked_without_a_walk_over_the_old_values():
+    from tidegauge.llm.shared import Memory
+
+    class Old(dict):
+        def __iter__(self):
+            raise AssertionError("the old values are walked")
+
+    memory = Memory(100_000)
+    memory.old = Old((b"%d" % i, b"y") for i in range(1000))
+    assert memory.missing({b"7", b"x"}) == {b"x"} and memory.now == {b"7": b"y"}

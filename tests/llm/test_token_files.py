@@ -50,6 +50,35 @@ def test_small_memory_gives_equal_ids():
         assert (ids.tolist(), sizes.tolist()) == (sum(want, []), list(map(len, want)))
 
 
+def test_parts_of_one_kind_are_learned_once():
+    import pyarrow as pa
+
+    from tidegauge.llm.bytewords import text_bytes
+
+    encoder = op.ChunkEncoder("word_bpe_49k.json")
+    encoder.encode(*text_bytes(pa.array(["thoner thoner, (thoner) thoner*** 12-thoner12 ", "don't thoner"])), 2)
+    assert set(encoder.memory.now) == {b"thoner", b",", b"(", b")", b"***", b"-", b"12", b"don't"}
+
+
+def test_parts_of_odd_chunks_are_those_of_the_library():
+    import random
+
+    import pyarrow as pa
+
+    from tidegauge.llm.bytewords import text_bytes
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    draw = random.Random(5)
+    some = [*"aZé×÷ßÀÿ'sS109.,-_|<>=&`\\ \t\n\x0b\x1c\x85\u00a0\u0338\u0301İΣſ\u212a\u65e5\u0663\u2019\U0001f600\x00\x7f", "'re", "'LL", "<|endoftext|>", "<|", "the", "\u0130", "…"]
+    texts = ["".join(draw.choices(some, k=draw.randrange(30))) for _ in range(1000)]
+    encoder = op.ChunkEncoder("word_bpe_49k.json")
+    for low in range(0, len(texts), 7):
+        group = texts[low : low + 7]
+        want = [library.encode(t, add_special_tokens=False).ids + [2] for t in group]
+        ids, sizes = encoder.encode(*text_bytes(pa.array(group)), 2)
+        assert (ids.tolist(), sizes.tolist()) == (sum(want, []), list(map(len, want)))
+
+
 def test_files_have_the_declared_layout(spark, tmp_path):
     docs = spark.range(6000).selectExpr("id AS doc_id", "repeat(concat('thanedble', id % 50, ' ouchan er '), 40) AS text")
     op.write_tokens(docs, str(tmp_path))

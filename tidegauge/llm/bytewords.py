@@ -73,14 +73,14 @@ def row_blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES):
 class Words:
     """Words of some texts: byte positions, the text of each, and their hashes.
 
-    ``kind`` tells the bytes of words; with several numbered kinds a word has bytes of one kind.
-    A-Z are lower-cased unless ``fold`` is false.
+    ``kind`` tells the bytes of words; with several numbered kinds a word has bytes of one kind. It is a table of
+    bytes, or a function that gives the kind of each byte of all texts. A-Z are lower-cased unless ``fold`` is false.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, fold: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind, fold: bool = True):
         self.offsets = offsets - offsets[0]
         self.lower = LOWER[data] if fold else data
-        group = kind[self.lower].view(np.uint8)
+        group = kind(self.lower) if callable(kind) else kind[self.lower].view(np.uint8)
         inside = group != 0
         starts, stops = inside.copy(), inside.copy()
         starts[1:] &= group[1:] != group[:-1]
@@ -91,6 +91,7 @@ class Words:
         stops[tails] = inside[tails]
         self.starts = np.flatnonzero(starts)
         self.ends = np.flatnonzero(stops) + 1
+        self.kinds = group[self.starts]
         #: Index of each text's first word, and the number of all words at the end.
         self.first = np.searchsorted(self.starts, self.offsets)
         self.counts = np.diff(self.first)
@@ -143,8 +144,12 @@ class Words:
     def distinct(self) -> tuple[list[bytes], np.ndarray]:
         """The different words, and which of them each word is."""
         which, first = self.numbers()
-        data, starts, ends = self.lower.tobytes(), self.starts[first].tolist(), self.ends[first].tolist()
-        return [data[a:b] for a, b in zip(starts, ends, strict=True)], which
+        return self.bytes_of(first), which
+
+    def bytes_of(self, some: np.ndarray) -> list[bytes]:
+        """The bytes of the words with the given indices."""
+        data, starts, ends = self.lower.tobytes(), self.starts[some].tolist(), self.ends[some].tolist()
+        return [data[a:b] for a, b in zip(starts, ends, strict=True)]
 
     def _equals(self, lanes, partner: np.ndarray) -> np.ndarray:
         """Whether each word has the bytes of its partner."""

@@ -6,8 +6,9 @@ small enough that Parquet's page index lets a reader fetch a range of documents,
 A second small table holds one row per written partition with the tokens before it, so the first
 token's place in the whole stream is known without touching tokens.
 
-The tokenizers library encodes; a worker keeps the ids of the chunks between ASCII white space, which that
-vocabulary drops, up to a bound.
+The tokenizers library encodes; a worker keeps the ids of parts of the chunks between ASCII white space, which that
+vocabulary drops, up to a bound. A chunk of Latin letters, ASCII marks and digits alone is cut where one follows another, as
+the vocabulary's word pattern cuts it; any other chunk is one part.
 
 Defined results: null and empty texts hold the end id alone; null ids come first; repeated ids are
 ordered by a hash of their text, and repeated rows follow each other; an empty table gives empty files. Other
@@ -17,10 +18,10 @@ columns are not read.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
-from itertools import chain, pairwise
+from itertools import compress, pairwise
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +38,40 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 1000
 BLOCK_BYTES = 2 << 20
-#: In UTF-8: Latin letters; parts of a chunk that encode apart (letters before a plain mark, plain marks
-#: at the end); chunks of one piece.
-_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
-_PARTS = re.compile(_LETTERS + rb"(?=[,.!?;:]|\Z)|[,.!?;:]+\Z|.+", re.DOTALL)
-_PLAIN = re.compile(_LETTERS + rb"|[,.!?;:]+")
+#: Kinds of bytes: white space, Latin letters, marks, digits, and all others.
+_SPACE, _LETTER, _MARK, _DIGIT, _OTHER = range(5)
+#: An apostrophe may begin a word of the vocabulary's pattern, and ``<`` a special string; both count as others.
+_KINDS = np.full(256, _OTHER, dtype=np.uint8)
+_KINDS[~NON_SPACE] = _SPACE
+for _kind, _bytes in (
+    (_LETTER, b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), (_MARK, b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"), (_DIGIT, b"0123456789"),
+):
+    _KINDS[list(_bytes)] = _kind
+
+
+def part_kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte; all bytes of a chunk that holds an other one are others.
+
+    Here a chunk may run over the end of a text: its parts are then longer than need be, never wrong.
+    """
+    kinds = _KINDS[data]
+    # U+00C0 to U+00FF without the signs for times and division.
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kinds[lead] = kinds[lead + 1] = _LETTER
+    others = kinds == _OTHER
+    if others.any():
+        spaces = np.flatnonzero(kinds == _SPACE)
+        bounds = np.concatenate(([-1], spaces, [len(kinds)]))
+        before = np.concatenate(([0], np.cumsum(others)))
+        whole = np.repeat(before[bounds[1:]] > before[bounds[:-1] + 1], np.diff(bounds))[:-1]
+        whole[spaces] = False
+        kinds[whole] = _OTHER
+    return kinds
 
 
 class ChunkEncoder:
-    """Ids of chunks as 32-bit words, by the library; unknown parts of a batch go to it together."""
+    """Ids of parts as 32-bit words, by the library; unknown parts of a batch go to it together."""
 
     def __init__(self, path: str, known_bytes: int = KNOWN_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,46 +88,46 @@ class ChunkEncoder:
             self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
             self.ends[[i for word, i in vocab.items() if word.endswith(suffix)]] = True
 
-    def learn(self, wanted: set[bytes]) -> None:
-        found, split = self.memory.missing(wanted), {}
-        for chunk in found:
-            parts = _PARTS.findall(chunk)
-            if len(parts) > 1:
-                split[chunk] = parts
-        new = found.difference(split).union(self.memory.missing(set(chain.from_iterable(split.values())), turn=False))
-        plain = [x for x in new if _PLAIN.fullmatch(x)] if self.ends is not None else []
-        self._learn_lines(plain)
-        rest, known = list(new.difference(plain)), self.memory.now
+    def learn(self, parts: list[bytes], plain: list[bool]) -> None:
+        """Encode the parts not known yet; plain ones are of one kind, letters, marks or digits."""
+        self._learn_lines(list(self.memory.missing(set(compress(parts, plain)))))
+        rest = self.memory.missing(set(compress(parts, map(not_, plain))), turn=False)
         encoded = self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)
-        known.update(zip(rest, [array("I", got.ids).tobytes() for got in encoded], strict=True))
-        known.update({chunk: b"".join(map(known.__getitem__, parts)) for chunk, parts in split.items()})
-
-    def _learn_lines(self, words: list[bytes]) -> None:
-        """Encode words of one piece each as long texts; the ids that end a word tell them apart."""
-        lines = [b" ".join(words[low : low + 1000]).decode() for low in range(0, len(words), 1000)]
-        ids = np.array(list(chain.from_iterable(got.ids for got in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False))), dtype=np.uint32)
-        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+        self.memory.now.update(zip(rest, [array("I", got.ids).tobytes() for got in encoded], strict=True))
+
+    def _learn_lines(self, parts: list[bytes]) -> None:
+        """Encode plain parts as long texts; the ids that end a word tell them apart: one a part, or one a digit."""
+        if not parts:
+            return
+        lines = [b" ".join(parts[low : low + 1000]).decode() for low in range(0, len(parts), 1000)]
+        encoded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.array(got.ids, dtype="<u4") for got in encoded])
+        words = np.fromiter((len(x) if x.isdigit() else 1 for x in parts), np.int64, len(parts))
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != words.sum():
+            raise ValueError("the vocabulary does not cut letters, marks and digits apart")
+        cuts = [0, *((last[np.cumsum(words) - 1] + 1) * 4).tolist()]
         data = ids.tobytes()
-        self.memory.now.update(zip(words, [data[a:b] for a, b in pairwise(cuts)], strict=True))
+        self.memory.now.update(zip(parts, [data[a:b] for a, b in pairwise(cuts)], strict=True))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, each text's end id included, and how many each has."""
         # A special string in capitals is none, so texts that may hold one keep them.
-        words = Words(data, offsets, NON_SPACE, fold=b"<|" not in data.tobytes())
-        if len(words):
-            chunks, which = words.distinct()
-            self.learn(set(chunks))
-            found = list(map(self.memory.now.__getitem__, chunks))
-            sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
-            flat = np.frombuffer(b"".join(found), dtype="<u4")
-            begins = np.cumsum(sizes) - sizes
-            each = sizes[which]
-            ends = np.cumsum(each, dtype=np.int64)
-            ids = flat[np.repeat(begins[which] - (ends - each), each) + np.arange(ends[-1])]
-            ends = np.concatenate(([0], ends))[words.first]
-        else:
-            ids, ends = np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
-        return np.insert(ids, ends[1:], end_id), np.diff(ends) + 1
+        words = Words(data, offsets, NON_SPACE if self.ends is None else part_kinds, fold=b"<|" not in data.tobytes())
+        if not len(words):
+            return np.full(len(offsets) - 1, end_id, "<u4"), np.ones(len(offsets) - 1, np.int64)
+        which, first = words.numbers()
+        parts = words.bytes_of(first)
+        self.learn(parts, ((words.kinds[first] != _OTHER) & (self.ends is not None)).tolist())
+        # The end id is one more part, after each text's own.
+        found = [*map(self.memory.now.__getitem__, parts), end_id.to_bytes(4, "little")]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        which = np.insert(which, words.first[1:], len(parts))
+        each = sizes[which]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - each), each) + np.arange(ends[-1])]
+        return ids, np.diff(ends[words.first[1:] + np.arange(len(offsets) - 1)], prepend=0)
 
 
 _SCHEMA = "part int, local_start long, n_tokens long, tokens array<int>"
