@@ -1,5 +1,8 @@
 """Streams must give what the batch forms give, and keep state between micro-batches."""
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators import counters
@@ -113,3 +116,39 @@ def test_session_paths_need_one_root_and_parents_inside(spark, tmp_path):
     stream = stream_of(spark, str(tmp_path / "in"), schema, [rows, [(9, 900 * s, "z", None)]])
     out, _ = drain(windows.closed_traces(stream, "10 seconds", "1 second", paths=True))
     assert {r.trace: r.valid_path for r in out.collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
+class _Held:
+    """A value state that counts its calls; each is a round trip to the engine."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+
+@pytest.mark.parametrize("kind", ["cusum", "rate"])
+def test_a_key_costs_two_state_calls_a_batch_and_missing_times_come_last(kind):
+    processor = stateful.LatchedCusum(30.0) if kind == "cusum" else stateful.CounterRate()
+    processor.state = _Held()
+    columns = ["t", "seq", "increment", "start_t", "flags", "total"]
+    first = pd.DataFrame([(3e9, 4, 5.0, 0, 0, 9.0), (None, 2, -50.0, 0, 1, 9.0), (1e9, 3, 20.0, 0, 0, 4.0)], columns=columns)
+    second = pd.DataFrame([(3e9, 1, 10.0, 0, 0, 6.0)], columns=columns)
+    out = [pd.concat(processor.handleInputRows((7,), iter(frames), None)) for frames in ([first, second], [second])]
+    assert processor.state.calls == ["get", "update"] * 2
+    assert [o["seq"].tolist() for o in out] == [[3, 1, 4, 2], [1]]
+    if kind == "cusum":
+        assert [o["cusum"].tolist() for o in out] == [[20.0, 30.0, 35.0, 0.0], [10.0]]
+        assert [o["alert"].tolist() for o in out] == [[False, False, True, False], [False]]
+    else:
+        assert np.isnan(out[0]["rate"][0]) and out[0]["rate"][1] == 1.0 and out[0]["reset"].tolist() == [False] * 4

@@ -16,6 +16,22 @@ def use_rocksdb(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def ordered(rows, *columns):
+    """Arrays of a key's columns by time and sequence number, missing times last, in the order of arrival where both are equal.
+
+    A key has few rows in a batch: its cost is that of the calls, so the frame is neither joined nor sorted as a frame.
+    """
+    frames = list(rows)
+    pdf = frames[0] if len(frames) == 1 else pd.concat(frames)
+    by = np.lexsort((pdf["seq"].to_numpy(), pdf["t"].to_numpy()))
+    return [pdf[c].to_numpy()[by] for c in columns]
+
+
+def filled(values):
+    """Whole numbers, zero for missing ones."""
+    return np.where(pd.isna(values), 0, values).astype(np.int64)
+
+
 class CounterRate(StatefulProcessor):
     """Rate and reset of a cumulative counter against the last valid point.
 
@@ -32,21 +48,20 @@ class CounterRate(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(["t", "seq"])
-        start, t, total = self.state.get() if self.state.exists() else (None, None, None)
-        starts = pdf["start_t"].fillna(0).to_numpy(np.int64)
-        times, totals = pdf["t"].to_numpy(np.int64), pdf["total"].fillna(0).to_numpy(np.int64)
+        starts, times, totals, flags, seq = ordered(rows, "start_t", "t", "total", "flags", "seq")
+        start, t, total = self.state.get() or (None, None, None)
+        starts, totals, times, n = filled(starts), filled(totals), times.astype(np.int64), len(seq)
         changed = starts != np.concatenate(([starts[0] if start is None else start], starts[:-1]))
         segment = np.cumsum(changed)
-        valid = (pdf["flags"].to_numpy(np.int64) & 1) == 0
+        valid = (flags.astype(np.int64) & 1) == 0
         # The last valid row before each row; -1 is the one that the state holds.
-        at = np.where(valid, np.arange(len(pdf)), -1)
+        at = np.where(valid, np.arange(n), -1)
         before = np.concatenate(([-1], np.maximum.accumulate(at)[:-1]))
         held = total is not None
         last_t, last_total = np.where(before >= 0, times[before], t if held else 0), np.where(before >= 0, totals[before], total if held else 0)
         same = valid & np.where(before >= 0, segment[before] == segment, held & (segment == 0))
         dropped = same & (totals < last_total)
-        rate = np.full(len(pdf), np.nan)
+        rate = np.full(n, np.nan)
         ok = same & ~dropped
         rate[ok] = (totals[ok] - last_total[ok]) / ((times[ok] - last_t[ok]) / 1e9)
         newest = int(at.max())
@@ -55,7 +70,7 @@ class CounterRate(StatefulProcessor):
         elif segment[-1] > 0:
             t = total = None
         self.state.update((int(starts[-1]), t, total))
-        yield pd.DataFrame({"run": key[0], "seq": pdf["seq"].to_numpy(np.int64), "rate": rate, "reset": changed | dropped})
+        yield pd.DataFrame({"run": key[0], "seq": seq.astype(np.int64), "rate": rate, "reset": changed | dropped})
 
     def close(self):
         pass
@@ -72,17 +87,17 @@ class LatchedCusum(StatefulProcessor):
         self.state = handle.getValueState("s", "s double, alerted boolean", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(["t", "seq"])
-        s, alerted = self.state.get() if self.state.exists() else (0.0, False)
+        increments, seq = ordered(rows, "increment", "seq")
+        s, alerted = self.state.get() or (0.0, False)
         # Reset at zero: the running sum less its lowest value so far, as far as that is below zero.
-        total = s + np.cumsum(pdf["increment"].to_numpy(float))
+        total = s + np.cumsum(increments.astype(float))
         cusum = total - np.minimum(0.0, np.minimum.accumulate(total))
         over = np.flatnonzero(cusum > self.threshold)
-        alert = np.zeros(len(pdf), dtype=bool)
+        alert = np.zeros(len(seq), dtype=bool)
         if len(over) and not alerted:
             alert[over[0]] = True
         self.state.update((float(cusum[-1]), bool(alerted or len(over))))
-        yield pd.DataFrame({"run": key[0], "seq": pdf["seq"].to_numpy(np.int64), "cusum": cusum, "alert": alert})
+        yield pd.DataFrame({"run": key[0], "seq": seq.astype(np.int64), "cusum": cusum, "alert": alert})
 
     def close(self):
         pass
