@@ -1,5 +1,6 @@
 """Stored models, the event report, compiled matrices, centred moments, frames over blocks and two-sample distances."""
 
+import datetime
 import hashlib
 import itertools
 import random
@@ -222,3 +223,14 @@ def test_steps_without_evidence_rank_by_name(spark):
     rows = models.score(f, models.fit_persistence(f, 3)).collect()
     assert all(abs(sum(e * e for e in r.evidence) / 3 - r.score**2) < 1e-4 for r in rows)
     assert detectors.vector_frames(spark.createDataFrame([(1, i, [float(i)]) for i in range(5)], "run int, i bigint, state array<double>"), 2).count() == 3
+
+
+def test_scaled_steps_read_the_activity_grid_once_written(spark, tmp_path):
+    from tidegauge.plans import baselines
+    from tidegauge.plans.views import SCHEMAS, Tables
+
+    rows = [(i, datetime.datetime(2024, 1, 1 + i % 9, 5), i % 3, "view" if i % 2 else "click", float(i), '{"k": 3}') for i in range(60)]
+    spark.createDataFrame(rows, SCHEMAS["events"]).write.parquet(str(tmp_path / "events.parquet"))
+    steps = baselines.standard_steps(Tables(spark, str(tmp_path)))
+    # Fit and scaling both read the written grid, and none of them the events again.
+    assert steps.count() == 27 and not [f for f in steps.inputFiles() if "events.parquet" in f]

@@ -19,7 +19,7 @@ N = len(FEATURES)
 
 def standard_steps(t, source=None):
     """Standard-scaled feature vectors per (run, day); scaler from the training runs."""
-    rows = t.activity if source is None else source
+    rows = t.activity_table if source is None else source
     fit = frames.standard_scale(rows.where("run % 5 <> 0"), ["feature"], "value")
     z = frames.apply_scale(rows, F.broadcast(fit), ["feature"], "value")
     return detectors.vector_steps(z)
